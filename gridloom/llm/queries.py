@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import language, secrets, toxicity
+from .common import fold, table
 from .quality import host_rules
 
 
+def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out), held_out)
+
+
+def op4_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2))
+
+
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(table(spark, sf_dir, "documents"))
 
@@ -32,5 +48,5 @@ select doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
 from f left join r using (host)
 """
 
-QUERIES = {"op3_host_rules": op3_host_rules}
+QUERIES = {"op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
 ORACLES = {"op3_host_rules": OP3_SQL}
