@@ -10,16 +10,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, texts
+from .common import rows_out, texts, written
 
 #: Lower-case ASCII letters; other ASCII characters but digits become spaces.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
-TERMS = pa.schema([("label", pa.int32()), ("terms", pa.list_(pa.int32()))])
+PARTS = (4, 5, 6, 7)  # bytes of the starts of a word that are terms beside the word, so that compounds of an insult share one
+TERMS = pa.schema([("term", pa.int32()), ("label", pa.int32()), ("n", pa.int64())])
+PLACES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("places", pa.list_(pa.int32()))])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def terms(text: bytes, bits: int) -> list[int]:
-    return sorted({zlib.crc32(w) >> (32 - bits) for w in set(text.translate(FOLD).split())})
+def hashed(word: bytes, bits: int) -> set[int]:
+    """The terms of a word."""
+    return {zlib.crc32(word) >> (32 - bits), *(zlib.crc32(word[:n], n) >> (32 - bits) for n in PARTS if len(word) >= n)}
+
+
+class Memo(dict):
+    """What a word gives, remembered while there are fewer than `most` words."""
+
+    def __init__(self, give, most: int = 200_000):
+        self.give, self.most = give, most
+
+    def __missing__(self, word: bytes):
+        if len(self) >= self.most:
+            self.clear()
+        v = self[word] = self.give(word)
+        return v
+
+    def of(self, text: bytes) -> list[int]:
+        """What the text's distinct words give, ascending."""
+        return sorted(set().union(*map(self.__getitem__, set(text.translate(FOLD).split()))))
 
 
 class Machine:
@@ -74,53 +94,47 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 24, mo
     """
     some = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id"))
+    totals = {r["label"] > 0: r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return Machine(np.zeros(0, np.int64), 40.0 if True in totals else -40.0, np.zeros(0), np.zeros((0, rank)))
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, sums = Memo(lambda w: hashed(w, bits)), ({}, {})
         for batch in it:
-            yield rows_out(TERMS, [batch.column("label"), [terms(t, bits) for t in texts(batch)]])
-
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
-    got = known.select("label", "text").mapInArrow(run, "label int, terms array<int>").toPandas()
-    y = (got["label"].to_numpy(float) > 0).astype(float)
-    if not len(y) or not 0 < y.sum() < len(y):
-        return Machine(np.zeros(0, np.int64), 40.0 if y.any() else -40.0, np.zeros(0), np.zeros((0, rank)))
-    rows = [np.asarray(x, np.int64) for x in got["terms"]]
-    flat, y_of = np.concatenate(rows), np.repeat(y, [len(r) for r in rows])
-    ids, back = np.unique(flat, return_inverse=True)
-    pos, n = np.bincount(back, y_of, len(ids)), np.bincount(back, minlength=len(ids))
-    base = y.mean()
-    z = np.abs(pos - n * base) / np.sqrt(n * base * (1 - base))
-    z[n < 5] = 0
-    best = np.argsort(-z, kind="stable")[:most_terms]
-    chosen = np.sort(ids[best[z[best] >= least_z]])
-    place = [np.searchsorted(chosen, r) for r in rows]
-    inside = [p[(p < len(chosen)) & (chosen[np.minimum(p, len(chosen) - 1)] == r)] if len(chosen) else p[:0] for p, r in zip(place, rows, strict=True)]
+            for t, y in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
+                for term in memo.of(t):
+                    sums[y > 0][term] = sums[y > 0].get(term, 0) + 1
+        for y in (0, 1):
+            yield rows_out(TERMS, [list(sums[y]), [y] * len(sums[y]), list(sums[y].values())])
+
+    all_n, base = sum(totals.values()), totals[True] / sum(totals.values())
+    counts = known.select("text", "label").mapInArrow(count, "term int, label int, n long").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("pos"))
+    n = F.col("n")
+    z = F.abs(F.col("pos") - n * base) / F.sqrt(n * base * (1 - base) * (1 - n / (all_n + 1)))
+    best = counts.where(n >= 5).select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most_terms)
+    chosen = np.sort(best.toPandas()["term"].to_numpy(np.int64))
+
+    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(lambda w: places(chosen, hashed(w, bits)))
+        for batch in it:
+            yield rows_out(PLACES, [batch.column("doc_id"), batch.column("label"), list(map(memo.of, texts(batch)))])
+
+    got = known.select("doc_id", "label", "text").mapInArrow(place, "doc_id long, label int, places array<int>").toPandas()
+    rows = [np.asarray(x, np.int64) for x in got["places"]]
+    y = (got["label"].to_numpy() > 0).astype(float)
+    order = sorted(range(len(rows)), key=lambda i: (got["doc_id"][i], y[i], rows[i].tobytes()))  # rows come in any order
     rng = np.random.default_rng(seed)
     m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank)))
-    order = np.lexsort((y, [zlib.crc32(r.tobytes()) for r in rows]))  # the rows come in any order
-    m.fit([inside[i] for i in order], y[order], epochs, rate, decay, seed)
+    m.fit([rows[i] for i in order], y[order], epochs, rate, decay, seed)
     return m
 
 
-def scores(machine: Machine, all_texts: list[bytes], bits: int, memo: dict[bytes, int]) -> np.ndarray:
-    """0 to 1 for each text. memo: places of words among the chosen terms, -1 for none."""
-    at, n = [], []
-    for t in all_texts:
-        words = set(t.translate(FOLD).split())
-        new = [w for w in words if w not in memo]
-        if new:
-            if len(memo) > 300_000:
-                memo.clear()
-                new = list(words)
-            h = np.fromiter((zlib.crc32(w) >> (32 - bits) for w in new), np.int64, len(new))
-            p = np.searchsorted(machine.chosen, h)
-            hit = machine.chosen[np.minimum(p, len(machine.chosen) - 1)] == h if len(machine.chosen) else np.zeros(len(h), bool)
-            memo.update(zip(new, np.where(hit, p, -1).tolist(), strict=True))
-        own = {memo[w] for w in words} - {-1}
-        at += sorted(own)
-        n.append(len(own))
-    raw, _ = machine.raw(np.array(at, np.int64), np.repeat(np.arange(len(n)), n), len(n))
-    return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+def places(chosen: np.ndarray, terms: set[int]) -> list[int]:
+    """Places of those terms that are among the chosen, which ascend."""
+    h = np.fromiter(terms, np.int64, len(terms))
+    p = np.searchsorted(chosen, h)
+    return p[(p < len(chosen)) & (chosen[np.minimum(p, len(chosen) - 1)] == h)].tolist() if len(chosen) else []
 
 
 def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3, bits: int = 24) -> DataFrame:
@@ -128,10 +142,14 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, int] = {}
+        m = sent.value
+        memo = Memo(lambda w: places(m.chosen, hashed(w, bits)))
         for batch in it:
             if batch.num_rows:
-                s = scores(sent.value, texts(batch), bits, memo)
+                at = list(map(memo.of, texts(batch)))
+                flat = np.fromiter((x for a in at for x in a), np.int64)
+                raw, _ = m.raw(flat, np.repeat(np.arange(len(at)), list(map(len, at))), len(at))
+                s = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
                 yield rows_out(SCORES, [batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32)])
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
