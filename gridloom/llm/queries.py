@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from . import language, secrets, toxicity
 from .common import fold, table
+from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
 from .quality import host_rules
+from .token_files import token_files
 
 
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +35,14 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
@@ -53,5 +63,5 @@ select doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
 from f left join r using (host)
 """
 
-QUERIES = {"op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
-ORACLES = {"op3_host_rules": OP3_SQL}
+QUERIES = {"op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+ORACLES = {"op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
