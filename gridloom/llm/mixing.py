@@ -56,7 +56,7 @@ def mix(docs: DataFrame, power: float = 0.7, keep: float = 0.8, seed: int = 17,
     Cells of source, language and topic are raked to marginal shares that go as tokens to the `power`. A cell's documents
     are then kept with a probability in proportion to raked weight / tokens, scaled so that `keep` of the tokens would
     stay if none exceeded 1; it is cut at 1. A null source or language is a value of its own (an empty string).
-    Documents without words have probability 1 and are kept. A document is kept if a hash of its doc_id and the seed, in [0, 1), is
+    Documents without words have their cell's probability, 1 if none of the cell has words. A document is kept if a hash of its doc_id and the seed, in [0, 1), is
     below its probability; so rows with one doc_id share their draw. An empty table gives no rows. Cells join the
     documents by shuffle in `salts` copies, since one cell may hold any share of them.
     """
@@ -84,6 +84,20 @@ def sampled(rows: DataFrame, cells: DataFrame, seed: int, salts: int) -> DataFra
     return out.select("doc_id", *DIMENSIONS, "n_tokens", p.alias("probability"), (draw(F.col("doc_id"), seed) < p).alias("kept"))
 
 
+def kept(docs: DataFrame, power: float = 0.7, keep: float = 0.8, seed: int = 17, rounds: int = ROUNDS, salts: int = 32, most_cells: int = 50_000) -> DataFrame:
+    """The rows of docs, with all their columns, that mix() keeps. Up to `most_cells` cells are broadcast, so that texts stay where they are."""
+    dims = [F.coalesce(F.col(f"doc.{d}").cast("string"), F.lit("")).alias(d) for d in ("source", "lang")]
+    rows = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), *dims, topic(F.coalesce("doc.text", F.lit(""))).alias("topic"))
+    sums = measured(docs).where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    cells = probabilities(written(sums), power, keep, rounds)
+    if cells.count() <= most_cells:
+        out = rows.join(F.broadcast(cells), [*DIMENSIONS], "left")
+    else:
+        copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(copies, [*DIMENSIONS, "salt"], "left")
+    return out.where(draw(F.col("doc_id"), seed) < F.coalesce("p", F.lit(1.0))).select("doc.*")
+
+
 def mixing_sql(rounds: int = ROUNDS, power: float = 0.7, keep: float = 0.8, seed: int = 17, docs: str = "documents") -> str:
     """The same rows as mix() in DuckDB's SQL."""
     case = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for n, p in TOPICS.items())

@@ -217,3 +217,20 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     rows = written(rows)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the least of a component of near_duplicates().
+
+    Rows without a doc_id stay, since no id stands for them. Rows that agree in doc_id and text are one document
+    and one of them stays; other rows of the same doc_id are told apart by their text.
+    """
+    found = written(near_duplicates(docs, num, den).where("doc_id is not null"))
+    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count("*").alias("times"))
+    some = written(ids.where("stays = 0 or times > 1").select(F.col("doc_id").alias("gridloom_id"), "stays"))
+    key = F.col("doc_id").cast("long") == F.col("gridloom_id")
+    out = docs.join(some, key, "left_anti")
+    again = some.where("stays = 1")
+    if again.limit(1).count():
+        out = out.union(docs.join(again, key, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out

@@ -137,19 +137,39 @@ def places(chosen: np.ndarray, terms: set[int]) -> list[int]:
     return p[(p < len(chosen)) & (chosen[np.minimum(p, len(chosen) - 1)] == h)].tolist() if len(chosen) else []
 
 
+def judge(machine: Machine, bits: int):
+    """A function from texts to scores, which remembers words."""
+    memo = Memo(lambda w: places(machine.chosen, hashed(w, bits)))
+
+    def scores(all_texts: list[bytes]) -> np.ndarray:
+        at = list(map(memo.of, all_texts))
+        flat = np.fromiter((x for a in at for x in a), np.int64)
+        raw, _ = machine.raw(flat, np.repeat(np.arange(len(at)), list(map(len, at))), len(at))
+        return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+
+    return scores
+
+
 def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3, bits: int = 24) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of (doc_id, text), judged by its whole text; null is as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        memo = Memo(lambda w: places(m.chosen, hashed(w, bits)))
+        scores = judge(sent.value, bits)
         for batch in it:
-            if batch.num_rows:
-                at = list(map(memo.of, texts(batch)))
-                flat = np.fromiter((x for a in at for x in a), np.int64)
-                raw, _ = m.raw(flat, np.repeat(np.arange(len(at)), list(map(len, at))), len(at))
-                s = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
-                yield rows_out(SCORES, [batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32)])
+            s = scores(texts(batch))
+            yield rows_out(SCORES, [batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32)])
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def clean(docs: DataFrame, machine: Machine, threshold: float = 0.3, bits: int = 24) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = judge(sent.value, bits)
+        for batch in it:
+            yield batch.filter(pa.array(scores(texts(batch)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
