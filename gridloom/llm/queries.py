@@ -11,10 +11,15 @@ from .common import fold, table
 from .decontaminate import contaminated
 from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
+from .ppm import model_scores
 from .quality import host_rules
 from .token_files import token_files
 
 
+def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7, 2))
+
+
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out), held_out)
@@ -68,5 +73,5 @@ select doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
 from f left join r using (host)
 """
 
-QUERIES = {"op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+QUERIES = {"op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
 ORACLES = {"op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
