@@ -15,6 +15,7 @@ zstd decompresses a whole shard to the ids of all its documents in order.
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -95,41 +96,45 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+_L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+#: A Latin word with the space before it, if no letter, digit or apostrophe touches it; or what lies between two such words.
+PIECES = re.compile(rf"(?: |(?<![\w'])){_L}+(?![\w'])|(?:(?!(?: |(?<![\w'])){_L}+(?![\w'])).)+", re.DOTALL)
+
+
 class Encoder:
-    """Ids of texts under a byte-level vocabulary whose pre-tokens start at a lone space.
+    """Ids of texts under a byte-level vocabulary that splits texts before merging by the public pattern.
 
-    A space between two characters that are not white space starts a pre-token, and merges never cross pre-tokens. So
-    a text is cut before such spaces, and each distinct piece is encoded once and remembered.
+    That pattern makes a token boundary before a Latin word, its one space included, and after it, unless another
+    letter, a digit or an apostrophe touches it; merges never cross a boundary. So a text is cut there, and each
+    distinct piece is encoded once and remembered while there are fewer than `most`. A text that holds the name of a
+    special token is one piece.
     """
 
-    most = 200_000
+    most = 1_000_000
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        cut = text.split(" ")
-        out, i = [cut[0]], 1
-        while i < len(cut):
-            before, part = out[-1], cut[i]
-            if part and before and not part[0].isspace() and not before[-1].isspace() and before[-1] > "\x20":
-                out.append(" " + part)
-            else:
-                out[-1] = before + " " + part
-            i += 1
-        return out
-
-    def of(self, text: str) -> np.ndarray:
-        parts = self.pieces(text)
-        new = [p for p in set(parts) if p not in self.known]
-        if new:
-            if len(self.known) > self.most:
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+
+    def of(self, all_texts: list[str]) -> Iterator[np.ndarray]:
+        for a in range(0, len(all_texts), 256):
+            parts = [[t] if any(x in t for x in self.special) else PIECES.findall(t) for t in all_texts[a : a + 256]]
+            every = set().union(*parts)
+            new = [p for p in every if p not in self.known]
+            if len(self.known) + len(new) > self.most:
                 self.known.clear()
-                new = list(set(parts))
-            for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
+                new = list(every)
+            for i in range(0, len(new), 20_000):
+                some = new[i : i + 20_000]
+                self.known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+            for p in parts:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4")
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which serves task after task."""
+    return Encoder(path)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int, width: int = 2) -> DataFrame:
@@ -143,12 +148,12 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         fs, top = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         path = f"{top}/shard-{task.partitionId():06d}.tok"
-        encoder = Encoder(tokenizer_path)
         with fs.open_output_stream(part := f"{path}.{task.taskAttemptId()}") as out:
             w = Writer(out, width)
             for batch in it:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    w.add(doc_id, np.append(encoder.of(text or ""), np.uint32(end_id)))
+                ids = encoder(tokenizer_path).of([t or "" for t in batch.column("text").to_pylist()])
+                for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
+                    w.add(doc_id, np.append(own, np.uint32(end_id)))
             w.close()
         fs.move(part, path)
         yield rows_out(SHARDS, [[task.partitionId()], [path], [len(w.table)], [w.ids]])
