@@ -97,15 +97,16 @@ def tokenizer(path: str):
 
 
 _L = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-#: A Latin word with the space before it, if no letter, digit or apostrophe touches it; or what lies between two such words.
-PIECES = re.compile(rf"(?: |(?<![\w'])){_L}+(?![\w'])|(?:(?!(?: |(?<![\w'])){_L}+(?![\w'])).)+", re.DOTALL)
+_WORD = rf"(?: |(?<![\w'])(?<!\s\s)){_L}+(?![\w'])"
+#: A Latin word with the space before it, if no letter, digit, apostrophe or run of white space touches it; or what lies between two such words.
+PIECES = re.compile(rf"{_WORD}|(?:(?!{_WORD}).)+", re.DOTALL)
 
 
 class Encoder:
     """Ids of texts under a byte-level vocabulary that splits texts before merging by the public pattern.
 
     That pattern makes a token boundary before a Latin word, its one space included, and after it, unless another
-    letter, a digit or an apostrophe touches it; merges never cross a boundary. So a text is cut there, and each
+    letter, a digit, an apostrophe or more white space touches it; merges never cross a boundary. So a text is cut there, and each
     distinct piece is encoded once and remembered while there are fewer than `most`. A text that holds the name of a
     special token is one piece.
     """
