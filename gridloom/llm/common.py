@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,21 +53,6 @@ def rows_out(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-class WordHash(dict):
-    """64-bit hashes of words, remembered while there are fewer than `most`."""
-
-    most = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        v = self[word] = xxhash.xxh3_64_intdigest(word)
-        return v
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 #: Odd multipliers of the hash of a run of words.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -81,19 +66,65 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_P = 0xA24BAED4963EE407
+CHUNK = 1 << 21  # bytes that are taken apart at once
+
+
+@functools.cache
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _P and of its inverse modulo 2^64."""
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64))))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts that lie one after the other in data (bytes), and each text's first word.
+
+    starts: the texts' first bytes. A word is hashed as a polynomial of its bytes, from running sums over data.
+    """
+    n = len(data)
+    low = _LOWER[data]
+    solid = np.r_[False, ~_SPACE[low], False]
+    first, last = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+    cut = starts[(starts > 0) & (starts < n)]
+    first[cut] |= solid[cut + 1]
+    last[cut - 1] |= solid[cut]
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = _powers(1 << max(CHUNK.bit_length(), int(n).bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+    return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * ODD[7]), np.searchsorted(a, starts)
+
+
+def document_words(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
+    """Hashes of the words of each text of a batch, A-Z in lower case; null is as empty."""
+    col = batch.column(name).cast(pa.large_binary()).fill_null(b"")
+    at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
+        h, first = word_hashes(data[at[i] : at[j]], at[i:j] - at[i])
+        yield from np.split(h, first[1:])
+        i = j
+
+
+def words_of(text: bytes) -> np.ndarray:
+    """Hashes of one text's words."""
+    return word_hashes(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))[0]
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k words in order; of the whole sequence if it is shorter; none of no words."""
     n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
     if n < k:
-        h = np.uint64(n)
-        for i in range(n):
-            h = mixed(np.array([h]) + words[i : i + 1] * ODD[i % len(ODD)])[0]
-        return np.array([h], np.uint64)
-    h = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        h = h + mixed(words[j : n - k + 1 + j] * ODD[j % len(ODD)] + np.uint64(j + j // len(ODD)))
+        return mixed((words * ODD[:n]).sum(keepdims=True) + np.uint64(n)) if n else words
+    h = words[: n - k + 1] * ODD[0]
+    for j in range(1, k):
+        h += words[j : n - k + 1 + j] * ODD[j % len(ODD)] ** np.uint64(1 + 2 * (j // len(ODD)))
     return mixed(h)
 
 

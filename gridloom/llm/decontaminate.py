@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, rows_out, shingles, texts
+from .common import document_words, rows_out, shingles, words_of
 
 K = 5
 BITS, BLOCKS = 64, 8
@@ -44,11 +44,10 @@ class Items:
     """
 
     def __init__(self, rows: list[tuple[int, bytes]], radius: int):
-        memo = WordHash()
         self.radius, self.sizes = radius, {}
         all_shingles = [np.zeros(0, np.uint64)]
         for item_id, text in sorted(rows):
-            words = memo.of(text.lower().split())
+            words = words_of(text)
             if not len(words):
                 continue
             s = shingles(words, K)
@@ -118,9 +117,9 @@ def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 2
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, radius))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found, memo = sent.value, WordHash()
+            found = sent.value
             for batch in it:
-                yield batch.filter(pa.array([next(found.search(memo.of(t.lower().split()), least), None) is None for t in texts(batch)], pa.bool_()))
+                yield batch.filter(pa.array([next(found.search(words, least), None) is None for words in document_words(batch)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
@@ -158,11 +157,11 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, radius:
         sent = spark.sparkContext.broadcast(Items(block, radius))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            found, memo = sent.value, WordHash()
+            found = sent.value
             for batch in it:
                 rows = []
-                for doc_id, t in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                    rows += [(doc_id, *x) for x in found.search(memo.of(t.lower().split()), least)]
+                for doc_id, words in zip(batch.column("doc_id").to_pylist(), document_words(batch), strict=True):
+                    rows += [(doc_id, *x) for x in found.search(words, least)]
                 if rows:
                     yield rows_out(HITS, list(zip(*rows, strict=True)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +12,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, rows_out, shingles, texts, written
+from .common import document_words, rows_out, shingles, written
 from .components import components
 
 K = 5
-SKETCH_BITS = 18  # counters of shingle hashes; their sums give the rare-first order
+SLICES = 64  # in which the counters of shingle hashes are summed, whose sums give the rare-first order
+MOST_BITS = 26  # 64 MB of counters, for two billion shingles or more
 RANGES = 64  # ranges of hashes that the suffix filter compares
 WANTED_BITS = 24  # places of the filter of the sets that a verification needs
-FIRST = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bucket", pa.int32()), ("hits", pa.int64())])
+FIRST = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("hits", pa.binary())])
+SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
 PREFIX = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 SETS = pa.schema([("c", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 
-def shingle_set(text: bytes, memo: WordHash) -> np.ndarray:
-    """Ascending hashes of the distinct shingles of K words, A-Z in lower case."""
-    return np.unique(shingles(memo.of(text.lower().split()), K))
+def shingle_set(words: np.ndarray) -> np.ndarray:
+    """Ascending hashes of the distinct shingles of K words."""
+    s = np.sort(shingles(words, K))
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
 def digest(s: np.ndarray) -> int:
@@ -37,37 +41,56 @@ def signature(s: np.ndarray) -> bytes:
     return np.minimum(n, 65535).astype("<u2").tobytes()
 
 
-def _first(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's class, size and signature; at the end the task's counts of shingles by bucket."""
-    memo, sums = WordHash(), np.zeros(1 << SKETCH_BITS, np.int64)
+def _first(bits: int):
+    """Each document's class, size and signature; at the end the task's counts of shingles by bucket, in slices.
+
+    A count is of one byte, so a bucket that a task meets more than 255 times counts as 255 there.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 << bits, np.int32)
+        for batch in it:
+            c, n, sig = [], [], []
+            for words in document_words(batch):
+                s = shingle_set(words)
+                sums[place(s, bits)] += 1  # a set has few shingles of one bucket; they count once
+                c.append(digest(s) if len(s) else None)
+                n.append(len(s))
+                sig.append(signature(s) if len(s) else None)
+            none = [None] * len(c)
+            yield rows_out(FIRST, [batch.column("doc_id"), c, n, sig, none, none])
+        if sums.any():
+            parts = np.minimum(sums, 255).astype(np.uint8).reshape(SLICES, -1)
+            none = [None] * SLICES
+            yield rows_out(FIRST, [none, none, none, none, list(range(SLICES)), [zlib.compress(p.tobytes(), 1) for p in parts]])
+
+    return run
+
+
+def _sum_slices(key: tuple[pa.Scalar, ...], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a slice over all tasks, as they stream in, on a scale of one byte: 16 * log2(1 + count)."""
+    total = 0
     for batch in it:
-        c, n, sig = [], [], []
-        for t in texts(batch):
-            s = shingle_set(t, memo)
-            np.add.at(sums, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
-            c.append(digest(s) if len(s) else None)
-            n.append(len(s))
-            sig.append(signature(s) if len(s) else None)
-        none = [None] * len(c)
-        yield rows_out(FIRST, [batch.column("doc_id"), c, n, sig, none, none])
-    at = np.flatnonzero(sums)
-    for a in range(0, len(at), 50_000):
-        part = at[a : a + 50_000]
-        none = [None] * len(part)
-        yield rows_out(FIRST, [none, none, none, none, part.astype(np.int32), sums[part]])
+        for x in batch.column("hits").to_pylist():
+            total = total + np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64)
+    yield rows_out(SUMS, [[key[0].as_py()], [np.minimum(16 * np.log2(1 + total), 255).astype(np.uint8).tobytes()]])
+
+
+def place(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _prefixes(sketch, num: int, den: int):
+def _prefixes(sketch, bits: int, num: int, den: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, memo, seen = sketch.value, WordHash(), set()
+        counts, seen = sketch.value, set()
         for batch in it:
             hs, cs, ns, ps = [], [], [], []
-            for t in texts(batch):
-                s = shingle_set(t, memo)
+            for words in document_words(batch):
+                s = shingle_set(words)
                 c = digest(s)
                 if not len(s) or c in seen:
                     continue
@@ -75,7 +98,7 @@ def _prefixes(sketch, num: int, den: int):
                     seen.clear()
                 seen.add(c)
                 p = prefix_length(len(s), num, den)
-                order = np.argsort(counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)], kind="stable")[:p]
+                order = np.argsort(counts[place(s, bits)], kind="stable")[:p]
                 hs.append(s[order].view(np.int64))
                 cs.append(np.full(p, c))
                 ns.append(np.full(p, len(s), np.int32))
@@ -88,11 +111,11 @@ def _prefixes(sketch, num: int, den: int):
 
 def _wanted(wanted):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, memo, seen = wanted.value, WordHash(), set()
+        bits, seen = wanted.value, set()
         for batch in it:
             cs, members = [], []
-            for t in texts(batch):
-                s = shingle_set(t, memo)
+            for words in document_words(batch):
+                s = shingle_set(words)
                 c = digest(s)
                 at = c & ((1 << WANTED_BITS) - 1)
                 if len(s) and c not in seen and bits[at >> 3] >> (at & 7) & 1:
@@ -136,16 +159,19 @@ class Join:
         self.num, self.den = num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.sent = docs.sparkSession.sparkContext.broadcast
-        first = written(self.docs.mapInArrow(_first, "doc_id long, c long, n long, sig binary, bucket int, hits long"))
-        self.rows = first.where("bucket is null").select("doc_id", "c", "n")
+        size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.bits = min(MOST_BITS, max(12, (size // 200).bit_length()))  # a counter for about 32 words
+        first = written(self.docs.mapInArrow(_first(self.bits), "doc_id long, c long, n long, sig binary, slice int, hits binary"))
+        self.rows = first.where("slice is null").select("doc_id", "c", "n")
         self.sigs = first.where("c is not null").select("c", "sig").dropDuplicates(["c"])
-        sums = first.where("bucket is not null").groupBy("bucket").agg(F.sum("hits").alias("hits")).toPandas()
-        self.sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        self.sketch[sums["bucket"].to_numpy(int)] = sums["hits"].to_numpy(int)
+        sums = first.where("slice is not null").select("slice", "hits").groupBy("slice").applyInArrow(_sum_slices, "slice int, sums binary").collect()
+        self.sketch = np.zeros((SLICES, (1 << self.bits) // SLICES), np.uint8)
+        for r in sums:
+            self.sketch[r["slice"]] = np.frombuffer(r["sums"], np.uint8)
 
     def shared(self) -> DataFrame:
         """(h, c, n, pos) of prefix shingles that two sets or more have."""
-        rows = self.docs.mapInArrow(_prefixes(self.sent(self.sketch), self.num, self.den), "h long, c long, n int, pos int")
+        rows = self.docs.mapInArrow(_prefixes(self.sent(self.sketch.ravel()), self.bits, self.num, self.den), "h long, c long, n int, pos int")
         by = Window.partitionBy("h")
         once = rows.withColumn("before", F.lag("c").over(by.orderBy("n", "c"))).where("before is null or before <> c").drop("before")
         return written(once.withColumns({"lo": F.min("c").over(by), "hi": F.max("c").over(by)}).where("lo <> hi").drop("lo", "hi"))
@@ -203,7 +229,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     Every set's rarest shingles, as many as leave no similar set without one in common, are dealt by shingle. In a
     shingle's list, sets are compared first with the head of their length band and the one before them; after those
     links only sets of different components are compared. Lists of one component, however long, make no more
-    pairs. "Rare" is by sums over all documents in 2^18 counters, and any order gives the same links. Shingles and
+    pairs. "Rare" is by counts over all documents, in a
+    counter for about 32 words of input but 2^26 at most, and any order gives the same links. Shingles and
     sets are compared by 64-bit hashes: a chance agreement can join two of n distinct sets at odds of n * n / 2^65.
     """
     j = Join(docs, num, den)

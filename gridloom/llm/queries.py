@@ -11,6 +11,7 @@ from .common import fold, table
 from .decontaminate import contaminated
 from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
+from .passages import repeated_passages
 from .ppm import model_scores
 from .quality import host_rules
 from .token_files import token_files
@@ -53,6 +54,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
@@ -73,5 +78,5 @@ select doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
 from f left join r using (host)
 """
 
-QUERIES = {"op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+QUERIES = {"op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
 ORACLES = {"op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
