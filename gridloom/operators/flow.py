@@ -15,10 +15,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arithmetic import s_norm, t_norm
 from ..scratch import written
 from .hierarchy import LabelGraph
-from .tiles import Arrays, after, before, tiled
+from .tiles import Arrays, after, before, fixpoint, tiled
 
 
 @dataclass(frozen=True)
@@ -30,6 +29,9 @@ class Knobs:
 
 
 REACH = 2
+#: Fuzzy and: the least, the product, Hamacher's product. Fuzzy or: the greatest, the probabilistic sum, the bounded sum.
+T_NORMS = (np.minimum, np.multiply, lambda a, b: a * b / np.where(a + b - a * b > 0, a + b - a * b, 1.0))
+S_NORMS = (np.maximum, lambda a, b: a + b - a * b, lambda a, b: np.minimum(1.0, a + b))
 FIELDS = ("fx", "fy", "fz", "div", "sink", "label")  # arrays over the nodes but the root
 
 
@@ -65,7 +67,7 @@ def iterate(a: Arrays, graph: LabelGraph, k: Knobs) -> Arrays:
     size = np.sqrt(0.5 * sum(f[i] ** 2 + after(f[i], i, 0.0) ** 2 for i in range(3)))
     scale = np.where(size > a["s"], a["s"] / np.where(size > 0, size, 1.0), 1.0)
     f = [f[i] * 0.5 * (scale + before(scale, i)) for i in range(3)]
-    div = sum(after(f[i], i, 0.0) - f[i] for i in range(3))
+    div = sum(f[i] - after(f[i], i, 0.0) for i in range(3))
 
     need = {n: np.zeros_like(root) for n in (*nodes, graph.root)}  # what children ask of a node's sink
     share = dict.fromkeys(need, 0.0)
@@ -134,30 +136,21 @@ def smoothness_energy(state: DataFrame, graph: LabelGraph, side: int = 32) -> Da
     return rows.select(F.posexplode("e").alias("at", "e")).groupBy("at").agg(F.sum("e").alias("energy")).select(F.element_at(F.array(*map(F.lit, nodes)), F.col("at") + 1).alias("node"), "energy")
 
 
-def connectedness(image: DataFrame, t: int = 0, s: int = 0, rounds: int = 10_000, least: float = 1e-9) -> DataFrame:
+def connectedness(image: DataFrame, t: int = 0, s: int = 0, inner: int = 16, side: int = 32) -> DataFrame:
     """(x, y, z, v): how strongly each voxel is connected to the seeds of an image (x, y, z, seed, ax, ay, az).
 
-    A voxel takes from each of its six neighbours the fuzzy and (t_norm) of the edge's affinity and the neighbour's
-    strength, joins these by the fuzzy or (s_norm), and keeps the greater of that and what it had, until nothing changes by more
-    than `least`. ax, ay, az are the affinities to the next voxel along the axis. Only edges of voxels that changed in
-    the last round are followed.
+    A voxel takes from each of its six neighbours the fuzzy and (T_NORMS[t]) of the edge's affinity and the neighbour's
+    strength, joins these by the fuzzy or (S_NORMS[s]), and keeps the greater of that and what it had, until nothing
+    changes. ax, ay, az are the affinities to the next voxel along the axis.
     """
-    # an edge as seen from either end: (x, y, z) of the receiver, (fx, fy, fz) of the giver
-    at = [F.col(c) for c in "xyz"]
-    ends = []
-    for i, c in enumerate("xyz"):
-        ahead = [p + 1 if j == i else p for j, p in enumerate(at)]
-        ends += [F.struct(*(p.alias(f"f{n}") for n, p in zip("xyz", at, strict=True)), *(p.alias(f"g{n}") for n, p in zip("xyz", ahead, strict=True)), F.col(f"a{c}").alias("a"))]
-        ends += [F.struct(*(p.alias(f"f{n}") for n, p in zip("xyz", ahead, strict=True)), *(p.alias(f"g{n}") for n, p in zip("xyz", at, strict=True)), F.col(f"a{c}").alias("a"))]
-    edges = written(image.select(F.inline(F.array(*ends))).where("a > 0"))
-    now = written(image.select(*at, F.col("seed").cast("double").alias("v"), F.lit(True).alias("moved")))
-    joined = F.aggregate("given", F.lit(0.0), lambda acc, g: s_norm(acc, g, s))
-    for _ in range(rounds):
-        fresh = now.where("moved") if s == 0 else now
-        given = fresh.select(*(F.col(c).alias(f"f{c}") for c in "xyz"), "v").join(edges, ["fx", "fy", "fz"])
-        given = given.groupBy(*(F.col(f"g{c}").alias(c) for c in "xyz")).agg(F.array_sort(F.collect_list(t_norm(F.col("a"), F.col("v"), t))).alias("given")).select("x", "y", "z", joined.alias("k"))
-        new = now.join(given, ["x", "y", "z"], "left").select("x", "y", "z", F.greatest("v", F.coalesce("k", F.lit(0.0))).alias("n"), "v")
-        now = written(new.select("x", "y", "z", F.col("n").alias("v"), (F.col("n") - F.col("v") > least).alias("moved")))
-        if not now.where("moved").limit(1).count():
-            break
-    return now.drop("moved")
+
+    def step(a: Arrays) -> np.ndarray:
+        v, joined = a["v"], np.zeros_like(a["v"])
+        for k, name in enumerate(("ax", "ay", "az")):
+            edge = np.nan_to_num(a[name])
+            for got in (T_NORMS[t](edge, after(v, k, 0.0)), T_NORMS[t](before(edge, k, 0.0), before(v, k, 0.0))):
+                joined = S_NORMS[s](joined, got)
+        return np.fmax(v, joined)
+
+    rows = image.select("x", "y", "z", F.col("seed").cast("double").alias("v"), "ax", "ay", "az")
+    return fixpoint(rows, step, "v", ["ax", "ay", "az"], inner=inner, side=side).select("x", "y", "z", "v")

@@ -100,20 +100,32 @@ def mean_curvature(cells: DataFrame, points: DataFrame) -> DataFrame:
     return rows.where(size > 0).select(F.explode(F.array("lo", "hi")).alias("pid"), h.alias("h")).groupBy("pid").agg((F.avg("h") / 2).alias("curvature"))
 
 
+def _ends(hooks: DataFrame) -> DataFrame:
+    """(node, root, flip) with chains of hooks, each to a lesser node, followed to their ends: half of what is left each round."""
+    while True:
+        up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("flip").alias("more"))
+        hooks = written(hooks.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip"), F.col("above").isNotNull().alias("moved")))
+        if not hooks.where("moved").limit(1).count():
+            return hooks.drop("moved")
+
+
 def oriented(cells: DataFrame, points: DataFrame) -> DataFrame:
     """(cid, flip): whether a face has to be turned to go around as the face of least cid that sides lead to.
 
-    Each round every face takes the least face known to its neighbours, and turns with them; as many rounds as the
-    longest way in a part of the mesh, each one join and one aggregate. A one-sided surface keeps what it found first.
+    Each round every part of the mesh that is known to agree hooks to its least neighbour, and chains of hooks are
+    shortened by half, so the rounds grow with the logarithm of the mesh. On a one-sided surface one of the two ways wins.
     """
-    pairs = neighbours(face_normals(cells, points)).select(F.col("f.cid").alias("f"), F.col("g.cid").alias("g"), (F.col("f.along") == F.col("g.along")).alias("turned"))
-    edges = written(pairs.select("f", "g", "turned").union(pairs.select("g", "f", "turned")))
-    now = written(cells.select("cid", F.col("cid").alias("root"), F.lit(False).alias("flip"), F.lit(True).alias("moved")))
-    while now.where("moved").limit(1).count():
-        told = now.where("moved").join(edges, now.cid == edges.f).select(F.col("g").alias("cid"), "root", (F.col("flip") != F.col("turned")).alias("flip"))
-        told = told.groupBy("cid").agg(F.min(F.struct("root", "flip")).alias("t"))
-        closer = F.coalesce(F.col("t.root") < F.col("root"), F.lit(False))
-        now = written(now.drop("moved").join(told, "cid", "left").select("cid", F.when(closer, F.col("t.root")).otherwise(F.col("root")).alias("root"), F.when(closer, F.col("t.flip")).otherwise(F.col("flip")).alias("flip"), closer.alias("moved")))
+    pairs = neighbours(face_normals(cells, points)).select(F.col("f.cid").alias("a"), F.col("g.cid").alias("b"), (F.col("f.along") == F.col("g.along")).alias("turned"))
+    edges = written(pairs)
+    now = cells.select("cid", F.col("cid").alias("root"), F.lit(False).alias("flip"))
+    while edges.limit(1).count():
+        hooks = _ends(edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(F.col("a").alias("root"), F.col("turned").alias("flip"))).alias("h")).select("node", "h.root", "h.flip"))
+        up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"), F.col("flip").alias("more"))
+        now = written(now.join(up, "root", "left").select("cid", F.coalesce("above", "root").alias("root"), (F.col("flip") != F.coalesce("more", F.lit(False))).alias("flip")))
+        for end in "ab":
+            up = hooks.select(F.col("node").alias(end), F.col("root").alias("above"), F.col("flip").alias("more"))
+            edges = edges.join(up, end, "left").withColumns({end: F.coalesce("above", end), "turned": F.col("turned") != F.coalesce("more", F.lit(False))}).drop("above", "more")
+        edges = written(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("turned").alias("turned")))
     return now.select("cid", "flip")
 
 
@@ -127,7 +139,10 @@ def point_normals(cells: DataFrame, points: DataFrame, feature: float = 30.0) ->
     rows = faces.select("cid", "nx", "ny", "nz", "area", F.explode(F.array("p0", "p1", "p2")).alias("pid"))
     around = rows.groupBy("pid").agg(F.collect_list(F.struct("cid", "nx", "ny", "nz", "area")).alias("fs")).select("pid", "fs", F.explode("fs").alias("own"))
     smooth = F.filter("fs", lambda g: sum((g[f"n{k}"] * F.col(f"own.n{k}") for k in "xyz"), F.lit(0.0)) >= math.cos(math.radians(feature)) - 1e-12)
-    sums = [F.aggregate(smooth, F.lit(0.0), lambda acc, g, k=k: acc + g["area"] * g[f"n{k}"]) for k in "xyz"]
-    out = around.select(F.col("own.cid").alias("cid"), "pid", *(s.alias(f"s{k}") for s, k in zip(sums, "xyz", strict=True)))
+
+    def total(k: str) -> Column:
+        return F.aggregate(smooth, F.lit(0.0), lambda acc, g: acc + g["area"] * g[f"n{k}"])
+
+    out = around.select(F.col("own.cid").alias("cid"), "pid", *(total(k).alias(f"s{k}") for k in "xyz"))
     size = norm([F.col(f"s{k}") for k in "xyz"])
     return out.select("cid", "pid", *(F.try_divide(F.col(f"s{k}"), size).alias(f"n{k}") for k in "xyz"))

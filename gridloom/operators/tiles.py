@@ -86,7 +86,7 @@ def fixpoint(image: DataFrame, step: Callable[[Arrays], np.ndarray], v: str, oth
     step: the next `v` of a tile from its columns. Each round works `inner` steps in the tiles, is written to the shared
     folder, and sends one number to the driver. flat: step looks along x and y only.
     """
-    halo = (reach * inner, reach * inner, 0 if flat else reach * inner)
+    halo, side = (reach * inner, reach * inner, 0 if flat else reach * inner), max(side, reach * inner)
 
     def kernel(arrays: Arrays) -> Arrays:
         first = arrays[v]

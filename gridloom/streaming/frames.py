@@ -43,7 +43,8 @@ def sliding_stream(frames: DataFrame, n: int = WINDOW) -> DataFrame:
             if seen > n:
                 rows.append((key[0], ts, frame_id, *last))
         state.update((seen, last))
-        yield pd.DataFrame(rows, columns=["stream", "ts", "frame_id", *(f"v{i}" for i in range(n))])
+        if rows:
+            yield pd.DataFrame(rows, columns=["stream", "ts", "frame_id", *(f"v{i}" for i in range(n))])
 
     return frames.groupBy("stream").applyInPandasWithState(step, schema, "seen long, last array<double>", "append", "NoTimeout")
 
@@ -61,8 +62,8 @@ COMPOUND = {
 def compounded(values: DataFrame, how: str = "avg") -> DataFrame:
     """(voxel, v): the values (voxel, ts, frame_id, v) of each voxel folded in order of arrival; nulls are left out.
 
-    avg is (old + new) / 2 at each step and so depends on the order. Folds whose result one value or two decide, and sums with
-    weights by place, are aggregates; none gathers a voxel's values.
+    avg is (old + new) / 2 at each step and so depends on the order: as a sum, the k-th value from the last counts by half to the
+    k. Places come from a window that streams a voxel's sorted values; the other folds are partial aggregates.
     """
     rows = values.where("v is not null")
     order = F.struct("ts", "frame_id")
