@@ -90,3 +90,50 @@ def seeds(points: DataFrame, labels: int) -> DataFrame:
     """(x, y, z, m0, m1, ...): voxels that hold a point (px, py, pz, label), 1 in the channel of each label found there."""
     near = lambda c: F.floor(F.col(c) + F.lit(0.5)).alias(c[1:])
     return points.groupBy(near("px"), near("py"), near("pz")).agg(*(F.max((F.col("label") == k).cast("int")).alias(f"m{k}") for k in range(labels)))
+
+
+#: The share of the range that is added on either side of the rounded histogram, and its most bins.
+PADDING, MOST_BINS = 0.0125, 512
+
+
+def rounded_log_likelihood(image: DataFrame, agreed: Column, v: str, bins: int) -> DataFrame:
+    """The rows with `term`: ln of the share of the agreed voxels in a voxel's bin over ln FLOOR, cut to 0 .. 1.
+
+    Bins are the nearest of at most MOST_BINS between the extremes, which are moved apart by PADDING. Without agreed voxels all terms are 1.
+    """
+    lo, hi = extremes(image, v)[0]
+    pad, n = (hi - lo) * PADDING, min(bins, MOST_BINS)
+    lo, hi = lo - pad, hi + pad
+    place = F.floor((n - 1) * ((F.col(v) - F.lit(lo)) / F.lit(hi - lo if hi > lo else 1.0)) + F.lit(0.5)).cast("long")
+    rows = image.withColumn("b0", place)
+    some = rows.where(agreed).where("b0 is not null").groupBy("b0").agg(F.count("*").alias("h"))
+    total = some.agg(F.sum("h")).first()[0]
+    if not total:
+        return rows.drop("b0").withColumn("term", F.lit(1.0))
+    cost = F.when(F.col("h") > 0, F.ln(F.col("h") / F.lit(float(total))) / F.lit(math.log(FLOOR)))
+    return rows.join(F.broadcast(some), "b0", "left").withColumn("term", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cost, F.lit(1.0))))).drop("h", "b0")
+
+
+def within_spans(image: DataFrame, spans: DataFrame, reverse: bool = False) -> DataFrame:
+    """The voxels (x, y, z, ...) in one of the spans (y, z, x0, x1), ends included; or, reversed, in none."""
+    s = spans.select(F.col("y").alias("sy"), F.col("z").alias("sz"), "x0", "x1")
+    inside = (F.col("y") == F.col("sy")) & (F.col("z") == F.col("sz")) & F.col("x").between(F.col("x0"), F.col("x1"))
+    return image.join(s, inside, "left_anti" if reverse else "left_semi")
+
+
+def branch_labels(maps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(voxel, node, value): the leaves' values (voxel, node, value) and, for each inner node of the edges (src, dst, weight), their sums by weights.
+
+    The few ways from a node to its leaves are rolled up first and broadcast, so the voxels are shuffled once.
+    """
+    from .hierarchy import read_graph
+
+    graph = read_graph(edges)
+    ways: dict[tuple[str, str], float] = {(k, k): 1.0 for k in graph.leaves}
+    for n in reversed(graph.order):
+        for p, w in graph.parents(n):
+            for (a, leaf), v in list(ways.items()):
+                if a == n:
+                    ways[p, leaf] = ways.get((p, leaf), 0.0) + w * v
+    table = maps.sparkSession.createDataFrame([(leaf, n, w) for (n, leaf), w in ways.items()], "node string, up string, w double")
+    return maps.join(F.broadcast(table), "node").groupBy("voxel", F.col("up").alias("node")).agg(F.sum(F.col("value") * F.col("w")).alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arithmetic import radial_basis
@@ -109,3 +109,20 @@ def radial_warp(points: DataFrame, landmarks: DataFrame, sigma: float, order: in
         return F.col(c) + F.aggregate(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), F.lit(0.0), lambda acc, p: acc + radial_basis(far(p), order) * p[f"w{c}"])
 
     return out.withColumns({f"w{c}": pushed(c) for c in "xyz"}).drop("kx", "ky", "kz", "near")
+
+
+def ring_tangents(rings: DataFrame) -> DataFrame:
+    """The points (ring, at, x, y, ...) with tx, ty: the unit direction from the point before to the one after; the ends of a ring meet.
+
+    A ring of one point, or one whose neighbours agree, has none (null).
+    """
+    by, whole = Window.partitionBy("ring").orderBy("at"), Window.partitionBy("ring").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    d = {c: F.coalesce(F.lead(c).over(by), F.first(c).over(whole)) - F.coalesce(F.lag(c).over(by), F.last(c).over(whole)) for c in "xy"}
+    size = F.sqrt(F.col("tx") ** 2 + F.col("ty") ** 2)
+    rows = rings.withColumns({f"t{c}": v for c, v in d.items()}).withColumn("size", size)
+    return rows.withColumns({f"t{c}": F.try_divide(F.col(f"t{c}"), F.col("size")) for c in "xy"}).drop("size")
+
+
+def tangent_penalty(weight: float) -> Column:
+    """weight (1 - t . t' / 2) of unit tangents tx, ty."""
+    return F.lit(float(weight)) * (1 - (F.col("q_tx") * F.col("p_tx") + F.col("q_ty") * F.col("p_ty")) / 2)

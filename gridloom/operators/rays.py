@@ -141,3 +141,30 @@ def keyhole(first: DataFrame, second: DataFrame, x0: float, y0: float, radius: f
     f, s = F.col("f"), F.col("s")
     w = saturate((1 - d) / F.lit(float(soft)))
     return both.select("px", "py", (F.when(d <= 1, s).otherwise(f), s * w + f * (1 - w), F.when(d <= 1, F.greatest(f, s)).otherwise(f), F.when(d <= 1, (f + s) / 2).otherwise(f))[mode].alias("v"))
+
+
+def until_inside(points: DataFrame) -> DataFrame:
+    """The steps (ray, k, inside, ...) of each ray up to its first one that is inside, that one included."""
+    first = points.where("inside").groupBy("ray").agg(F.min("k").alias("last"))
+    return points.join(first, "ray", "left").where(F.col("last").isNull() | (F.col("k") <= F.col("last"))).drop("last")
+
+
+def rendered(rays: DataFrame, image: DataFrame, size: tuple[int, int, int], table: DataFrame, steps: tuple[int, int], low: tuple[float, float], high: tuple[float, float], hole: list | None = None, inner: DataFrame | None = None, stop: int | None = None) -> DataFrame:
+    """(ray, r, g, b, a) of an image (x, y, z, v, gradient) along rays, coloured by a transfer function's table.
+
+    Inside the planes of a keyhole `hole` the table `inner` counts. `stop`: a class at whose first step a ray ends.
+    """
+    from ..functions.terms import clipped
+    from .transfer import classify
+
+    points = samples(clipped_to_box(rays, size)).select("ray", "k", "px", "py", "pz")
+    v = sampled(points, image, ["ray", "k"])
+    g = sampled(points, image.withColumn("v", F.col("gradient").cast("double")), ["ray", "k"]).select("ray", "k", F.col("v").alias("gradient"))
+    rows = classify(v.join(g, ["ray", "k"]), table, steps, low, high)
+    if hole and inner is not None:
+        other = inner.select("i", "g", *(F.col(c).alias(f"in_{c}") for c in ("r", "green", "b", "a", "class")))
+        cut = clipped((F.col("px"), F.col("py"), F.col("pz")), hole)
+        rows = classify(rows, other, steps, low, high).withColumns({c: F.when(cut, F.col(c)).otherwise(F.col(f"in_{c}")) for c in ("r", "green", "b", "a", "class")})
+    if stop is not None:
+        rows = until_inside(rows.withColumn("inside", F.col("class") == stop))
+    return composited(rows.select("ray", "k", "r", F.col("green").alias("g"), "b", "a"))

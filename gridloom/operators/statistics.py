@@ -157,3 +157,19 @@ def quantile_cut(values: DataFrame, rank: int, n: int, pieces: int = 4096) -> fl
                 break
             before += c
     return lo
+
+
+def reconstructed(images: DataFrame, modes: int) -> DataFrame:
+    """(voxel, image, v): the images (image, voxel, v) from their first modes alone, and their mean.
+
+    A mode is a mix of the images, and so is what it gives back: a matrix of as many rows and columns as there are images
+    goes to the voxels, whose values are gathered once.
+    """
+    weights = image_modes(images, modes).toPandas()
+    ids = sorted(weights["image"].unique().tolist())
+    w = weights.pivot(index="image", columns="mode", values="weight").loc[ids].to_numpy()
+    unit = w / np.maximum(np.linalg.norm(w, axis=0), 1e-300)
+    mix = unit @ unit.T
+    rows = images.groupBy("voxel").agg(F.map_from_entries(F.collect_list(F.struct("image", "v"))).alias("vs"), F.avg("v").alias("m"))
+    back = [F.struct(F.lit(b).alias("image"), (F.col("m") + sum(((F.col("vs")[a] - F.col("m")) * F.lit(float(mix[i, j])) for i, a in enumerate(ids)), F.lit(0.0))).alias("v")) for j, b in enumerate(ids)]
+    return rows.select("voxel", F.inline(F.array(*back)))

@@ -71,6 +71,16 @@ GAUSS = rounded_sql(f"""{_CELLS}, g as (select p0 pid, {_cosine("u", "v", "w")}
 t as (select pid, (2 * pi() - sum(angle)) * 3 / sum(area) curvature from g where area > 0 group by 1)""", "curvature", "pid", 1)
 
 
+def ring_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of fifty points each."""
+    p = fx.points(spark, sf_dir).select(F.floor(F.col("pid") / 50).alias("ring"), F.col("pid").alias("at"), "x", "y")
+    return rounded(points.ring_tangents(p).select(F.col("at").alias("place"), "tx", "ty"), 5)
+
+
+_next = lambda c, f, e: f"coalesce({f}({c}) over w, {e}({c}) over (partition by pid // 50 order by pid rows between unbounded preceding and unbounded following))"
+TANGENTS = rounded_sql(f"with {fx.POINTS}, d as (select pid as place, {_next('x', 'lead', 'first')} - {_next('x', 'lag', 'last')} dx, {_next('y', 'lead', 'first')} - {_next('y', 'lag', 'last')} dy from pt window w as (partition by pid // 50 order by pid)), t as (select place, dx / sqrt(dx * dx + dy * dy) tx, dy / sqrt(dx * dx + dy * dy) ty from d)", "tx ty", "place", 5)
+
+
 def rbf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points moved by ten landmarks, of which each goes a tenth of the way to the next one."""
     p = fx.points(spark, sf_dir)
@@ -80,5 +90,5 @@ def rbf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.radial_warp(p, marks, 0.5).select("pid", "wx", "wy", "wz"))
 
 
-QUERIES = {f.__name__: f for f in (nn_correspondence, corr_stats, nn_with_normals, mesh_area, mesh_quality, gauss_curvature, mean_curvature, point_normals, rbf_warp)}
-ORACLES = {"nn_correspondence": NN, "corr_stats": STATS, "nn_with_normals": NORMALS, "mesh_area": AREA, "mesh_quality": QUALITY, "gauss_curvature": GAUSS}
+QUERIES = {f.__name__: f for f in (nn_correspondence, corr_stats, nn_with_normals, mesh_area, mesh_quality, gauss_curvature, mean_curvature, point_normals, ring_tangents, rbf_warp)}
+ORACLES = {"nn_correspondence": NN, "corr_stats": STATS, "nn_with_normals": NORMALS, "mesh_area": AREA, "mesh_quality": QUALITY, "gauss_curvature": GAUSS, "ring_tangents": TANGENTS}

@@ -161,6 +161,13 @@ l as (select *, exp(coalesce(sum(ln(1 - a)) over (partition by ray order by k ro
 t as (select ray, sum(w * a * r) r, sum(w * a * g) g, sum(w * a * b) b, sum(w * a) a from l where w >= 1 / 64.0::double group by 1)""", "r g b a", "ray")
 
 
+def volume_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The image along x with the price and line number tables, a keyhole, and rays that end in class 3."""
+    tables = [transfer.lookup_table(spark, p, STEPS, LOW, HIGH) for p in (POLYGONS, INNER)]
+    image = fx.grid(spark, sf_dir).withColumn("gradient", F.col("n") % 100)
+    return rounded(rays.rendered(_rays(spark), image, SIZE, tables[0], STEPS, LOW, HIGH, HOLE, tables[1], 3), 5)
+
+
 def _beams(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = {k: stencil for k, stencil in zip("xyz", ("gx", "gy", "gz"), strict=True)}
     rows = fx.grid(spark, sf_dir).select("x", "y", "z", (F.col("v") + 100).alias("v"))
@@ -206,5 +213,5 @@ def clip_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where(~clipped((F.col("x"), F.col("y"), F.col("z")), CLIP)).select("x", "y", "z", "n")
 
 
-QUERIES = {f.__name__: f for f in (affinity, gradient_mag, blur1d, box_filter, median_filter, xgradient, pattern_intensity, retinex_mix, retinex_gaussian, vesselness, shape_interp, lut_polygon, clip_classify, clip_planes, seed_raster, drr_projection, alpha_composite, ct2us_transmission, ct2us_fit, disparity)}
+QUERIES = {f.__name__: f for f in (affinity, gradient_mag, blur1d, box_filter, median_filter, xgradient, pattern_intensity, retinex_mix, retinex_gaussian, vesselness, shape_interp, lut_polygon, clip_classify, clip_planes, seed_raster, drr_projection, alpha_composite, volume_render, ct2us_transmission, ct2us_fit, disparity)}
 ORACLES = {"affinity": AFFINITY, "gradient_mag": GRADIENT, "blur1d": BLUR, "box_filter": BOX, "median_filter": MEDIAN, "xgradient": XGRADIENT, "pattern_intensity": PATTERN, "retinex_mix": RETINEX, "lut_polygon": LUT, "clip_classify": CLASSIFY, "clip_planes": f"with {fx.GRID} select x, y, z, n from g3 where not ({_cut(CLIP)})", "seed_raster": SEEDS, "drr_projection": DRR, "alpha_composite": COMPOSITE, "ct2us_transmission": TRANSMISSION, "ct2us_fit": FIT}

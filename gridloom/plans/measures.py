@@ -188,6 +188,43 @@ def _loglik_sql(cols: list[str], bins: int, scale: str) -> str:
     return rounded_sql(f"with {fx.SAMPLES}, {_range('g2', *cols)}, b as (select g2.*, {keys} from g2, r), h as (select {by}, count(*) h from b where m group by all), t as (select c0, c1, -ln(coalesce(h, 0) / (select sum(h) from h)::double + 1e-10) / {scale} term from b left join h using ({by}))", "c0 c1 term")
 
 
+def loglik_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(combine.rounded_log_likelihood(fx.samples(spark, sf_dir), F.col("m"), "c1", 200).select("c0", "c1", "term"))
+
+
+LOGLIK_ROUNDED = rounded_sql(f"""with {fx.SAMPLES}, r as (select min(c1) - (max(c1) - min(c1)) * 0.0125::double lo, max(c1) + (max(c1) - min(c1)) * 0.0125::double hi from g2), b as (select g2.*, floor(199 * ((c1 - lo) / (hi - lo)) + 0.5::double)::bigint k from g2, r), h as (select k, count(*) h from b where m group by 1),
+t as (select c0, c1, greatest(0.0::double, least(1.0::double, coalesce(ln(h / (select sum(h) from h)::double) / ln(1e-10), 1.0))) term from b left join h using (k))""", "c0 c1 term")
+
+
+def span_stencil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums inside and outside of the spans x from z + 1 to 3 y + z."""
+    image = fx.grid(spark, sf_dir)
+    spans = fx.lattice(spark, 1, fx.NY, fx.NZ).select("y", "z", (F.col("z") + 1).alias("x0"), (3 * F.col("y") + F.col("z")).alias("x1"))
+    part = lambda reverse: combine.within_spans(image, spans, reverse).groupBy("z").agg(F.sum("n").alias("n")).select(F.lit(reverse).alias("outside"), "z", "n")
+    return part(False).union(part(True))
+
+
+SPANS = f"with {fx.GRID} select not (x between z + 1 and 3 * y + z) outside, z, sum(n)::bigint n from g3 group by 1, 2"
+
+
+def smi_pvi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joint = similarity.partial_volume_joint(*_images(spark, sf_dir), SHIFT, 8)
+    return rounded(similarity.information(joint.withColumnRenamed("w", "c")).select("mi", "nmi"), 5)
+
+
+SMI_PVI = rounded_sql("with joint as (%s), e as (select 's' k, s b, sum(w) c from joint group by 2 union all select 't', t, sum(w) from joint group by 2 union all select 'st', s * 100 + t, w from joint), h as (select k, ln(sum(c)) - sum(c * ln(c)) / sum(c) h from e where c > 0 group by 1), p as (select max(h) filter (k = 's') hs, max(h) filter (k = 't') ht, max(h) filter (k = 'st') hst from h), t as (select hs + ht - hst mi, (hs + ht) / hst / 2 nmi from p)" % PVI.replace("round(w, 6)", "w"), "mi nmi", digits=5)
+
+
+def branch_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label tree's branches over the embeddings' components as leaf labels."""
+    edges = spark.createDataFrame([("root", "low", 1.0), ("root", "high", 1.0), *((("low", "high")[i > 4], f"l{i}", 1.0) for i in range(10))], "src string, dst string, weight double")
+    e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("voxel"), F.posexplode(F.slice("embedding", 1, 10)).alias("i", "value"))
+    return rounded(combine.branch_labels(e.select("voxel", F.concat(F.lit("l"), "i").alias("node"), F.col("value").cast("double")), edges))
+
+
+BRANCHES = rounded_sql("with e as (select vec_id voxel, unnest(range(10)) i, unnest(embedding[1:10])::double value from embeddings), t as (select voxel, node, sum(value) as value from (select voxel, value, unnest(['l' || i, case when i > 4 then 'high' else 'low' end, 'root']) node from e) group by 1, 2)", "value", "voxel node")
+
+
 def argmax_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("voxel"), F.posexplode(F.slice("embedding", 1, 10)).alias("slot", "value"))
     return rounded(combine.vote(e.withColumn("value", F.col("value").cast("double")).withColumn("slot", F.col("slot").cast("long"))))
@@ -280,13 +317,17 @@ def pca_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAM = rounded_sql("with e as (select vec_id voxel, unnest(range(6)) image, unnest(embedding[1:6])::double v from embeddings), c as (select voxel, image, v - avg(v) over (partition by voxel) v from e), t as (select x.image a, y.image b, sum(x.v * y.v) dot from c x join c y on x.voxel = y.voxel and x.image <= y.image group by 1, 2)", "dot", "a b")
 
 
+def pca_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.reconstructed(_components(spark, sf_dir), 2), 4)
+
+
 def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(statistics.image_modes(_components(spark, sf_dir), 3), 4)
 
 
 _LOGS = [f"(greatest({e}, 0) + ln(1 + exp(-abs({e}))))" for e in ("-0.3::double * (c0 - 25)", "-0.1::double * (c1 - 38)")]
 _GAUSS = "((c1 - 38) / 12 * ((c1 - 38) / 12) / 2)"
-QUERIES = {f.__name__: f for f in (multi_stats, multi_stats_masked, hist1d, hist2d, entropy_single, entropy_joint, entropy_total, mi, nmi, ecr, ecr_smi, renyi_mi, tsallis_mi, smi_masked, sad, ssd, ncc, shifted_sad_whole, shifted_sad, pvi_joint, dice, atlas_prob, atlas_entropy, loglik_1d, loglik_2d, argmax_vote, entropy_planes, entropy_plane_best, dt_constant, dt_logistic, dt_gaussian, dt_spike, dt_normalized, logsumexp, histogram_equalize, bending_energy, pca_gram, pca_project)}
+QUERIES = {f.__name__: f for f in (multi_stats, multi_stats_masked, hist1d, hist2d, entropy_single, entropy_joint, entropy_total, mi, nmi, ecr, ecr_smi, renyi_mi, tsallis_mi, smi_masked, sad, ssd, ncc, shifted_sad_whole, shifted_sad, pvi_joint, dice, atlas_prob, atlas_entropy, loglik_1d, loglik_2d, loglik_rounded, span_stencil, smi_pvi, branch_sums, argmax_vote, entropy_planes, entropy_plane_best, dt_constant, dt_logistic, dt_gaussian, dt_spike, dt_normalized, logsumexp, histogram_equalize, bending_energy, pca_gram, pca_project, pca_reconstruct)}
 ORACLES = {
     "multi_stats": _stats_sql(""),
     "multi_stats_masked": _stats_sql("where m"),
@@ -313,6 +354,10 @@ ORACLES = {
     "atlas_entropy": rounded_sql(f"with {fx.LABEL_MAPS}, k as (select voxel, count(*) filter (label = 1)::double k, count(*)::double n from lm group by 1), t as (select voxel, case when k > 0 then least(3.0::double, ln(n) - ln(k)) else 3.0::double end p from k)", "p", "voxel"),
     "loglik_1d": _loglik_sql(["c1"], 64, "1.0::double"),
     "loglik_2d": _loglik_sql(["c0", "c1"], 16, "(-ln(1e-10))"),
+    "loglik_rounded": LOGLIK_ROUNDED,
+    "span_stencil": SPANS,
+    "smi_pvi": SMI_PVI,
+    "branch_sums": BRANCHES,
     "argmax_vote": VOTE,
     "entropy_planes": PLANES,
     "entropy_plane_best": PLANE_BEST,

@@ -11,6 +11,7 @@ from ..operators import combine, flow, hierarchy, maps, registration, stencils
 from ..operators.hierarchy import LabelGraph
 from ..operators.maps import UnitMap
 from ..sources import fixtures as fx
+from . import apps
 from .rounding import rounded, rounded_sql
 
 CHANNELS = ["f0", "f1"]
@@ -135,6 +136,14 @@ w as (select *, least(d, source - div + u / 0.25) sink from v),
 t as (select x, y, z, node, (1 / 0.25 + sum(div + sink - u / 0.25) over (partition by x, y, z)) / 3 source, fx, fy, fz, div, sink, u - 0.25 * (sink + div - source) as label from w)""", "source fx fy fz div sink label", "x y z node")
 
 
+def seeded_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes from seeds at the cheap, middle and dear end of the image."""
+    image = fx.grid(spark, sf_dir).select("x", "y", "z", "v")
+    ends = F.when(F.col("x") < 8, 0).when(F.col("x").between(21, 28), 1).when(F.col("x") > 41, 2)
+    seeds = image.where("y = 3").select(*(F.col(c).cast("double").alias(f"p{c}") for c in "xyz"), ends.alias("label")).where("label is not null")
+    return rounded(apps.segmented_from_seeds(image, seeds, 3, 24, 0.05, flow.Knobs(iterations=16, per_round=8)), 4)
+
+
 def flow_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(flow.data_energy(_start(spark, sf_dir), POTTS), 4)
 
@@ -174,5 +183,5 @@ def powell_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registration.register_shift(g, g.withColumn("x", F.col("x") - 2), [(0.0, 3.0), (0.0, 0.0), (0.0, 0.0)], tolerance=0.3)
 
 
-QUERIES = {f.__name__: f for f in (bmu_assign, ksom_probability, ksom_responsibility, ksom_label_cost, pagmm_shares, ksom_reproject, batch_som_epoch, ksom_train, maxflow_init, maxflow_step, maxflow_run, flow_energy, flow_smoothness, dag_levels, dag_rollup, fuzzy_connect, powell_register)}
+QUERIES = {f.__name__: f for f in (bmu_assign, ksom_probability, ksom_responsibility, ksom_label_cost, pagmm_shares, ksom_reproject, batch_som_epoch, ksom_train, maxflow_init, maxflow_step, maxflow_run, seeded_segmentation, flow_energy, flow_smoothness, dag_levels, dag_rollup, fuzzy_connect, powell_register)}
 ORACLES = {"bmu_assign": BMU, "ksom_probability": PROBABILITY, "ksom_responsibility": RESPONSIBILITY, "ksom_label_cost": LABEL_COST, "pagmm_shares": PAGMM, "ksom_reproject": REPROJECT, "batch_som_epoch": EPOCH, "maxflow_init": INIT, "maxflow_step": STEP, "flow_energy": ENERGY, "flow_smoothness": SMOOTHNESS, "dag_levels": LEVELS, "dag_rollup": ROLLUP}
