@@ -19,7 +19,14 @@ MAYBE_BITS = 20
 
 def bit_signs(h: np.ndarray) -> np.ndarray:
     """(len(h), 64) of +1 and -1 by the hashes' bits."""
-    return (np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) << 1) - 1
+    return (np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) << 1) - 1
+
+
+def running(h: np.ndarray) -> np.ndarray:
+    """(len(h) + 1, 64) of the sums of bit_signs() before each place."""
+    out = np.zeros((len(h) + 1, BITS), np.int16 if len(h) < 1 << 15 else np.int32)
+    np.cumsum(bit_signs(h), axis=0, dtype=out.dtype, out=out[1:])
+    return out
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
@@ -45,22 +52,26 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, bytes]], radius: int):
         self.radius, self.sizes = radius, {}
-        all_shingles = [np.zeros(0, np.uint64)]
+        all_shingles = {}
         for item_id, text in sorted(rows):
             words = words_of(text)
             if not len(words):
                 continue
             s = shingles(words, K)
-            all_shingles.append(s)
+            all_shingles.setdefault(len(words), []).append(s)
             self.sizes.setdefault(len(words), []).append((item_id, s))
-        s = np.concatenate(all_shingles)
+        by_size = {k: np.unique(np.concatenate(v)) for k, v in all_shingles.items()}
+        s = np.concatenate([np.zeros(0, np.uint64), *by_size.values()])
+        size = np.repeat(np.array(list(by_size), np.int64), [len(v) for v in by_size.values()])
+        order = np.lexsort((size, s))
+        self.known, first = np.unique(s[order], return_index=True)
+        self.size_of, self.size_at = size[order], np.r_[first, len(s)]  # sizes of the items that have known[i]
         self.maybe = np.zeros(1 << MAYBE_BITS, bool)
         self.maybe[(s & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
-        self.known = np.unique(s)
         self.prints, self.index = {}, {}
         values = np.arange(256, dtype=np.uint8)
         for size, items in self.sizes.items():
-            prints = np.concatenate([packed(bit_signs(s).sum(axis=0, keepdims=True)) for _, s in items])
+            prints = np.concatenate([packed(bit_signs(s).sum(axis=0, keepdims=True, dtype=np.int64)) for _, s in items])
             blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
             near = np.bitwise_count(values[None, :, None] ^ blocks.T[:, None, :]) <= radius // BLOCKS
             self.prints[size], self.index[size] = prints, np.packbits(near, axis=2)
@@ -74,13 +85,19 @@ class Items:
             if k < K:  # items under K words are one shingle of all their words
                 h = np.array([shingles(words[i : i + k], K)[0] for i in range(len(words) - k + 1)], np.uint64)
             at = np.flatnonzero(self.maybe[(h & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)])
-            at = at[np.isin(h[at], self.known)]
+            found = np.searchsorted(self.known, h[at])
+            ok = self.known[np.minimum(found, len(self.known) - 1)] == h[at]
+            at, found = at[ok], found[ok]
             if len(at):
-                for size in (x for x in self.sizes if min(x, K) == k):
-                    yield from self._windows(h, at, size, size - k + 1, least)
+                n = self.size_at[found + 1] - self.size_at[found]
+                sizes = self.size_of[np.repeat(self.size_at[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                place = np.repeat(at, n)
+                for size in np.unique(sizes).tolist():
+                    if min(size, K) == k:
+                        yield from self._windows(h, place[sizes == size], size, size - k + 1, least)
 
     def _windows(self, h: np.ndarray, at: np.ndarray, size: int, width: int, least: float) -> Iterator[tuple]:
-        """Windows of `width` shingles with one or more that some item has; others are of similarity 0 to all items."""
+        """Windows of `width` shingles with one or more that an item of the size has; others are of similarity 0 to these."""
         last = len(h) - width
         best: dict[int, tuple] = {}  # by the item's place
         if last < 0:
@@ -93,7 +110,7 @@ class Items:
             for a in range(first, end + 1, 4096):
                 b = min(a + 4095, end)
                 part = h[a : b + width]
-                sums = np.concatenate([np.zeros((1, BITS), np.int32), bit_signs(part).cumsum(axis=0, dtype=np.int32)])
+                sums = running(part)
                 n = min(width, len(part))
                 prints = packed(sums[n:] - sums[:-n])
                 blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
