@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch, written
+
 #: Words are runs of characters other than space and \t \n \v \f \r. bytes.split() cuts at exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,25 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one is set only where none is."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, n: int, at: int) -> Column:
     """True where crc32(doc_id as text) mod n is `at`; a null id counts as False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n) == F.lit(at), F.lit(False))
@@ -71,7 +53,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = 0xA24BAED4963EE407
-CHUNK = 1 << 21  # bytes that are taken apart at once
+CHUNK = 1 << 18  # bytes that are taken apart at once
 
 
 @functools.cache
@@ -137,3 +119,45 @@ def batches(fn, schema: pa.Schema):
                 yield rows_out(schema, fn(batch))
 
     return run
+
+
+SLICES = 64  # in which a filter's tasks and their sum are dealt
+_SLICE = pa.schema([("slice", pa.int32()), ("bits", pa.binary())])
+
+
+def _marked(bits: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << bits, bool)
+        for batch in it:
+            out[np.asarray(batch.column(0)) & ((1 << bits) - 1)] = True
+        if out.any():
+            parts = np.packbits(out, bitorder="little").reshape(SLICES, -1)
+            yield rows_out(_SLICE, [list(range(SLICES)), [zlib.compress(p.tobytes(), 1) for p in parts]])
+
+    return run
+
+
+def _joined(key: tuple[pa.Scalar, ...], it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out = 0
+    for batch in it:
+        for x in batch.column("bits").to_pylist():
+            out = out | np.frombuffer(zlib.decompress(x), np.uint8)
+    yield rows_out(_SLICE, [[key[0].as_py()], [out.tobytes()]])
+
+
+def bitmap(ids: DataFrame, bits: int = 24) -> np.ndarray:
+    """A filter with a bit for the last `bits` bits of each of the one column of longs: 2 MB at 24, whatever their number.
+
+    Each task marks a filter of its own; these are joined by slices, and the driver gets one row a slice.
+    """
+    out = np.zeros((SLICES, (1 << (bits - 3)) // SLICES), np.uint8)
+    rows = ids.mapInArrow(_marked(bits), "slice int, bits binary").groupBy("slice").applyInArrow(_joined, "slice int, bits binary")
+    for r in rows.collect():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def marked(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the longs a filter has marked; a few others too."""
+    at = ids.view(np.int64) & (8 * len(filter_) - 1)
+    return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0

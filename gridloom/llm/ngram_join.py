@@ -12,14 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import document_words, rows_out, shingles, written
+from .common import bitmap, document_words, marked, rows_out, shingles, written
 from .components import components
 
 K = 5
 SLICES = 64  # in which the counters of shingle hashes are summed, whose sums give the rare-first order
-MOST_BITS = 26  # 64 MB of counters, for two billion shingles or more
+MOST_BITS = 25  # 32 MB of counters, for a billion words or more
 RANGES = 64  # ranges of hashes that the suffix filter compares
-WANTED_BITS = 24  # places of the filter of the sets that a verification needs
+ROUNDS = 2  # in which sets are compared with a few others, before what still is apart is compared in full
+CHUNK = 8  # sets of a list that share a partner in a round
+BACK = 4  # shared shingles before one by which a pair is known to meet earlier
 FIRST = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("hits", pa.binary())])
 SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
 PREFIX = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
@@ -48,19 +50,21 @@ def _first(bits: int):
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << bits, np.int32)
+        sums = np.zeros(1 << bits, np.uint8)
         for batch in it:
             c, n, sig = [], [], []
             for words in document_words(batch):
                 s = shingle_set(words)
-                sums[place(s, bits)] += 1  # a set has few shingles of one bucket; they count once
+                at = place(s, bits)
+                now = sums[at]
+                sums[at] = now + (now < 255)  # a set has few shingles of one bucket; they count once
                 c.append(digest(s) if len(s) else None)
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
             none = [None] * len(c)
             yield rows_out(FIRST, [batch.column("doc_id"), c, n, sig, none, none])
         if sums.any():
-            parts = np.minimum(sums, 255).astype(np.uint8).reshape(SLICES, -1)
+            parts = sums.reshape(SLICES, -1)
             none = [None] * SLICES
             yield rows_out(FIRST, [none, none, none, none, list(range(SLICES)), [zlib.compress(p.tobytes(), 1) for p in parts]])
 
@@ -84,7 +88,9 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def _prefixes(sketch, bits: int, num: int, den: int):
+def _prefixes(sketch, bits: int, num: int, den: int, shared=None):
+    """(h, c, n, pos) of each set's rarest shingles; only those in the filter `shared`, if there is one."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in it:
@@ -97,12 +103,15 @@ def _prefixes(sketch, bits: int, num: int, den: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(c)
-                p = prefix_length(len(s), num, den)
-                order = np.argsort(counts[place(s, bits)], kind="stable")[:p]
-                hs.append(s[order].view(np.int64))
-                cs.append(np.full(p, c))
-                ns.append(np.full(p, len(s), np.int32))
-                ps.append(np.arange(p, dtype=np.int32))
+                s_p = s[np.argsort(counts[place(s, bits)], kind="stable")[: prefix_length(len(s), num, den)]]
+                pos = np.arange(len(s_p), dtype=np.int32)
+                if shared is not None:
+                    ok = marked(shared.value, s_p)
+                    s_p, pos = s_p[ok], pos[ok]
+                hs.append(s_p.view(np.int64))
+                cs.append(np.full(len(pos), c))
+                ns.append(np.full(len(pos), len(s), np.int32))
+                ps.append(pos)
             if hs:
                 yield rows_out(PREFIX, [np.concatenate(x) for x in (hs, cs, ns, ps)])
 
@@ -117,8 +126,7 @@ def _wanted(wanted):
             for words in document_words(batch):
                 s = shingle_set(words)
                 c = digest(s)
-                at = c & ((1 << WANTED_BITS) - 1)
-                if len(s) and c not in seen and bits[at >> 3] >> (at & 7) & 1:
+                if len(s) and c not in seen and marked(bits, np.array([c]))[0]:
                     seen.add(c)
                     cs.append(c)
                     members.append(s.view(np.int64))
@@ -168,13 +176,20 @@ class Join:
         self.sketch = np.zeros((SLICES, (1 << self.bits) // SLICES), np.uint8)
         for r in sums:
             self.sketch[r["slice"]] = np.frombuffer(r["sums"], np.uint8)
+        self.order = self.sent(self.sketch.ravel())
+
+    def prefixes(self, shared=None) -> DataFrame:
+        return self.docs.mapInArrow(_prefixes(self.order, self.bits, self.num, self.den, shared), "h long, c long, n int, pos int")
 
     def shared(self) -> DataFrame:
-        """(h, c, n, pos) of prefix shingles that two sets or more have."""
-        rows = self.docs.mapInArrow(_prefixes(self.sent(self.sketch.ravel()), self.bits, self.num, self.den), "h long, c long, n int, pos int")
-        by = Window.partitionBy("h")
-        once = rows.withColumn("before", F.lag("c").over(by.orderBy("n", "c"))).where("before is null or before <> c").drop("before")
-        return written(once.withColumns({"lo": F.min("c").over(by), "hi": F.max("c").over(by)}).where("lo <> hi").drop("lo", "hi"))
+        """(h, c, n, pos) of prefix shingles that two sets or more have.
+
+        Which these are comes from a partial aggregate; a filter of them is broadcast, so that the second pass over the
+        documents deals out little else. No shingle's sets meet in one task.
+        """
+        several = written(self.prefixes().groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
+        rows = self.prefixes(self.sent(bitmap(several))).groupBy("h", "c").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+        return written(rows.join(several, "h", "left_semi"))
 
     def pairs(self, p: DataFrame) -> DataFrame:
         """Distinct (a, b, na, nb), a < b, of rows (ca, na, pa, cb, nb, pb) that pass the filters."""
@@ -187,35 +202,51 @@ class Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough, from the sets themselves."""
-        bits = np.zeros(1 << (WANTED_BITS - 3), np.uint8)
-        ids = pairs.select(F.col("a").alias("c")).union(pairs.select("b"))
-        parts = ids.selectExpr(f"cast(shiftright(c & {(1 << WANTED_BITS) - 1}, 3) as int) as byte", "shiftleft(1, cast(c & 7 as int)) as bit").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-        bits[parts["byte"].to_numpy(int)] = parts["bits"].to_numpy(np.uint8)
+        bits = bitmap(pairs.select(F.col("a").alias("c")).union(pairs.select("b")))
         sets = written(self.docs.mapInArrow(_wanted(self.sent(bits)), "c long, members array<bigint>")).dropDuplicates(["c"])
         p = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return written(p.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), common.alias("common")).where(self.den * F.col("common") >= self.num * (F.col("n") - F.col("common"))).select("a", "b"))
 
-    def stars(self, shared: DataFrame) -> DataFrame:
-        """Each set with the first of its length band and with the set before it, in every shared prefix shingle's list."""
-        row = F.struct("c", "n", "pos")
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num))
-        both = shared.withColumn("band", band).withColumns({"head": F.first(row).over(Window.partitionBy("h", "band").orderBy("n", "c")), "last": F.lag(row).over(Window.partitionBy("h").orderBy("n", "c"))})
-        both = both.select("c", "n", "pos", F.explode(F.array("head", "last")).alias("o")).where("o is not null")
-        return both.select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("o.c").alias("cb"), F.col("o.n").alias("nb"), F.col("o.pos").alias("pb"))
-
-    def across(self, shared: DataFrame, roots: DataFrame) -> DataFrame:
-        """In each shared shingle's list, all pairs of sets of different components and of length bands that can link."""
+    def open(self, shared: DataFrame, roots: DataFrame | None) -> DataFrame:
+        """The rows of the shared shingles whose sets are of several components, with their root and length band."""
         band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num))
+        if roots is None:
+            return shared.select("h", "c", "n", "pos", F.col("c").alias("root"), band.alias("band"))
         rows = shared.join(roots.withColumnRenamed("node", "c"), "c", "left").select("h", "c", "n", "pos", F.coalesce("root", "c").alias("root"), band.alias("band"))
         several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        rows = written(rows.join(several, "h", "left_semi"))
+        return written(rows.join(several, "h", "left_semi"))
+
+    def stars(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Each set with a few of other components, in every list: the heads of its length band and the next, and that of its chunk.
+
+        A head is the set of least hash, another in each turn, and comes from a partial aggregate; so does a list's length,
+        which gives the number of its chunks.
+        """
+        order, one = F.xxhash64("c", F.lit(turn)), F.struct("c", "n", "pos", "root")
+        heads = rows.groupBy("h", "band").agg(F.min_by(one, order).alias("o"), F.count("*").alias("k"))
+        reach = rows.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
+        first = reach.join(heads.withColumnRenamed("band", "at"), ["h", "at"])
+        chunk = F.pmod(F.xxhash64("c", F.lit(turn), F.lit("chunk")), F.ceil(F.col("k") / CHUNK)).alias("chunk")
+        long = rows.join(heads.where(F.col("k") > 2).select("h", "band", "k"), ["h", "band"]).select("h", "band", chunk, "c", "n", "pos", "root")
+        second = long.join(long.groupBy("h", "band", "chunk").agg(F.min_by(one, order).alias("o")), ["h", "band", "chunk"])
+        out = [x.where("root <> o.root").select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("o.c").alias("cb"), F.col("o.n").alias("nb"), F.col("o.pos").alias("pb")) for x in (first, second)]
+        return out[0].union(out[1])
+
+    def across(self, rows: DataFrame) -> DataFrame:
+        """In each shared shingle's list, all pairs of sets of different components and of length bands that can link.
+
+        Two sets meet in the list of the first shingle that they share, and seldom again: not where one of the BACK shared
+        shingles before it is common too, as they have met there or before.
+        """
+        by = Window.partitionBy("c").orderBy("pos")
+        rows = written(rows.withColumn("prev", F.array_compact(F.array(*(F.lag("h", i).over(by) for i in range(1, BACK + 1))))))
         parts = rows.select("h", "root", "band").distinct()
         other = parts.select("h", F.col("root").alias("root_b"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("band_b"))
         met = parts.join(other, ["h", "band"]).where("root < root_b")
-        left = met.join(rows.withColumnsRenamed({"c": "ca", "n": "na", "pos": "pa"}), ["h", "root", "band"])
-        right = rows.select("h", F.col("root").alias("root_b"), F.col("band").alias("band_b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-        return left.join(right, ["h", "root_b", "band_b"]).select("ca", "na", "pa", "cb", "nb", "pb")
+        left = met.join(rows.withColumnsRenamed({"c": "ca", "n": "na", "pos": "pa", "prev": "prev_a"}), ["h", "root", "band"])
+        right = rows.select("h", F.col("root").alias("root_b"), F.col("band").alias("band_b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("prev").alias("prev_b"))
+        return left.join(right, ["h", "root_b", "band_b"]).where(~F.arrays_overlap("prev_a", "prev_b")).select("ca", "na", "pa", "cb", "nb", "pb")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -227,19 +258,25 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     component_id unless no other is reachable. Rows with equal sets, so repeated rows too, are one class and are compared once.
 
     Every set's rarest shingles, as many as leave no similar set without one in common, are dealt by shingle. In a
-    shingle's list, sets are compared first with the head of their length band and the one before them; after those
-    links only sets of different components are compared. Lists of one component, however long, make no more
+    shingle's list, sets are compared first with heads drawn by hash, in a few rounds; after those links only sets of
+    different components are compared, all with all. Lists of one component, however long, make no more
     pairs. "Rare" is by counts over all documents, in a
-    counter for about 32 words of input but 2^26 at most, and any order gives the same links. Shingles and
+    counter for about 32 words of input but 2^25 at most, and any order gives the same links. Shingles and
     sets are compared by 64-bit hashes: a chance agreement can join two of n distinct sets at odds of n * n / 2^65.
     """
     j = Join(docs, num, den)
-    shared = j.shared()
-    links = j.linked(j.pairs(j.stars(shared)))
-    roots = components(links)
-    more = j.pairs(j.across(shared, roots))
-    if more.limit(1).count():
-        roots = components(links.union(j.linked(more)))
+    shared, links, roots = j.shared(), None, None
+    for turn in range(ROUNDS + 1):
+        rows = j.open(shared, roots)
+        if turn and not rows.limit(1).count():
+            break
+        found = j.pairs(j.stars(rows, turn) if turn < ROUNDS else j.across(rows))
+        if found.limit(1).count():
+            found = j.linked(found)
+            links = found if links is None else links.union(found)
+            roots = components(links)
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node long, root long")
     rows = j.rows.join(roots.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n", F.coalesce("root", "c").alias("root"))
     rows = written(rows)
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
