@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators.flow import Knobs
 from gridloom.operators.transfer import Polygon
+from gridloom.plans import apps
 from gridloom.sources import fixtures, transfer_files, volumes
 from gridloom.streaming import frames
 
@@ -28,6 +30,18 @@ def test_one_file_with_channels(spark, tmp_path):
     assert got == [(0, 0, 0, [0, 1]), (0, 0, 1, [4, 5]), (1, 0, 0, [2, 3]), (1, 0, 1, [6, 7])]
 
 
+def test_segmentation_from_files(spark, tmp_path):
+    for name, far in (("low", 0.2), ("high", 0.8)):
+        df = spark.createDataFrame([(x, y, 0, abs((x > 2) - far) + 0.01 * y) for x in range(6) for y in range(3)], "x long, y long, z long, v double")
+        volumes.write_volume(df, f"file://{tmp_path}/{name}", "MET_DOUBLE")
+    nodes = spark.createDataFrame([(k, f"file://{tmp_path}/{k}/volume.mhd", None, 0.01) for k in ("low", "high")], "node string, DataTerm string, SmoothnessTerm string, Alpha double")
+    edges = spark.createDataFrame([("root", "low", None), ("root", "high", 1.0)], "src string, dst string, weight double")
+    got = {(r["x"], r["y"]): r["class"] for r in apps.segmented_files(spark, edges, nodes, Knobs(iterations=20, per_round=10)).collect()}
+    assert got == {(x, y): int(x <= 2) for x in range(6) for y in range(3)}  # leaves by name: high, low
+    with pytest.raises(ValueError):
+        apps.segmented_files(spark, edges, nodes.where("node = 'low'"))
+
+
 def test_bitmap(spark, tmp_path):
     row = bytes([1, 2, 3, 4, 5, 6, 0, 0])  # two pixels, blue first, padded to four bytes
     head = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 54 + 16, 0, 0, 54, 40, 2, 2, 1, 24, 0, 16, 0, 0, 0, 0)
