@@ -102,34 +102,61 @@ _WORD = rf"(?: |(?<![\w'])(?<!\s\s)){_L}+(?![\w'])"
 PIECES = re.compile(rf"{_WORD}|(?:(?!{_WORD}).)+", re.DOTALL)
 
 
+def is_word(piece: str) -> bool:
+    return piece.isalpha() or (piece[0] == " " and piece[1:].isalpha())
+
+
 class Encoder:
     """Ids of texts under a byte-level vocabulary that splits texts before merging by the public pattern.
 
     That pattern makes a token boundary before a Latin word, its one space included, and after it, unless another
     letter, a digit, an apostrophe or more white space touches it; merges never cross a boundary. So a text is cut there, and each
-    distinct piece is encoded once and remembered while there are fewer than `most`. A text that holds the name of a
-    special token is one piece.
+    distinct piece is encoded once and remembered while there are at most `most`. New words are encoded many at a time,
+    as lines of one text: a line end before a word or a space and a word is a token of its own. A text that holds the
+    name of a special token is one piece.
     """
 
-    most = 1_000_000
+    most = 1_500_000
+    line = 2000  # words that are encoded as one text
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.end = self.ids(["\n"])[0]
+        if len(self.end) != 4:
+            raise ValueError("a line end isn't a token of its own in this vocabulary")
+
+    def ids(self, some: list[str]) -> list[bytes]:
+        """Each text's ids as 32-bit integers."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+
+    def words(self, some: list[str]) -> list[bytes]:
+        """Each word's ids: the lines of one text."""
+        flat = np.frombuffer(self.ids(["\n".join(some)])[0], "<u4")
+        ends = 4 * np.flatnonzero(flat == np.frombuffer(self.end, "<u4")[0])
+        raw, starts = flat.tobytes(), [0, *(ends + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True)]
+
+    def learn(self, new: set[str]) -> None:
+        words = list(filter(is_word, new))
+        for i in range(0, len(words), self.line):
+            some = words[i : i + self.line]
+            self.known.update(zip(some, self.words(some), strict=True))
+        rest = list(new.difference(words))
+        self.known.update(zip(rest, self.ids(rest), strict=True))
 
     def of(self, all_texts: list[str]) -> Iterator[np.ndarray]:
         for a in range(0, len(all_texts), 256):
             parts = [[t] if any(x in t for x in self.special) else PIECES.findall(t) for t in all_texts[a : a + 256]]
-            every = set().union(*parts)
-            new = [p for p in every if p not in self.known]
-            if len(self.known) + len(new) > self.most:
-                self.known.clear()
-                new = list(every)
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                self.known.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-            for p in parts:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u4")
+            found = [list(map(self.known.get, p)) for p in parts]
+            gaps = [[i for i, v in enumerate(f) if v is None] if None in f else () for f in found]
+            self.learn({p[i] for p, gap in zip(parts, gaps, strict=True) for i in gap})
+            for p, f, gap in zip(parts, found, gaps, strict=True):
+                for i in gap:
+                    f[i] = self.known[p[i]]
+                yield np.frombuffer(b"".join(f), "<u4")
+            if len(self.known) > self.most:  # what these texts have is likely to come again
+                self.known = {x: self.known[x] for x in set().union(*parts)}
 
 
 @functools.cache
