@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+
 MOST_CHANNELS = 20
 
 
@@ -132,7 +134,7 @@ def stretch(df: DataFrame, v: str, left: float, right: float, top: float = 255.0
     The ranks are counted over the distinct values, so no sort of the whole column goes through one task: counts by value
     are pre-aggregated, ranges of them are summed, and the two cuts are found from sums of ranges and one range each.
     """
-    values = df.where(F.col(v).isNotNull()).groupBy(F.col(v).cast("double").alias("val")).agg(F.count("*").alias("c"))
+    values = written(df.where(F.col(v).isNotNull()).groupBy(F.col(v).cast("double").alias("val")).agg(F.count("*").alias("c")))
     n = values.agg(F.sum("c")).first()[0] or 0
     lo, hi = (quantile_cut(values, int(n * p / 100), n) for p in (left, 100 - right))
     span = hi - lo
