@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, mixing, ngram_join, token_files, toxicity
-from gridloom.llm.common import table, written
+from gridloom.llm.common import small_batches, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group that links of n-gram Jaccard 0.8 make."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -37,6 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, read back from the token files."""
+    small_batches(spark)
     return token_files.token_files(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

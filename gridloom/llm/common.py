@@ -17,10 +17,19 @@ from ..scratch import scratch, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+ROWS_A_BATCH = 2000  # that Spark hands to Python at once: some MB of documents, of which several copies are held
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus. The session's Arrow batches are set to ROWS_A_BATCH rows from here on, as texts are long."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+
+
 def fold(doc_id: Column, n: int, at: int) -> Column:
     """True where crc32(doc_id as text) mod n is `at`; a null id counts as False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n) == F.lit(at), F.lit(False))

@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
     rows = j.rows.join(roots.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n", F.coalesce("root", "c").alias("root"))
     rows = written(rows)
-    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = written(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
