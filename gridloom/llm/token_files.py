@@ -116,7 +116,7 @@ class Encoder:
     name of a special token is one piece.
     """
 
-    most = 1_500_000
+    most = 300_000
     line = 2000  # words that are encoded as one text
 
     def __init__(self, path: str):
