@@ -70,10 +70,11 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *some, topic(F.coalesce("text", F.lit(""))).alias("topic"), n_words(F.col("text")).alias("n_tokens"))
 
 
-def probabilities(cells: DataFrame, power: float, keep: float, rounds: int) -> DataFrame:
-    """The dimensions and `p`: keep * share that is wanted / share that is there, 1 at most."""
+def probabilities(cells: DataFrame, power: float, keep: float, rounds: int, most: float | None = 1.0) -> DataFrame:
+    """The dimensions and `p`: keep * share that is wanted / share that is there, `most` at most."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 1.0
-    p = F.least(F.lit(1.0), F.lit(keep * total) * F.col("weight") / F.col("tokens"))
+    p = F.lit(keep * total) * F.col("weight") / F.col("tokens")
+    p = p if most is None else F.least(F.lit(most), p)
     return written(rake(cells, power, rounds).select(*DIMENSIONS, F.round(p, 9).alias("p")))
 
 
@@ -84,18 +85,26 @@ def sampled(rows: DataFrame, cells: DataFrame, seed: int, salts: int) -> DataFra
     return out.select("doc_id", *DIMENSIONS, "n_tokens", p.alias("probability"), (draw(F.col("doc_id"), seed) < p).alias("kept"))
 
 
-def kept(docs: DataFrame, power: float = 0.7, keep: float = 0.8, seed: int = 17, rounds: int = ROUNDS, salts: int = 32, most_cells: int = 50_000) -> DataFrame:
-    """The rows of docs, with all their columns, that mix() keeps. Up to `most_cells` cells are broadcast, so that texts stay where they are."""
+def kept(docs: DataFrame, power: float = 0.7, keep: float = 0.8, seed: int = 17, rounds: int = ROUNDS, salts: int = 32, most_cells: int = 50_000, repeat: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, that mix() keeps. Up to `most_cells` cells are broadcast, so that texts stay where they are.
+
+    With `repeat` the probability isn't cut at 1: a row comes once for each whole unit and once more if its draw is below
+    the rest, so that `keep` of the tokens are expected, with the wanted marginal shares.
+    """
     dims = [F.coalesce(F.col(f"doc.{d}").cast("string"), F.lit("")).alias(d) for d in ("source", "lang")]
     rows = docs.select(F.struct(*docs.columns).alias("doc")).select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), *dims, topic(F.coalesce("doc.text", F.lit(""))).alias("topic"))
     sums = measured(docs).where("n_tokens > 0").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    cells = probabilities(written(sums), power, keep, rounds)
+    cells = probabilities(written(sums), power, keep, rounds, None if repeat else 1.0)
     if cells.count() <= most_cells:
         out = rows.join(F.broadcast(cells), [*DIMENSIONS], "left")
     else:
         copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(copies, [*DIMENSIONS, "salt"], "left")
-    return out.where(draw(F.col("doc_id"), seed) < F.coalesce("p", F.lit(1.0))).select("doc.*")
+    p = F.coalesce("p", F.lit(1.0))
+    if repeat:
+        copies = (F.floor(p) + (draw(F.col("doc_id"), seed) < p - F.floor(p)).cast("int")).cast("int")
+        return out.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("doc.*")
+    return out.where(draw(F.col("doc_id"), seed) < p).select("doc.*")
 
 
 def mixing_sql(rounds: int = ROUNDS, power: float = 0.7, keep: float = 0.8, seed: int = 17, docs: str = "documents") -> str:

@@ -57,3 +57,14 @@ def test_mix_and_kept_agree(spark):
         assert kept.columns == docs.columns and sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == a
     none = docs.limit(0)
     assert mixing.mix(none).count() == 0 and mixing.kept(none).count() == 0
+
+
+def test_repeated_documents_reach_the_marginals(spark):
+    rows = [(i, "tok " * 8 if i % 50 else "a@b.c " * 8, "en" if i % 20 else "fr", f"s{i % 3}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    tokens = mixing.measured(docs).groupBy("lang", "topic").agg(F.sum("n_tokens").alias("t")).toPandas()
+    got = mixing.measured(mixing.kept(docs, 0.3, repeat=True)).groupBy("lang", "topic").agg(F.sum("n_tokens").alias("t")).toPandas()
+    assert got["t"].sum() == pytest.approx(0.8 * tokens["t"].sum(), rel=0.05)
+    for d in ("lang", "topic"):
+        want = tokens.groupby(d)["t"].sum() ** 0.3
+        assert (got.groupby(d)["t"].sum() / got["t"].sum() - want / want.sum()).abs().max() < 0.02
