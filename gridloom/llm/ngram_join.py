@@ -192,11 +192,9 @@ class Join:
         return written(rows.join(several, "h", "left_semi"))
 
     def pairs(self, p: DataFrame) -> DataFrame:
-        """Distinct (a, b, na, nb), a < b, of rows (ca, na, pa, cb, nb, pb) that pass the filters."""
-        c = {k: F.col(k) for k in ("ca", "na", "pa", "cb", "nb", "pb")}
-        p = p.where((c["ca"] != c["cb"]) & possible(c["na"], c["nb"], c["pa"], c["pb"], self.num, self.den))
-        turn = c["ca"] > c["cb"]
-        p = p.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), F.when(turn, c["nb"]).otherwise(c["na"]).alias("na"), F.when(turn, c["na"]).otherwise(c["nb"]).alias("nb")).distinct()
+        """Distinct (a, b, na, nb), a < b, of the rows (ca, na, cb, nb) that pass the suffix filter."""
+        turn = F.col("ca") > F.col("cb")
+        p = p.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
         p = p.join(self.sigs.withColumnsRenamed({"c": "a", "sig": "sig_a"}), "a").join(self.sigs.withColumnsRenamed({"c": "b", "sig": "sig_b"}), "b")
         return written(p.select("a", "b", "na", "nb", "sig_a", "sig_b").mapInArrow(_far_suffixes(self.num, self.den), "a long, b long, na int, nb int"))
 
@@ -230,23 +228,33 @@ class Join:
         chunk = F.pmod(F.xxhash64("c", F.lit(turn), F.lit("chunk")), F.ceil(F.col("k") / CHUNK)).alias("chunk")
         long = rows.join(heads.where(F.col("k") > 2).select("h", "band", "k"), ["h", "band"]).select("h", "band", chunk, "c", "n", "pos", "root")
         second = long.join(long.groupBy("h", "band", "chunk").agg(F.min_by(one, order).alias("o")), ["h", "band", "chunk"])
-        out = [x.where("root <> o.root").select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("o.c").alias("cb"), F.col("o.n").alias("nb"), F.col("o.pos").alias("pb")) for x in (first, second)]
+        fits = possible(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos"), self.num, self.den)
+        out = [x.where((F.col("root") != F.col("o.root")) & fits).select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("o.c").alias("cb"), F.col("o.n").alias("nb")) for x in (first, second)]
         return out[0].union(out[1])
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """In each shared shingle's list, all pairs of sets of different components and of length bands that can link.
-
-        Two sets meet in the list of the first shingle that they share, and seldom again: not where one of the BACK shared
-        shingles before it is common too, as they have met there or before.
+        """In each shared shingle's list, the pairs of sets of different components that the length and positional filters let link.
+
+        With m of a set's n shingles left from the shared one on, a partner has at most top = (num + den) * m / num - n
+        shingles (and the set at most the partner's top). So of a pair the smaller set's span n..top holds the larger set's n, and the filters are
+        part of the key: a set is in the cell of its n, and covers the cells of its span, if that isn't empty. Cells are of sizes within 3 %.
+        In a cell, components meet first, each as one row with its least and greatest sizes, so copies in a list make no more
+        pairs; then only the sets that fit the other component's sizes are taken. Where one of the BACK shared shingles before this one is common too, a pair has
+        met there or before.
         """
-        by = Window.partitionBy("c").orderBy("pos")
-        rows = written(rows.withColumn("prev", F.array_compact(F.array(*(F.lag("h", i).over(by) for i in range(1, BACK + 1))))))
-        parts = rows.select("h", "root", "band").distinct()
-        other = parts.select("h", F.col("root").alias("root_b"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("band").alias("band_b"))
-        met = parts.join(other, ["h", "band"]).where("root < root_b")
-        left = met.join(rows.withColumnsRenamed({"c": "ca", "n": "na", "pos": "pa", "prev": "prev_a"}), ["h", "root", "band"])
-        right = rows.select("h", F.col("root").alias("root_b"), F.col("band").alias("band_b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("prev").alias("prev_b"))
-        return left.join(right, ["h", "root_b", "band_b"]).where(~F.arrays_overlap("prev_a", "prev_b")).select("ca", "na", "pa", "cb", "nb", "pb")
+        by, n, top = Window.partitionBy("c").orderBy("pos"), F.col("n"), F.floor((self.num + self.den) * (F.col("n") - F.col("pos")) / self.num).cast("int") - F.col("n")
+        rows = rows.select("h", "root", "c", "n", top.alias("top"), F.array_compact(F.array(*(F.lag("h", i).over(by) for i in range(1, BACK + 1)))).alias("prev"))
+        rows = written(rows)
+        cell = lambda size: F.floor(F.log(size.cast("double")) / math.log(1.03)).cast("int")
+        large = rows.withColumn("cell", cell(n))
+        small = rows.where("top >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("top")))))
+        ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("reach")]
+        a, b = (x.groupBy("h", "cell", "root").agg(*ends).withColumnsRenamed({k: f"{k}_{side}" for k in ("root", "least", "most", "reach")}) for side, x in (("a", large), ("b", small)))
+        met = a.join(b, ["h", "cell"]).where("root_a <> root_b and least_a <= reach_b and least_b <= reach_a and least_b <= most_a")
+        met = met.select("h", "cell", "root_a", "root_b", "least_b", "reach_b")
+        left = met.join(large.withColumnsRenamed({"root": "root_a", "c": "ca", "n": "na", "top": "top_a", "prev": "prev_a"}), ["h", "cell", "root_a"]).where("na <= reach_b and least_b <= top_a and least_b <= na")
+        right = small.withColumnsRenamed({"root": "root_b", "c": "cb", "n": "nb", "top": "top_b", "prev": "prev_b"})
+        return left.join(right, ["h", "cell", "root_b"]).where("nb <= na and na <= top_b and nb <= top_a and not arrays_overlap(prev_a, prev_b)").select("ca", "na", "cb", "nb")
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
