@@ -17,17 +17,17 @@ from ..scratch import scratch, written
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-ROWS_A_BATCH = 2000  # that Spark hands to Python at once: some MB of documents, of which several copies are held
+BATCH_BYTES = 4 << 20  # that Spark hands to Python at once, whatever the number of rows; several copies are held
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the corpus. The session's Arrow batches are set to ROWS_A_BATCH rows from here on, as texts are long."""
+    """A table of the corpus. The session's Arrow batches are bounded to BATCH_BYTES from here on, as texts are long; the number of rows stays as set."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fold(doc_id: Column, n: int, at: int) -> Column:
@@ -66,7 +66,7 @@ CHUNK = 1 << 18  # bytes that are taken apart at once
 
 
 @functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _P and of its inverse modulo 2^64."""
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64))))
 
@@ -84,7 +84,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     first[cut] |= solid[cut + 1]
     last[cut - 1] |= solid[cut]
     a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(1 << max(CHUNK.bit_length(), int(n).bit_length()))
+    up, down = powers(1 << max(CHUNK.bit_length(), int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * ODD[7]), np.searchsorted(a, starts)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,166 +9,177 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, texts, written
+from .common import ODD, mixed, powers, rows_out, texts, written
 
 #: Lower-case ASCII letters; other ASCII characters but digits become spaces.
-FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)], np.uint8)
 PARTS = (4, 5, 6, 7)  # bytes of the starts of a word that are terms beside the word, so that compounds of an insult share one
-TERMS = pa.schema([("term", pa.int32()), ("label", pa.int32()), ("n", pa.int64())])
-PLACES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("places", pa.list_(pa.int32()))])
+CHUNK = 1 << 20  # bytes of texts whose terms are hashed at once
+ROWS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def hashed(word: bytes, bits: int) -> set[int]:
-    """The terms of a word."""
-    return {zlib.crc32(word) >> (32 - bits), *(zlib.crc32(word[:n], n) >> (32 - bits) for n in PARTS if len(word) >= n)}
+def hashed(some: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct buckets of each text's terms, ascending."""
+    n = np.fromiter(map(len, some), np.int64, len(some))
+    starts = np.cumsum(n + 1) - (n + 1)
+    data = FOLD[np.frombuffer(b" ".join(some), np.uint8)]
+    solid = np.r_[False, data != 32, False]
+    a, b = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1
+    up, down = powers(1 << max(CHUNK.bit_length(), len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    row = (np.searchsorted(starts, a, side="right") - 1).astype(np.uint64) << np.uint64(bits)
+    out = []
+    for k in (0, *PARTS):
+        ok = slice(None) if k == 0 else np.flatnonzero(b - a >= k)
+        s = a[ok]
+        e = s + k if k else b
+        h = mixed((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * ODD[7] + np.uint64(k))
+        out.append(row[ok] | (h >> np.uint64(64 - bits)))
+    u = np.unique(np.concatenate(out))
+    return (u >> np.uint64(bits)).astype(np.int64), (u & np.uint64((1 << bits) - 1)).astype(np.int32)
+
+
+def chunks(some: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Bounds of texts that have about CHUNK bytes together, or are one."""
+    first, size = 0, 0
+    for i, t in enumerate(some):
+        if i > first and size + len(t) > CHUNK:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if first < len(some):
+        yield first, len(some)
 
 
-class Memo(dict):
-    """What a word gives, remembered while there are fewer than `most` words."""
-
-    def __init__(self, give, most: int = 200_000):
-        self.give, self.most = give, most
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.most:
-            self.clear()
-        v = self[word] = self.give(word)
-        return v
-
-    def of(self, text: bytes) -> list[int]:
-        """What the text's distinct words give, ascending."""
-        return sorted(set().union(*map(self.__getitem__, set(text.translate(FOLD).split()))))
+class Machine:
+    """score = sigmoid(w0 + sum of w[i] x[i] + sum over pairs of v[i] . v[j] x[i] x[j]) over the buckets of a text's terms.
 
+    x[i] is value[i], by the share of documents that have the bucket, over the root of the length of the text's vector of values.
+    """
 
-class Machine:
-    """score = sigmoid(w0 + sum of w[i] + sum over pairs of v[i] . v[j]) over the chosen terms that a text has."""
+    def __init__(self, value: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
+        self.value, self.w0, self.w, self.v = value, w0, w, v
 
-    def __init__(self, chosen: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray):
-        self.chosen, self.w0, self.w, self.v = chosen, w0, w, v
+    def inputs(self, at: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        x = self.value[at]
+        return x / np.maximum(np.bincount(row, x * x, n), 1e-12)[row] ** 0.25
 
-    def raw(self, at: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Raw scores of n rows, and the rows' sums of v. at: places of terms, row: their rows, ascending."""
+    def raw(self, at: np.ndarray, row: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Raw scores of n rows, and the rows' sums of v x. at: buckets, row: their rows, ascending."""
         s = np.zeros((n, self.v.shape[1]))
         q = np.full(n, self.w0)
         if len(at):
             first = np.flatnonzero(np.diff(row, prepend=-1))
-            v = self.v[at]
+            v = self.v[at] * x[:, None]
             s[row[first]] = np.add.reduceat(v, first)
-            q[row[first]] += np.add.reduceat(self.w[at] - 0.5 * (v * v).sum(axis=1), first)
+            q[row[first]] += np.add.reduceat(self.w[at] * x - 0.5 * (v * v).sum(axis=1), first)
         return q + 0.5 * (s * s).sum(axis=1), s
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> None:
-        """Minibatch AdaGrad on the logistic loss."""
-        rng = np.random.default_rng(seed)
-        g0, gw, gv = 1e-8, np.full_like(self.w, 1e-8), np.full_like(self.v, 1e-8)
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, shrink: float, seed: int) -> None:
+        """Minibatch AdaGrad on the logistic loss; after each step the weights it has touched shrink towards 0 by `shrink` times their step."""
+        rng, m = np.random.default_rng(seed), len(self.w)
+        n0, n = 1e-8, np.full((m, 1 + self.v.shape[1]), 1e-5)
+        size = int(np.clip(len(rows) // 64, 16, 256))
         for _ in range(epochs):
             order = rng.permutation(len(rows))
-            for a in range(0, len(rows), 256):
-                part = order[a : a + 256]
-                at = np.concatenate([rows[i] for i in part])
+            for a in range(0, len(rows), size):
+                part = order[a : a + size]
                 row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-                raw, s = self.raw(at, row, len(part))
-                err = (1 / (1 + np.exp(-raw)) - y[part]) / len(part)
-                e = err[row]
-                dw = np.bincount(at, e, len(self.w)) + decay * self.w
-                dv = decay * self.v
-                for f in range(self.v.shape[1]):
-                    dv[:, f] += np.bincount(at, e * (s[row, f] - self.v[at, f]), len(self.w))
+                at = np.concatenate([rows[i] for i in part])
+                x = self.inputs(at, row, len(part))
+                raw, s = self.raw(at, row, x, len(part))
+                err = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[part]) / len(part)
+                e = err[row] * x
+                some, back = np.unique(at, return_inverse=True)
+                own = np.bincount(back, e * x, len(some))
+                for f in range(-1, self.v.shape[1]):
+                    old = self.w[some] if f < 0 else self.v[some, f]
+                    g = np.bincount(back, e, len(some)) if f < 0 else np.bincount(back, e * s[row, f], len(some)) - own * old
+                    n[some, f + 1] += g * g
+                    step = rate / np.sqrt(n[some, f + 1])
+                    new = old - step * g
+                    new = np.sign(new) * np.maximum(np.abs(new) - step * shrink, 0)
+                    if f < 0:
+                        self.w[some] = new
+                    else:
+                        self.v[some, f] = new
                 d0 = err.sum()
-                g0 += d0 * d0
-                gw += dw * dw
-                gv += dv * dv
-                self.w0 -= rate * d0 / g0**0.5
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= rate * dv / np.sqrt(gv)
+                n0 += d0 * d0
+                self.w0 -= rate * d0 / n0**0.5
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 24, most_rows: int = 20_000, most_terms: int = 4096, least_z: float = 3.0, rank: int = 4, epochs: int = 40, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Machine:
-    """Learn labels.toxic from at most `most_rows` labelled rows, those with the least hash of doc_id, that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 18, most_rows: int = 20_000, rank: int = 4, epochs: int = 12, rate: float = 0.1, shrink: float = 1e-3, half: float = 20.0, seed: int = 7) -> Machine:
+    """Learn labels.toxic from at most `most_rows` labelled documents, those with the least hash of doc_id and text, that are not held out.
 
-    Of several labels of a doc_id the largest counts; null labels and ids are not learned from. `most_rows` bounds
-    what reaches the driver. The machine keeps the up to `most_terms` hashed terms whose share differs most between the
-    two labels (a z-score of `least_z` or more). Without labels every score is 0.
+    Of several labels of a doc_id the largest counts; null labels and ids are not learned from, nor are repeated rows of one doc_id and text.
+    `most_rows` bounds the rows that reach the driver. All terms of these rows, hashed to 2^bits buckets, have a weight and a vector;
+    none is chosen by its label. A bucket's value is the log of the inverse share of documents that have it, times n / (n + half) for n
+    documents, so that what few documents have weighs little. Without labels every score is 0; with one label alone, that label's.
     """
-    some = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id"))
-    totals = {r["label"] > 0: r["n"] for r in known.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    if len(totals) < 2:
-        return Machine(np.zeros(0, np.int64), 40.0 if True in totals else -40.0, np.zeros(0), np.zeros((0, rank)))
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sums = Memo(lambda w: hashed(w, bits)), ({}, {})
-        for batch in it:
-            for t, y in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
-                for term in memo.of(t):
-                    sums[y > 0][term] = sums[y > 0].get(term, 0) + 1
-        for y in (0, 1):
-            yield rows_out(TERMS, [list(sums[y]), [y] * len(sums[y]), list(sums[y].values())])
-
-    all_n, base = sum(totals.values()), totals[True] / sum(totals.values())
-    counts = known.select("text", "label").mapInArrow(count, "term int, label int, n long").groupBy("term").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("pos"))
-    n = F.col("n")
-    z = F.abs(F.col("pos") - n * base) / F.sqrt(n * base * (1 - base) * (1 - n / (all_n + 1)))
-    best = counts.where(n >= 5).select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most_terms)
-    chosen = np.sort(best.toPandas()["term"].to_numpy(np.int64))
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda w: places(chosen, hashed(w, bits)))
+    some = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    known = rows.select("doc_id", "key").join(some, "doc_id").distinct().orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(most_rows)
+    known = written(known)
+    known = written(rows.join(F.broadcast(known), ["doc_id", "key"]).select("doc_id", "key", "label", "text").dropDuplicates(["doc_id", "key"]).select("doc_id", "label", "text"))
+
+    def hash_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            yield rows_out(PLACES, [batch.column("doc_id"), batch.column("label"), list(map(memo.of, texts(batch)))])
-
-    got = known.select("doc_id", "label", "text").mapInArrow(place, "doc_id long, label int, places array<int>").toPandas()
-    rows = [np.asarray(x, np.int64) for x in got["places"]]
-    y = (got["label"].to_numpy() > 0).astype(float)
-    order = sorted(range(len(rows)), key=lambda i: (got["doc_id"][i], y[i], rows[i].tobytes()))  # rows come in any order
-    rng = np.random.default_rng(seed)
-    m = Machine(chosen, float(np.log(base / (1 - base))), np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), rank)))
-    m.fit([rows[i] for i in order], y[order], epochs, rate, decay, seed)
+            some = texts(batch)
+            for a, b in chunks(some):
+                row, at = hashed(some[a:b], bits)
+                ends = np.searchsorted(row, np.arange(b - a + 1)).tolist()
+                yield rows_out(ROWS, [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), [at[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]])
+
+    got = known.mapInArrow(hash_terms, "doc_id long, label int, terms binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["label"], r["terms"]))  # rows come in any order
+    y = np.array([float(r["label"] > 0) for r in got])
+    sent = [np.frombuffer(r["terms"], np.int32) for r in got]
+    if not len(y) or y.min() == y.max():
+        return Machine(np.zeros(1 << bits), 40.0 if len(y) and y[0] else -40.0, np.zeros(1 << bits), np.zeros((1 << bits, rank)))
+    n = np.zeros(1 << bits)
+    for at in sent:
+        n[at] += 1
+    rng, base = np.random.default_rng(seed), y.mean()
+    value = np.log((len(y) + 1) / (n + 1)) * n / (n + half)
+    m = Machine(value, float(np.log(base / (1 - base))), np.zeros(1 << bits), rng.normal(0, 0.05, (1 << bits, rank)))
+    m.fit(sent, y, epochs, rate, shrink, seed)
+    m.v[n == 0] = 0
+    m.value, m.w, m.v = (z.astype(np.float32) for z in (m.value, m.w, m.v))
     return m
 
 
-def places(chosen: np.ndarray, terms: set[int]) -> list[int]:
-    """Places of those terms that are among the chosen, which ascend."""
-    h = np.fromiter(terms, np.int64, len(terms))
-    p = np.searchsorted(chosen, h)
-    return p[(p < len(chosen)) & (chosen[np.minimum(p, len(chosen) - 1)] == h)].tolist() if len(chosen) else []
-
-
-def judge(machine: Machine, bits: int):
-    """A function from texts to scores, which remembers words."""
-    memo = Memo(lambda w: places(machine.chosen, hashed(w, bits)))
-
-    def scores(all_texts: list[bytes]) -> np.ndarray:
-        at = list(map(memo.of, all_texts))
-        flat = np.fromiter((x for a in at for x in a), np.int64)
-        raw, _ = machine.raw(flat, np.repeat(np.arange(len(at)), list(map(len, at))), len(at))
-        return 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
-
-    return scores
+def judge(machine: Machine, some: list[bytes]) -> np.ndarray:
+    """The scores of texts."""
+    bits, out = len(machine.w).bit_length() - 1, [np.zeros(0)]
+    for a, b in chunks(some):
+        row, at = hashed(some[a:b], bits)
+        seen = machine.value[at] > 0
+        row, at = row[seen], at[seen]
+        raw, _ = machine.raw(at, row, machine.inputs(at, row, b - a), b - a)
+        out.append(1 / (1 + np.exp(-np.clip(raw, -40, 40))))
+    return np.concatenate(out)
 
 
-def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3, bits: int = 24) -> DataFrame:
+def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of (doc_id, text), judged by its whole text; null is as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = judge(sent.value, bits)
         for batch in it:
-            s = scores(texts(batch))
+            s = judge(sent.value, texts(batch))
             yield rows_out(SCORES, [batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32)])
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def clean(docs: DataFrame, machine: Machine, threshold: float = 0.3, bits: int = 24) -> DataFrame:
-    """The rows of docs, with all their columns, whose text scores under the threshold."""
+def clean(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores under the threshold; rows of null or empty text are judged as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = judge(sent.value, bits)
         for batch in it:
-            yield batch.filter(pa.array(scores(texts(batch)) < threshold))
+            yield batch.filter(pa.array(judge(sent.value, texts(batch)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,8 @@
 """Toxicity and language: held-out accuracy, gradients, and defined results for odd rows."""
 
+import re
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,21 +14,62 @@ from gridloom.llm.queries import op2_factorization_toxicity, op5_naive_bayes_lan
 
 def test_machine_scores_pairs():
     rng = np.random.default_rng(0)
-    m = toxicity.Machine(np.arange(5), 0.3, rng.normal(size=5), rng.normal(size=(5, 3)))
+    m = toxicity.Machine(rng.random(5) + 0.1, 0.3, rng.normal(size=5), rng.normal(size=(5, 3)))
     rows = [[0, 2, 4], [], [1]]
-    raw, _ = m.raw(np.array([x for r in rows for x in r]), np.repeat([0, 1, 2], [3, 0, 1]), 3)
-    want = [0.3 + sum(m.w[i] for i in r) + sum(m.v[i] @ m.v[j] for i in r for j in r if i < j) for r in rows]
-    assert np.allclose(raw, want)
-
-
-def test_machine_learns_what_single_weights_cannot():
+    at, row = np.array([x for r in rows for x in r]), np.repeat([0, 1, 2], [3, 0, 1])
+    raw, _ = m.raw(at, row, m.inputs(at, row, 3), 3)
+    for r, got in zip(rows, raw, strict=True):
+        length = sum(m.value[i] ** 2 for i in r) ** 0.5
+        x = {i: m.value[i] / length**0.5 for i in r}
+        assert np.isclose(got, 0.3 + sum(m.w[i] * x[i] for i in r) + sum(m.v[i] @ m.v[j] * x[i] * x[j] for i in r for j in r if i < j))
+
+
+def plain_terms(text):
+    out = set()
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.encode().lower()):
+        out |= {(0, w), *((k, w[:k]) for k in toxicity.PARTS if len(w) >= k)}
+    return out
+
+
+def test_terms_are_words_and_their_starts():
+    some = ["Some words, some-thing ÄÖ", "", "a", "numb3rs some"]
+    row, at = toxicity.hashed([t.encode() for t in some], 40 - 12)
+    terms = [plain_terms(t) for t in some]
+    assert np.bincount(row, minlength=4).tolist() == [len(t) for t in terms]
+    assert len(set(at.tolist())) == len(set().union(*terms))
+    assert set(at[row == 0].tolist()) & set(at[row == 3].tolist()) and not set(at[row == 2].tolist()) & set(at[row == 0].tolist())
+
+
+def test_query_against_plain_scores(spark, sf):
+    """Each document's score by the formula, term by term, from the fitted weights."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    held_out = fold(F.col("doc_id"), 4, 2)
+    m = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), held_out)
+    got = {r["doc_id"]: r for r in op2_factorization_toxicity(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[:60]:
+        _, at = toxicity.hashed([(r["text"] or "").encode()], 18)
+        x = m.value[at].astype(float)
+        x /= max(float((x * x).sum()), 1e-12) ** 0.25
+        v = m.v[at].astype(float) * x[:, None]
+        raw = m.w0 + float(m.w[at] @ x) + float(sum(v[i] @ v[i + 1 :].sum(axis=0) for i in range(len(v) - 1)))
+        mine = got[r["doc_id"]]
+        assert mine["score"] == pytest.approx(1 / (1 + np.exp(-raw)), abs=1e-4) and mine["predicted"] == (mine["score"] >= 0.3)
+        assert mine["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+@pytest.mark.parametrize("what", ["both", "one of two"])
+def test_fit_learns_what_single_weights_cannot(spark, what):
     rng = np.random.default_rng(1)
-    rows = [np.flatnonzero(rng.random(4) < 0.5) for _ in range(2000)]
-    y = np.array([float((0 in r) and (1 in r)) for r in rows])
-    m = toxicity.Machine(np.arange(4), 0.0, np.zeros(4), rng.normal(0, 0.05, (4, 4)))
-    m.fit(rows, y, 60, 0.2, 1e-6, 7)
-    raw, _ = m.raw(np.concatenate(rows), np.repeat(np.arange(len(rows)), list(map(len, rows))), len(rows))
-    assert ((raw > 0) == (y > 0)).mean() > 0.99
+    rows = [(i, set(np.flatnonzero(rng.random(2) < 0.5)), " ".join(f"filler{k}" for k in rng.integers(0, 40, 6))) for i in range(2400)]
+    label = (lambda s: len(s) == 2) if what == "both" else (lambda s: len(s) == 1)
+    docs = spark.createDataFrame([(i, " ".join([*(("alpha", "omega")[j] for j in sorted(s)), t])) for i, s, t in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(label(s))) for i, s, _ in rows], "doc_id long, toxic int")
+    held_out = fold(F.col("doc_id"), 4, 2)
+    m = toxicity.fit(docs, labels, held_out)
+    got = toxicity.score(docs, m, held_out, 0.5).where("held_out").collect()
+    assert np.mean([r["predicted"] == label(rows[r["doc_id"]][1]) for r in got]) > 0.95
 
 
 def test_toxicity_of_held_out_documents(spark):
