@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,16 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextlib.contextmanager
+def lent(spark: SparkSession, value) -> Iterator[Broadcast]:
+    """A broadcast that executors give up when what needs it has been written."""
+    sent = spark.sparkContext.broadcast(value)
+    try:
+        yield sent
+    finally:
+        sent.unpersist()
+
+
 def fold(doc_id: Column, n: int, at: int) -> Column:
     """True where crc32(doc_id as text) mod n is `at`; a null id counts as False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n) == F.lit(at), F.lit(False))
@@ -90,19 +102,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * ODD[7]), np.searchsorted(a, starts)
 
 
-def document_words(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
-    """Hashes of the words of each text of a batch, A-Z in lower case; null is as empty."""
+def word_chunks(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, hashes of the words of the texts i to j of a batch, each text's first word among them), A-Z in lower case; null is as empty."""
     col = batch.column(name).cast(pa.large_binary()).fill_null(b"")
     at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(col):
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK, "right")) - 1)
-        h, first = word_hashes(data[at[i] : at[j]], at[i:j] - at[i])
-        yield from np.split(h, first[1:])
+        yield i, j, *word_hashes(data[at[i] : at[j]], at[i:j] - at[i])
         i = j
 
 
+def document_words(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
+    """Hashes of the words of each text of a batch."""
+    for _, _, h, first in word_chunks(batch, name):
+        yield from np.split(h, first[1:])
+
+
 def words_of(text: bytes) -> np.ndarray:
     """Hashes of one text's words."""
     return word_hashes(np.frombuffer(text, np.uint8), np.zeros(1, np.int64))[0]
