@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, document_words, marked, rows_out, shingles, written
+from .common import bitmap, document_words, lent, marked, rows_out, shingles, written
 from .components import components
 
 K = 5
@@ -166,17 +166,17 @@ class Join:
     def __init__(self, docs: DataFrame, num: int, den: int):
         self.num, self.den = num, den
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.sent = docs.sparkSession.sparkContext.broadcast
+        self.spark = docs.sparkSession
         size = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.bits = min(MOST_BITS, max(12, (size // 200).bit_length()))  # a counter for about 32 words
         first = written(self.docs.mapInArrow(_first(self.bits), "doc_id long, c long, n long, sig binary, slice int, hits binary"))
         self.rows = first.where("slice is null").select("doc_id", "c", "n")
         self.sigs = first.where("c is not null").select("c", "sig").dropDuplicates(["c"])
         sums = first.where("slice is not null").select("slice", "hits").groupBy("slice").applyInArrow(_sum_slices, "slice int, sums binary").collect()
-        self.sketch = np.zeros((SLICES, (1 << self.bits) // SLICES), np.uint8)
+        sketch = np.zeros((SLICES, (1 << self.bits) // SLICES), np.uint8)
         for r in sums:
-            self.sketch[r["slice"]] = np.frombuffer(r["sums"], np.uint8)
-        self.order = self.sent(self.sketch.ravel())
+            sketch[r["slice"]] = np.frombuffer(r["sums"], np.uint8)
+        self.order = self.spark.sparkContext.broadcast(sketch.ravel())
 
     def prefixes(self, shared=None) -> DataFrame:
         return self.docs.mapInArrow(_prefixes(self.order, self.bits, self.num, self.den, shared), "h long, c long, n int, pos int")
@@ -188,8 +188,11 @@ class Join:
         documents deals out little else. No shingle's sets meet in one task.
         """
         several = written(self.prefixes().groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h"))
-        rows = self.prefixes(self.sent(bitmap(several))).groupBy("h", "c").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-        return written(rows.join(several, "h", "left_semi"))
+        with lent(self.spark, bitmap(several)) as some:
+            rows = self.prefixes(some).groupBy("h", "c").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+            rows = written(rows.join(several, "h", "left_semi"))
+        self.order.unpersist()
+        return rows
 
     def pairs(self, p: DataFrame) -> DataFrame:
         """Distinct (a, b, na, nb), a < b, of the rows (ca, na, cb, nb) that pass the suffix filter."""
@@ -200,8 +203,8 @@ class Join:
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough, from the sets themselves."""
-        bits = bitmap(pairs.select(F.col("a").alias("c")).union(pairs.select("b")))
-        sets = written(self.docs.mapInArrow(_wanted(self.sent(bits)), "c long, members array<bigint>")).dropDuplicates(["c"])
+        with lent(self.spark, bitmap(pairs.select(F.col("a").alias("c")).union(pairs.select("b")))) as some:
+            sets = written(self.docs.mapInArrow(_wanted(some), "c long, members array<bigint>")).dropDuplicates(["c"])
         p = pairs.join(sets.select(F.col("c").alias("a"), F.col("members").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("members").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return written(p.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), common.alias("common")).where(self.den * F.col("common") >= self.num * (F.col("n") - F.col("common"))).select("a", "b"))
