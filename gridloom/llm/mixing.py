@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -34,20 +34,22 @@ def rake(cells: DataFrame, power: float, rounds: int = ROUNDS) -> DataFrame:
     """cells (the dimensions, tokens > 0) with their raked `weight`: shares of the sum, with the wanted marginal shares.
 
     A value of a dimension is to have a share that goes as its tokens to the `power`: 1 leaves the mix as it is, 0 makes
-    all values alike. Each round scales the cells to one dimension's marginals after the other.
+    all values alike. Each round scales the cells to one dimension's marginals after the other, by sums over windows of the
+    cells, of which there is one row for each combination of values that occurs, whatever the number of documents.
     """
     for d in DIMENSIONS:
-        want = cells.groupBy(d).agg(F.sum("tokens").alias("t")).withColumn("want", F.pow(F.col("t").cast("double"), F.lit(power)))
-        want = want.join(want.agg(F.sum("want").alias("all"), F.sum("t").cast("double").alias("tokens_all")).hint("broadcast"), F.lit(True)).select(d, (F.col("want") / F.col("all")).alias(f"want_{d}"), "tokens_all")
-        cells = cells.drop("tokens_all").join(want, d)
-    cells = written(cells.withColumn("weight", F.col("tokens") / F.col("tokens_all")).drop("tokens_all"))
+        cells = cells.withColumn(f"all_{d}", F.sum("tokens").over(Window.partitionBy(d)).cast("double"))
+    cells = written(cells)
+    # the sum over a dimension's values of tokens ** power, from its cells: each has its part of the value's tokens
+    sums = cells.agg(F.sum("tokens").cast("double").alias("tokens"), *(F.sum(F.col("tokens") * F.pow(f"all_{d}", F.lit(power - 1))).alias(d) for d in DIMENSIONS)).first()
+    want = {d: F.pow(f"all_{d}", F.lit(power)) / F.lit(sums[d] or 1.0) for d in DIMENSIONS}
+    cells = cells.withColumn("weight", F.col("tokens") / F.lit(sums["tokens"] or 1.0))
     for i in range(rounds):
         for d in DIMENSIONS:
-            has = cells.groupBy(d).agg(F.sum("weight").alias("has"))
-            cells = cells.join(has, d).withColumn("weight", F.col("weight") * F.col(f"want_{d}") / F.col("has")).drop("has")
-        if i % 2:
+            cells = cells.withColumn("weight", F.col("weight") * want[d] / F.sum("weight").over(Window.partitionBy(d)))
+        if i % 4 == 3:
             cells = written(cells)
-    return cells.drop(*(f"want_{d}" for d in DIMENSIONS))
+    return cells.drop(*(f"all_{d}" for d in DIMENSIONS))
 
 
 def mix(docs: DataFrame, power: float = 0.7, keep: float = 0.8, seed: int = 17, rounds: int = ROUNDS, salts: int = 32) -> DataFrame:

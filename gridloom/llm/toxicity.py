@@ -132,10 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 18, mo
                 ends = np.searchsorted(row, np.arange(b - a + 1)).tolist()
                 yield rows_out(ROWS, [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), [at[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]])
 
-    got = known.mapInArrow(hash_terms, "doc_id long, label int, terms binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["label"], r["terms"]))  # rows come in any order
-    y = np.array([float(r["label"] > 0) for r in got])
-    sent = [np.frombuffer(r["terms"], np.int32) for r in got]
+    got = known.mapInArrow(hash_terms, "doc_id long, label int, terms binary").toArrow()
+    got = got.set_column(2, "terms", got["terms"].cast(pa.large_binary())).combine_chunks().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("terms", "ascending")])  # rows come in any order
+    y = (np.asarray(got["label"]) > 0).astype(float)
+    terms = got["terms"].combine_chunks() if len(y) else pa.array([], pa.large_binary())
+    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
+    ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1] // 4 if len(y) else [0]
+    flat = np.frombuffer(terms.buffers()[2], np.int32) if len(y) and terms.buffers()[2] else np.zeros(0, np.int32)
+    sent = [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(1 << bits), 40.0 if len(y) and y[0] else -40.0, np.zeros(1 << bits), np.zeros((1 << bits, rank)))
     n = np.zeros(1 << bits)
