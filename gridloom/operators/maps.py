@@ -60,12 +60,16 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
+def _nearest(units: UnitMap, x: np.ndarray) -> np.ndarray:
+    n = len(units.weight)
+    return _joined([n - 1 - units.costs(p)[:, ::-1].argmin(axis=1) for p in _parts(x, n)]).astype(np.int64)
+
+
 def best_units(df: DataFrame, key: str, cols: list[str], units: UnitMap) -> DataFrame:
     """(key, ux, uy): the unit of least cost for each row; of equal ones the last. Rows with a null channel are left out."""
 
     def fn(x: np.ndarray) -> list[np.ndarray]:
-        n = len(units.weight)
-        at = _joined([n - 1 - units.costs(p)[:, ::-1].argmin(axis=1) for p in _parts(x, n)]).astype(np.int64)
+        at = _nearest(units, x)
         return [at % units.nx, at // units.nx]
 
     rows = df.dropna(subset=cols).select(F.col(key).cast("long").alias("key"), *(F.col(c).cast("double") for c in cols))
@@ -145,11 +149,27 @@ def agreed_costs(df: DataFrame, label: str, cols: list[str], units: UnitMap, con
     return rows.join(F.broadcast(sums), "label").select("label", "unit", (F.col("e") / F.col("all")).alias("p"))
 
 
-def moments(df: DataFrame, key: str, cols: list[str], units: UnitMap) -> DataFrame:
-    """(unit, n, s0, q0, s1, q1, ...): rows, sums and sums of squares of the rows nearest to each unit."""
-    at = best_units(df, key, cols, units).select(key, (F.col("ux") + units.nx * F.col("uy")).alias("unit"))
-    aggs = [f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("s", F.sum), ("q", lambda c: F.sum(F.col(c) * F.col(c))))]
-    return df.join(at, key).groupBy("unit").agg(F.count("*").alias("n"), *aggs)
+def moments(df: DataFrame, cols: list[str], units: UnitMap) -> DataFrame:
+    """(unit, n, s0, q0, s1, q1, ...): rows, sums and sums of squares of the rows nearest to each unit. Rows with a null channel are left out."""
+    names = [f"{k}{i}" for i in range(len(cols)) for k in "sq"]
+    schema = pa.schema([("unit", pa.int64()), ("n", pa.int64()), *((c, pa.float64()) for c in names)])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(units.weight)
+        sums = np.zeros((k, 1 + len(names)))
+        for batch in it:
+            x = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in cols], axis=1)
+            at = _nearest(units, x)
+            sums[:, 0] += np.bincount(at, minlength=k)
+            for i in range(len(cols)):
+                for j, v in ((1, x[:, i]), (2, x[:, i] ** 2)):
+                    sums[:, 2 * i + j] += np.bincount(at, v, k)
+        some = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some, 0].astype(np.int64)), *(pa.array(c) for c in sums[some, 1:].T)], schema=schema)
+
+    rows = df.dropna(subset=cols).select(*(F.col(c).cast("double") for c in cols))
+    parts = rows.mapInArrow(run, ", ".join(["unit long", "n long", *(f"{c} double" for c in names)]))
+    return parts.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("n", *names)))
 
 
 def epoch(df: DataFrame, key: str, cols: list[str], units: UnitMap, rate: float, width: float, floor: float = 1e-3) -> UnitMap:
@@ -159,7 +179,7 @@ def epoch(df: DataFrame, key: str, cols: list[str], units: UnitMap, rate: float,
     """
     k, c = len(units.weight), len(cols)
     n, s, q = np.zeros(k), np.zeros((k, c)), np.zeros((k, c))
-    for r in moments(df, key, cols, units).collect():
+    for r in moments(df, cols, units).collect():
         n[r["unit"]] = r["n"]
         s[r["unit"]] = [r[f"s{i}"] for i in range(c)]
         q[r["unit"]] = [r[f"q{i}"] for i in range(c)]

@@ -97,8 +97,8 @@ def fixpoint(image: DataFrame, step: Callable[[Arrays], np.ndarray], v: str, oth
     for _ in range(most):
         image = written(tiled(image, kernel, [v, *others], {v: "double", "moved": "double", **dict.fromkeys(others, "double")}, halo, side))
         if not (image.agg(F.max("moved")).first()[0] or 0) > least:
-            break
-    return image.drop("moved")
+            return image.drop("moved")
+    raise RuntimeError(f"values still move after {most} rounds")
 
 
 def before(a: np.ndarray, axis: int, edge: float | None = None) -> np.ndarray:

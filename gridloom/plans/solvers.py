@@ -20,8 +20,8 @@ UNITS = UnitMap(3, np.array([0.1, 0.2, 0.15, 0.25, 0.2, 0.1]), np.array([[-0.15,
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), F.col("label").cast("long"))
-    return fx.vectors(spark, sf_dir, 2).join(labels, "pid")
+    """The vectors with their labels, in one pass."""
+    return fx.vectors(spark, sf_dir, 2, "label")
 
 
 def bmu_assign(spark: SparkSession, sf_dir: str) -> DataFrame:

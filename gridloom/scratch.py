@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one is set only where the session has none, as in tests."""
+    """A new folder under spark.checkpoint.dir. Where the session has none, a local one is set if Spark runs in this process; on a cluster that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/gridloom-{uuid.uuid4().hex}"

@@ -75,10 +75,10 @@ def label_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABEL_MAPS = "lm as (select doc_id voxel, slot, label from (select doc_id, unnest([{'slot': 0::bigint, 'label': quality::bigint}, {'slot': 1::bigint, 'label': toxic::bigint}, {'slot': 2::bigint, 'label': (lang = 'fr')::int::bigint}], recursive := true) from labels join documents using (doc_id)) where label is not null)"
 
 
-def vectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """(pid, f0, ..., fn-1): the first components of the embeddings as doubles."""
+def vectors(spark: SparkSession, sf_dir: str, n: int, *also: str) -> DataFrame:
+    """(pid, f0, ..., fn-1): the first components of the embeddings as doubles, and the columns `also` as longs."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("pid"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)))
+    return e.select(F.col("vec_id").alias("pid"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(n)), *(F.col(c).cast("long") for c in also))
 
 
 def vectors_sql(n: int) -> str:

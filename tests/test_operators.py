@@ -412,3 +412,16 @@ def test_lookup_table_draws_later_polygons_over(spark):
     t = {(r["i"], r["g"]): r["class"] for r in transfer.lookup_table(spark, polys, (8, 8), (0, 0), (7, 7)).collect()}
     assert (t[0, 0], t[1, 1], t[3, 3]) == (0, 1, 2) and len(t) == 64
     assert transfer.lookup_table(spark, [], (2, 2), (0, 0), (1, 1)).where("class <> 0").count() == 0
+
+
+def test_moments_of_repeated_keys(spark):
+    units = maps.UnitMap(2, np.array([0.5, 0.5]), np.array([[0.0, 0.0], [10.0, 10.0]]), np.ones((2, 2)))
+    rows = spark.createDataFrame([(1, 0.0, 1.0), (1, 9.0, 10.0), (2, 1.0, 0.0), (3, None, 1.0)], "key long, a double, b double")
+    got = {r["unit"]: tuple(r)[1:] for r in maps.moments(rows, ["a", "b"], units).collect()}
+    assert got == {0: (2, 1.0, 1.0, 1.0, 1.0), 1: (1, 9.0, 81.0, 10.0, 100.0)}
+
+
+def test_a_fixpoint_that_does_not_come_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 0, 0, 1.0)], "x long, y long, z long, v double")
+    with pytest.raises(RuntimeError):
+        tiles.fixpoint(rows, lambda a: a["v"] + 1, "v", [], most=2)
