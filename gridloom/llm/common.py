@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 import zlib
 from collections.abc import Iterator
@@ -42,6 +43,13 @@ def lent(spark: SparkSession, value) -> Iterator[Broadcast]:
         sent.unpersist()
 
 
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system, as Python workers are kept for other tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(doc_id: Column, n: int, at: int) -> Column:
     """True where crc32(doc_id as text) mod n is `at`; a null id counts as False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n) == F.lit(at), F.lit(False))

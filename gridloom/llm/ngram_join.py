@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, document_words, lent, marked, rows_out, shingles, written
+from .common import bitmap, document_words, give_back, lent, marked, rows_out, shingles, written
 from .components import components
 
 K = 5
@@ -67,6 +67,7 @@ def _first(bits: int):
             parts = sums.reshape(SLICES, -1)
             none = [None] * SLICES
             yield rows_out(FIRST, [none, none, none, none, list(range(SLICES)), [zlib.compress(p.tobytes(), 1) for p in parts]])
+        give_back()
 
     return run
 
@@ -114,6 +115,7 @@ def _prefixes(sketch, bits: int, num: int, den: int, shared=None):
                 ps.append(pos)
             if hs:
                 yield rows_out(PREFIX, [np.concatenate(x) for x in (hs, cs, ns, ps)])
+        give_back()
 
     return run
 
@@ -134,6 +136,7 @@ def _wanted(wanted):
                         seen.clear()
             if cs:
                 yield rows_out(SETS, [cs, members])
+        give_back()
 
     return run
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_out, scratch
+from .common import give_back, rows_out, scratch
 
 ENTRY = struct.Struct("<QQqQII")
 FOOTER = struct.Struct("<QQQI4s")
@@ -184,6 +184,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
                     w.add(doc_id, np.append(own, np.uint32(end_id)))
             w.close()
         fs.move(part, path)
+        give_back()
         yield rows_out(SHARDS, [[task.partitionId()], [path], [len(w.table)], [w.ids]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

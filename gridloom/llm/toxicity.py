@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, mixed, powers, rows_out, texts, written
+from .common import ODD, give_back, mixed, powers, rows_out, texts, written
 
 #: Lower-case ASCII letters; other ASCII characters but digits become spaces.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)], np.uint8)
@@ -174,6 +174,7 @@ def score(docs: DataFrame, machine: Machine, held_out: Column, threshold: float
         for batch in it:
             s = judge(sent.value, texts(batch))
             yield rows_out(SCORES, [batch.column("doc_id"), batch.column("held_out"), s, (s >= threshold).astype(np.int32)])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -185,5 +186,6 @@ def clean(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             yield batch.filter(pa.array(judge(sent.value, texts(batch)) < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
