@@ -53,6 +53,20 @@ def test_random_strings_and_what_is_not_one(spark):
     assert got[6]["spans"] == "random:2:34,random:35:67"
 
 
+def test_letters_alone_known_digests_and_rests_of_runs(spark):
+    rng = random.Random(3)
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32)) for _ in range(200)]
+    got = scan(spark, list(enumerate(letters)))
+    assert sum(r["spans"] == "random:0:32" for r in got.values()) >= 190
+    key = "q7Zp2XvK9mTjR4wB8nLc5HdF1sGyU3eA"
+    names = "the internationalizationconfiguration of counterrevolutionaries and some/path/of/many-parts_and/names"
+    rows = [(1, "0123456789abcdef" * 2 + "+" + key), (2, names), (3, f"see {key}"), (4, "z" * 4000)]
+    got = scan(spark, rows)
+    assert got[1]["spans"] == "hex:0:32,random:32:65" and got[2]["spans"] == "" and got[4]["spans"] == ""
+    known = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=frozenset([key.lower()]))
+    assert {r["doc_id"]: r["spans"] for r in known.collect()}[3] == ""
+
+
 def test_empty_table_and_repeats(spark):
     assert scan(spark, []) == {}
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x")], "doc_id long, text string, spans string")
