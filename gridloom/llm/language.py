@@ -81,18 +81,18 @@ def count_ngrams(bits: int):
     return run
 
 
-def fit(docs: DataFrame, bits: int = 16, smoothing: float = 0.1, most_mb: int = 64) -> tuple[list[str], np.ndarray, np.ndarray, int]:
+def fit(docs: DataFrame, bits: int = 16, smoothing: float = 0.1, most_mb: int = 256) -> tuple[list[str], np.ndarray, np.ndarray, int]:
     """Languages, log priors and the log-probability matrix (language, bucket), from all rows of (text, lang) with a language.
 
-    The matrix has one row for each language; buckets are halved until it takes at most `most_mb` MB.
+    The matrix has one row for each language, and as many buckets whatever the number of languages; ValueError if it would
+    take more than `most_mb` MB, 512 languages with these parameters, as it is broadcast.
     """
     docs = docs.where(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
     sums = docs.mapInArrow(count_ngrams(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     priors = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     langs = sorted(priors)
-    while len(langs) << bits > most_mb << 17 and bits > 8:
-        bits -= 1
-        sums = sums.groupBy("lang", F.shiftright("bucket", 1).alias("bucket")).agg(F.sum("n").alias("n"))
+    if len(langs) << bits > most_mb << 17:
+        raise ValueError(f"the matrix of {len(langs)} languages takes more than {most_mb} MB")
     place = {x: i for i, x in enumerate(langs)}
     m = np.full((max(len(langs), 1), 1 << bits), smoothing)
     got = sums.toPandas()
