@@ -14,7 +14,6 @@ zstd decompresses a whole shard to the ids of all its documents in order.
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -33,6 +32,7 @@ from .common import give_back, rows_out, scratch
 ENTRY = struct.Struct("<QQqQII")
 FOOTER = struct.Struct("<QQQI4s")
 SKIP = struct.Struct("<II")
+SHARD_BYTES = 256 << 20  # of text in a file
 NONE_ID = -(1 << 63)  # stands for a null document id
 SHARDS = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -44,6 +44,8 @@ class Writer:
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) >> (8 * self.width):
+            raise ValueError(f"document {doc_id} has ids of more than {self.width} bytes")
         frame = self.pack.compress(ids.astype(f"<u{self.width}").tobytes())
         self.table.append(ENTRY.pack(self.at, len(frame), NONE_ID if doc_id is None else doc_id, self.ids, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
         self.out.write(frame)
@@ -86,7 +88,6 @@ class Reader:
                 yield e[2], self.document(i)
 
 
-@functools.cache
 def tokenizer(path: str):
     import os
 
@@ -111,7 +112,7 @@ class Encoder:
 
     That pattern makes a token boundary before a Latin word, its one space included, and after it, unless another
     letter, a digit, an apostrophe or more white space touches it; merges never cross a boundary. So a text is cut there, and each
-    distinct piece is encoded once and remembered while there are at most `most`. New words are encoded many at a time,
+    distinct piece of a task is encoded once and remembered while there are at most `most`. New words are encoded many at a time,
     as lines of one text: a line end before a word or a space and a word is a token of its own. A text that holds the
     name of a special token is one piece.
     """
@@ -159,12 +160,6 @@ class Encoder:
                 self.known = {x: self.known[x] for x in set().union(*parts)}
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    """One for each Python worker, which serves task after task."""
-    return Encoder(path)
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards: int, width: int = 2) -> DataFrame:
     """(shard, path, docs, ids) of the shards written: documents by ascending doc_id, null first, equal ids by a hash of their text.
 
@@ -176,14 +171,16 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         fs, top = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(top, recursive=True)
         path = f"{top}/shard-{task.partitionId():06d}.tok"
+        encoder = Encoder(tokenizer_path)  # the task's own: a worker that is kept for other stages is to hold no vocabulary
         with fs.open_output_stream(part := f"{path}.{task.taskAttemptId()}") as out:
             w = Writer(out, width)
             for batch in it:
-                ids = encoder(tokenizer_path).of([t or "" for t in batch.column("text").to_pylist()])
+                ids = encoder.of([t or "" for t in batch.column("text").to_pylist()])
                 for doc_id, own in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
                     w.add(doc_id, np.append(own, np.uint32(end_id)))
             w.close()
         fs.move(part, path)
+        del encoder
         give_back()
         yield rows_out(SHARDS, [[task.partitionId()], [path], [len(w.table)], [w.ids]])
 
@@ -217,12 +214,15 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shards: i
     """Write every whole text of (doc_id, text) as token ids, read the files back, one row per document.
 
     A null text is empty and leaves the end id alone. Rows with the same doc_id are documents of their own. An empty
-    table gives no rows. The documents are range-partitioned by doc_id, one file a partition; the driver gets
-    one row a file, from which it counts the ids before each.
+    table gives no rows. The documents are range-partitioned by doc_id, one file a partition of SHARD_BYTES of text at
+    most (one document at least, and as far as ranges come out even); the driver gets one row a file, from which it counts
+    the ids before each. An id that doesn't fit `width` bytes is an error.
     """
     spark = docs.sparkSession
     folder = folder or scratch(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     found = sorted(write_shards(docs, folder, tokenizer_path, end_id, shards, width).collect(), key=lambda r: r["shard"])
     before, rows = 0, []
     for r in found:
