@@ -85,12 +85,18 @@ _P = 0xA24BAED4963EE407
 CHUNK = 1 << 18  # bytes that are taken apart at once
 
 
-@functools.cache
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _P and of its inverse modulo 2^64."""
+    """Powers of _P and of its inverse modulo 2^64. Those of a usual chunk are kept; a longer text's are its own, so that workers don't grow by it."""
+    return _kept_powers(size) if size <= 2 * CHUNK else _powers(size)
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (np.uint64(_P), np.uint64(pow(_P, -1, 1 << 64))))
 
 
+_kept_powers = functools.lru_cache(maxsize=2)(_powers)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of texts that lie one after the other in data (bytes), and each text's first word.
 

@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ODD, give_back, mixed, powers, rows_out, texts, written
+from .common import CHUNK, ODD, give_back, mixed, powers, rows_out, texts, written
 
 #: Lower-case ASCII letters; other ASCII characters but digits become spaces.
 FOLD = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256)], np.uint8)
 PARTS = (4, 5, 6, 7)  # bytes of the starts of a word that are terms beside the word, so that compounds of an insult share one
-CHUNK = 1 << 20  # bytes of texts whose terms are hashed at once
 ROWS = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("terms", pa.binary())])
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
