@@ -18,43 +18,53 @@ from .token_files import token_files
 
 
 def op1_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents under PPM trained on those of other remainders than 2 (crc32 mod 7)."""
     return model_scores(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7, 2))
 
 
 def op2_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels of remainder 2 (crc32 mod 4) are not learned."""
     docs, held_out = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2)
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out), held_out)
 
 
 def op4_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of all documents."""
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op5_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; those of remainder 2 (crc32 mod 4) are not learned."""
     return language.identify(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4, 2))
 
 
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of all documents and their hosts' verdicts."""
     return host_rules(table(spark, sf_dir, "documents"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes and components of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that are like benchmark items."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights and the sample of all documents."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across all documents."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
