@@ -86,8 +86,8 @@ t as (select ux, uy, weight / (select sum(weight) from i) weight, {", ".join(f"m
 
 #: Three classes below one root.
 POTTS = LabelGraph((("root", "low", 1.0), ("root", "mid", 1.0), ("root", "high", 1.0)))
-#: A background and three classes that overlapping groups hold.
-OVERLAPS = LabelGraph((("source", "bkg", 1.0), ("source", "c1", 1.0), ("source", "c2", 1.0), ("source", "l1", 0.5), ("source", "l2", 0.5), ("c1", "l1", 0.5), ("c1", "l3", 0.5), ("c2", "l2", 0.5), ("c2", "l3", 0.5)))
+#: Air, and three classes in groups that overlap in one of them.
+OVERLAPS = LabelGraph((("body", "air", 1.0), ("body", "soft", 1.0), ("body", "firm", 1.0), ("soft", "fat", 1.0), ("soft", "muscle", 0.25), ("body", "muscle", 0.5), ("firm", "muscle", 0.25), ("firm", "bone", 1.0)))
 CENTERS = {"low": 20.0, "mid": 38.0, "high": 56.0}
 ALPHA = 0.5
 
@@ -114,7 +114,7 @@ def maxflow_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def maxflow_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segmentation by overlapping groups: the winning class of each voxel after twelve iterations."""
     v = F.col("v")
-    data = {"bkg": terms.gaussian(v, 8, 5, True), "l1": terms.gaussian(v, 12, 20, True), "l2": terms.gaussian(v, 12, 38, True), "l3": terms.gaussian(v, 12, 56, True)}
+    data = {"air": terms.gaussian(v, 8, 5, True), "fat": terms.gaussian(v, 12, 20, True), "muscle": terms.gaussian(v, 12, 38, True), "bone": terms.gaussian(v, 12, 56, True)}
     smooth = {k: F.lit(0.2 if k in OVERLAPS.leaves else 0.1) for k in OVERLAPS.order[1:]}
     state = flow.run(flow.start(fx.grid(spark, sf_dir), OVERLAPS, data, smooth), OVERLAPS, flow.Knobs(iterations=12, per_round=6))
     won = combine.vote(flow.leaf_labels(state, OVERLAPS))

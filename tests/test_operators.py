@@ -254,18 +254,18 @@ def test_faces_are_turned_alike(spark):
     assert mesh.mean_curvature(c, p).count() == 4
 
 
-DEMO = LabelGraph((("source", "bkg", 1.0), ("source", "c1", 1.0), ("source", "c2", 1.0), ("source", "l1", 0.5), ("source", "l2", 0.5), ("c1", "l1", 0.5), ("c1", "l3", 0.5), ("c2", "l2", 0.5), ("c2", "l3", 0.5)))
+BODY = LabelGraph((("body", "air", 1.0), ("body", "soft", 1.0), ("body", "firm", 1.0), ("soft", "fat", 1.0), ("soft", "muscle", 0.25), ("body", "muscle", 0.5), ("firm", "muscle", 0.25), ("firm", "bone", 1.0)))
 
 
 def test_levels_of_a_graph(spark):
-    up, down = DEMO.up_levels(), DEMO.down_levels()
-    assert (up["source"], up["bkg"], up["c1"], up["l1"], up["l3"]) == (0, 1, 1, 2, 2) and (down["l1"], down["l3"]) == (1, 2)
-    edges = spark.createDataFrame(list(DEMO.edges), "src string, dst string, weight double")
+    up, down = BODY.up_levels(), BODY.down_levels()
+    assert (up["body"], up["air"], up["soft"], up["muscle"], up["bone"]) == (0, 1, 1, 2, 2) and (down["muscle"], down["bone"]) == (1, 2)
+    edges = spark.createDataFrame(list(BODY.edges), "src string, dst string, weight double")
     got = {r["node"]: (r["up"], r["down"]) for r in hierarchy.levels(edges).collect()}
     assert got == {k: (up[k], down[k]) for k in up}
     assert hierarchy.read_graph(edges).up_levels() == up
-    total = {r["node"]: r["total"] for r in hierarchy.roll_up(edges, spark.createDataFrame([("l1", 2.0), ("l3", 4.0)], "node string, value double")).collect()}
-    assert total["c1"] == 3 and total["source"] == 0.5 * 2 + 3 + 2
+    total = {r["node"]: r["total"] for r in hierarchy.roll_up(edges, spark.createDataFrame([("fat", 2.0), ("muscle", 8.0), ("bone", 4.0)], "node string, value double")).collect()}
+    assert total["soft"] == 2 + 0.25 * 8 and total["firm"] == 4 + 0.25 * 8 and total["body"] == 4 + 6 + 0.5 * 8
 
 
 def test_bad_graphs():
@@ -275,10 +275,10 @@ def test_bad_graphs():
 
 
 def _segmented(spark, a, per_round, side, iterations=30, alpha=0.3):
-    costs = {"bkg": 4.0, "l1": 0.5, "l2": 1.5, "l3": 2.5}
+    costs = {"air": 4.0, "fat": 0.5, "muscle": 1.5, "bone": 2.5}
     data = {k: (F.col("v") - F.lit(c)) * (F.col("v") - F.lit(c)) for k, c in costs.items()}
-    state = flow.start(image(spark, a), DEMO, data, {k: F.lit(alpha) for k in DEMO.order[1:]})
-    return flow.run(state, DEMO, flow.Knobs(iterations=iterations, per_round=per_round), side)
+    state = flow.start(image(spark, a), BODY, data, {k: F.lit(alpha) for k in BODY.order[1:]})
+    return flow.run(state, BODY, flow.Knobs(iterations=iterations, per_round=per_round), side)
 
 
 def test_flow_does_not_depend_on_tiles(spark):
@@ -294,12 +294,12 @@ def test_flow_smooths_noise_away(spark):
     truth = np.where(np.arange(16)[:, None, None] < 8, 0.5, 2.5) * np.ones((16, 8, 1))
     a = truth + rng.normal(0, 0.7, truth.shape)
     state = _segmented(spark, a, 30, 64, 60, 0.3)
-    won = {(r["voxel"]["x"], r["voxel"]["y"]): r["slot"] for r in combine.vote(flow.leaf_labels(state, DEMO)).collect()}
-    want = {0.5: DEMO.leaves.index("l1"), 2.5: DEMO.leaves.index("l3")}
+    won = {(r["voxel"]["x"], r["voxel"]["y"]): r["slot"] for r in combine.vote(flow.leaf_labels(state, BODY)).collect()}
+    want = {0.5: BODY.leaves.index("fat"), 2.5: BODY.leaves.index("bone")}
     right = np.mean([won[x, y] == want[truth[x, y, 0]] for x in range(16) for y in range(8)])
     plain = np.mean(np.array([1, 2, 3, 0])[np.abs(a[..., None] - np.array([0.5, 1.5, 2.5, 4.0])).argmin(axis=-1)] == np.where(truth > 1, 3, 1))
     assert right > 0.97 and right > plain
-    assert flow.data_energy(state, DEMO).first()[0] > 0 and flow.smoothness_energy(state, DEMO).count() == 6
+    assert flow.data_energy(state, BODY).first()[0] > 0 and flow.smoothness_energy(state, BODY).count() == 6
 
 
 def test_connectedness_is_the_strongest_way(spark):
