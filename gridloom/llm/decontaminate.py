@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_words, rows_out, shingles, words_of
+from .common import ODD, WORD, mixed, rows_out, shingles, word_chunks, words_of
 
 K = 5
-BITS, BLOCKS = 64, 8
+BITS, BLOCKS = 64, 4
+LAGS = 4
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("hamming", pa.int32()), ("similarity", pa.float64())])
 MAYBE_BITS = 20
+AT_ONCE = 1 << 16  # windows whose sums are held at once
+PRINTS = 1 << 12  # windows whose sums are compared at once, in a core's cache
 
 
 def bit_signs(h: np.ndarray) -> np.ndarray:
@@ -22,15 +27,40 @@ def bit_signs(h: np.ndarray) -> np.ndarray:
     return (np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.int8) << 1) - 1
 
 
-def running(h: np.ndarray) -> np.ndarray:
-    """(len(h) + 1, 64) of the sums of bit_signs() before each place."""
-    out = np.zeros((len(h) + 1, BITS), np.int16 if len(h) < 1 << 15 else np.int32)
-    np.cumsum(bit_signs(h), axis=0, dtype=out.dtype, out=out[1:])
+def once(h: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """bit_signs() without (0) those of a shingle that is one of the LAGS before it in its text, so that a run of one word counts once.
+
+    into: how many words of its text are before each shingle.
+    """
+    again, into = np.zeros(len(h), bool), into[: len(h)]
+    for lag in range(1, min(LAGS + 1, len(h))):
+        again[lag:] |= (h[lag:] == h[:-lag]) & (into[lag:] >= lag)
+    signs = bit_signs(h)
+    signs[again] = 0
+    return signs
+
+
+def running(signs: np.ndarray, dtype: type = np.int32) -> np.ndarray:
+    """(len(signs) + 1, 64) of the sums of the signs before each place, modulo the type: differences that fit it are exact."""
+    out = np.zeros((len(signs) + 1, BITS), dtype)
+    out[1:] = signs
+    step = 1
+    while step < len(out):
+        out[step:] += out[:-step].copy()
+        step *= 2
     return out
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=-1, bitorder="little").reshape(-1, 8).view("<u8").ravel()
+    return np.packbits((sums > 0).ravel(), bitorder="little").view("<u8")
+
+
+def word_runs(words: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each run of k words, at most K, as shingles() has it for a text of these words alone."""
+    n = len(words) - k + 1
+    if n < 1:
+        return words[:0]
+    return shingles(words, K) if k == K else mixed(sum(words[j : j + n] * ODD[j] for j in range(k)) + np.uint64(k))
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -43,142 +73,174 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 class Items:
-    """The fingerprints of some items by their number of shingles, with an index of their blocks.
+    """The fingerprints of some items by their number of words, with an index of their blocks.
 
-    For a radius r and B blocks of a fingerprint, any two fingerprints within r agree within r // B in some block. So
-    index[b][v] has the bit of each item whose block b is within r // B of v, and the union over the blocks of a
-    window's fingerprint holds every item within r.
+    For a radius r and B blocks of a fingerprint, any two fingerprints within r agree within r // B in some block. An index
+    is of eight items: [b][v] has the bit of each whose block b is within r // B of v, so the union over the blocks of
+    a window's fingerprint holds every item within r. Candidates over `far` bits from the window are not verified.
     """
 
-    def __init__(self, rows: list[tuple[int, bytes]], radius: int):
-        self.radius, self.sizes = radius, {}
-        all_shingles = {}
+    def __init__(self, rows: list[tuple[int, bytes]], radius: int, far: int):
+        self.radius, self.far, self.sizes = radius, far, {}
         for item_id, text in sorted(rows):
             words = words_of(text)
-            if not len(words):
-                continue
-            s = shingles(words, K)
-            all_shingles.setdefault(len(words), []).append(s)
-            self.sizes.setdefault(len(words), []).append((item_id, s))
-        by_size = {k: np.unique(np.concatenate(v)) for k, v in all_shingles.items()}
-        s = np.concatenate([np.zeros(0, np.uint64), *by_size.values()])
-        size = np.repeat(np.array(list(by_size), np.int64), [len(v) for v in by_size.values()])
-        order = np.lexsort((size, s))
-        self.known, first = np.unique(s[order], return_index=True)
-        self.size_of, self.size_at = size[order], np.r_[first, len(s)]  # sizes of the items that have known[i]
+            if len(words):
+                self.sizes.setdefault(len(words), []).append((item_id, word_runs(words, min(len(words), K))))
+        self.prints = {size: np.concatenate([packed(once(s, np.arange(len(s))).sum(axis=0, dtype=np.int64)) for _, s in items]) for size, items in self.sizes.items()}
         self.maybe = np.zeros(1 << MAYBE_BITS, bool)
-        self.maybe[(s & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)] = True
-        self.prints, self.index = {}, {}
-        values = np.arange(256, dtype=np.uint8)
-        for size, items in self.sizes.items():
-            prints = np.concatenate([packed(bit_signs(s).sum(axis=0, keepdims=True, dtype=np.int64)) for _, s in items])
-            blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-            near = np.bitwise_count(values[None, :, None] ^ blocks.T[:, None, :]) <= radius // BLOCKS
-            self.prints[size], self.index[size] = prints, np.packbits(near, axis=2)
-
-    def search(self, words: np.ndarray, least: float) -> Iterator[tuple]:
-        """(item_id, start, length, Hamming distance, similarity) of the best window of each item that is similar enough."""
-        for k in {min(size, K) for size in self.sizes}:
-            h = shingles(words, k) if len(words) >= k else np.zeros(0, np.uint64)
+        for items in self.sizes.values():
+            for _, s in items:
+                self.maybe[self._low(s)] = True
+
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)
+
+    @functools.cached_property
+    def index(self) -> dict[int, list[np.ndarray]]:
+        """(BLOCKS, 65536) bytes for each eight items of a size. Made by each worker, as it is larger than what it is made of."""
+        values = np.arange(1 << 16, dtype=np.uint16)
+        flips = self.radius // BLOCKS
+        out: dict[int, list[np.ndarray]] = {}
+        for size, prints in self.prints.items():
+            blocks = prints.view("<u2").reshape(-1, BLOCKS).T
+            out[size] = [np.packbits(np.bitwise_count(values[None, :, None] ^ blocks[:, None, i : i + 8]) <= flips, axis=2, bitorder="little")[:, :, 0] for i in range(0, len(prints), 8)]
+        return out
+
+    def near(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs (place in prints, place among the items of a size, bits apart) that the index gives and that are within `far`."""
+        blocks = prints.view("<u2").reshape(-1, BLOCKS)
+        pairs = []
+        for i, near in enumerate(self.index[size]):
+            maybe = near[0].take(blocks[:, 0])
+            for b in range(1, BLOCKS):
+                maybe |= near[b].take(blocks[:, b])
+            at = np.flatnonzero(maybe.view(bool))
+            apart = np.bitwise_count(prints[at] ^ self.prints[size][8 * i : 8 * i + 8, None])
+            item, win = np.nonzero(apart <= self.far)
+            met = maybe[at[win]] >> item.astype(np.uint8) & 1 > 0
+            pairs.append((at[win[met]], item[met] + 8 * i, apart[item[met], win[met]]))
+        return pairs[0] if len(pairs) == 1 else tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
+
+    def search(self, words: np.ndarray, first: np.ndarray, least: float) -> Iterator[tuple]:
+        """(text, item_id, start, length, Hamming distance, similarity) of the best window of each item in each text that is similar enough.
+
+        words: of the texts one after the other; first: each text's first. A text shorter than an item is one window.
+        """
+        ends = np.r_[first[1:], len(words)].astype(np.int64)
+        lengths = ends - first
+        text = np.repeat(np.arange(len(first)), lengths)
+        into, room = np.arange(len(words)) - first[text], ends[text] - np.arange(len(words))
+        best: dict[tuple, tuple] = {}  # by text, size and the item's place
+
+        def verify(h: np.ndarray, known: np.ndarray, at: np.ndarray, n: np.ndarray, item: np.ndarray, apart: np.ndarray, size: int) -> None:
+            """Compares the n shingles at places of h with items of a size exactly."""
+            items = self.sizes[size]
+            # no more shingles are common than are in any item; similarity is common / (n + width - common)
+            common = known[at + n] - known[at]
+            ok = common * (1 + least) >= least * (n + len(items[0][1])) - 1e-6
+            for a, m, i, d in zip(at[ok].tolist(), n[ok].tolist(), item[ok].tolist(), apart[ok].tolist(), strict=True):
+                item_id, s = items[i]
+                found = (weighted_similarity(h[a : a + m], s), -d, -int(into[a]))
+                key = int(text[a]), size, i
+                if found[0] >= least and (key not in best or found > best[key][0]):
+                    best[key] = found, item_id
+
+        for k in sorted({min(size, K) for size in self.sizes}):
+            sizes = [size for size in self.sizes if min(size, K) == k]
+            h = word_runs(words, k)
             if not len(h):
                 continue
-            if k < K:  # items under K words are one shingle of all their words
-                h = np.array([shingles(words[i : i + k], K)[0] for i in range(len(words) - k + 1)], np.uint64)
-            at = np.flatnonzero(self.maybe[(h & np.uint64((1 << MAYBE_BITS) - 1)).astype(np.int64)])
-            found = np.searchsorted(self.known, h[at])
-            ok = self.known[np.minimum(found, len(self.known) - 1)] == h[at]
-            at, found = at[ok], found[ok]
-            if len(at):
-                n = self.size_at[found + 1] - self.size_at[found]
-                sizes = self.size_of[np.repeat(self.size_at[found], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                place = np.repeat(at, n)
-                for size in np.unique(sizes).tolist():
-                    if min(size, K) == k:
-                        yield from self._windows(h, place[sizes == size], size, size - k + 1, least)
-
-    def _windows(self, h: np.ndarray, at: np.ndarray, size: int, width: int, least: float) -> Iterator[tuple]:
-        """Windows of `width` shingles with one or more that an item of the size has; others are of similarity 0 to these."""
-        last = len(h) - width
-        best: dict[int, tuple] = {}  # by the item's place
-        if last < 0:
-            runs = [(0, 0)]
-        else:
-            lo, hi = np.maximum(at - width + 1, 0), np.minimum(at, last)
-            cut = np.flatnonzero(lo[1:] > np.maximum.accumulate(hi)[:-1] + 1)
-            runs = zip(lo[np.r_[0, cut + 1]], hi[np.r_[cut, len(hi) - 1]], strict=True)
-        for first, end in runs:
-            for a in range(first, end + 1, 4096):
-                b = min(a + 4095, end)
-                part = h[a : b + width]
-                sums = running(part)
-                n = min(width, len(part))
-                prints = packed(sums[n:] - sums[:-n])
-                blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-                index = self.index[size]
-                maybe = np.bitwise_or.reduce([index[k][blocks[:, k]] for k in range(BLOCKS)], axis=0)
-                win, item = np.nonzero(np.unpackbits(maybe, axis=1, count=len(self.sizes[size])))
-                apart = np.bitwise_count(prints[win] ^ self.prints[size][item])
-                ok = apart <= self.radius
-                for w, i, d in zip(win[ok].tolist(), item[ok].tolist(), apart[ok].tolist(), strict=True):
-                    item_id, s = self.sizes[size][i]
-                    found = (weighted_similarity(part[w : w + n], s), -d, -(a + w))
-                    if found[0] >= least and (i not in best or found > best[i][0]):
-                        best[i] = found, item_id
-        for (sim, d, a), item_id in best.values():
-            yield item_id, -int(a), size, -d, sim
-
-
-def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 23, most_mb: int = 8) -> DataFrame:
+            known = np.r_[0, np.cumsum(self.maybe[self._low(h)])]
+            widest = max(sizes) - k + 1
+            dtype = np.int8 if widest < 1 << 7 else np.int16 if widest < 1 << 15 else np.int32
+            for a in range(0, len(h), AT_ONCE):
+                part = slice(a, a + AT_ONCE + widest - 1)
+                sums = running(once(h[part], into[part]), dtype)
+                for size in sizes:
+                    width = size - k + 1
+                    m = min(AT_ONCE, len(sums) - width)
+                    if m > 0:
+                        prints = [packed(sums[i + width : min(i + PRINTS, m) + width] - sums[i : min(i + PRINTS, m)]) for i in range(0, m, PRINTS)]
+                        win, item, apart = self.near(np.concatenate(prints), size)
+                        whole = room[a + win] >= size
+                        verify(h, known, a + win[whole], np.full(whole.sum(), width), item[whole], apart[whole], size)
+            short = np.flatnonzero((lengths >= K) & (lengths < max(sizes))) if k == K else first[:0]
+            if len(short):
+                n = lengths[short] - K + 1
+                before = np.cumsum(n) - n
+                place = np.repeat(first[short] - before, n) + np.arange(n.sum())
+                prints = packed(np.add.reduceat(once(h[place], into[place]), before, axis=0, dtype=np.int32))
+                for size in sizes:
+                    ok = (lengths[short] < size) & (n >= least * (size - K + 1) - 1e-6)
+                    if ok.any():
+                        win, item, apart = self.near(prints[ok], size)
+                        verify(h, known, first[short[ok][win]], n[ok][win], item, apart, size)
+        for (t, size, _), ((sim, d, a), item_id) in best.items():
+            yield t, item_id, -a, min(size, int(lengths[t])), -d, sim
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 15, far: int = 23, most_mb: int = 64) -> DataFrame:
     """The rows of docs, with all their columns, in whose text no item is found as by contaminated()."""
     for block in item_blocks(items, most_mb):
-        sent = docs.sparkSession.sparkContext.broadcast(Items(block, radius))
+        sent = docs.sparkSession.sparkContext.broadcast(Items(block, radius, far))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             found = sent.value
             for batch in it:
-                yield batch.filter(pa.array([next(found.search(words, least), None) is None for words in document_words(batch)], pa.bool_()))
+                keep = np.ones(batch.num_rows, bool)
+                for i, _, words, first in word_chunks(batch):
+                    keep[[i + x[0] for x in found.search(words, first, least)]] = False
+                yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 
-def item_blocks(items: DataFrame, most_mb: int) -> list[list]:
-    """The items (item_id, text) in blocks of at most `most_mb` MB of text each, as many as that takes."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    blocks, size = [[]], 0
-    for r in rows.toLocalIterator():
-        if blocks[-1] and size + len(r["text"]) > most_mb << 20:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], bytes(r["text"])))
-        size += len(r["text"])
-    return [b for b in blocks if b]
-
-
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 23, most_mb: int = 8) -> DataFrame:
+def item_blocks(items: DataFrame, most_mb: int) -> Iterator[list]:
+    """The items (item_id, text) in blocks of at most `most_mb` MB of index and text each, as many as that takes, those of a size together."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(WORD))).withColumn("text", F.col("text").cast("binary")).where("n_words > 0")
+    block, cost, of_size = [], 0, Counter()
+    for r in rows.orderBy("n_words", "item_id").toLocalIterator():
+        more = len(r["text"]) + (BLOCKS << 16 if of_size[r["n_words"]] % 8 == 0 else 0)
+        if block and cost + more > most_mb << 20:
+            yield block
+            block, cost, of_size = [], 0, Counter()
+            more = len(r["text"]) + (BLOCKS << 16)
+        block.append((r["item_id"], bytes(r["text"])))
+        cost += more
+        of_size[r["n_words"]] += 1
+    if block:
+        yield block
+
+
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, radius: int = 15, far: int = 23, most_mb: int = 64) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity) of the best window of each item in each row of (doc_id, text).
 
     Words are lower-cased (A-Z) runs of non-space; features are shingles of five words, weighted by their count. A document's
-    windows have as many words as the item. Those whose SimHash is within `radius` of the item's, by the blocks'
-    index, are verified by the exact weighted Jaccard similarity, `least` or more. At 0.8 two fingerprints are
-    expected to differ in under 10 of 64 bits, and in over 23 for one pair in millions. Items and texts that are
-    null or without words match nothing; of equal windows the nearest and then the first counts. Repeated rows and
-    repeated items give repeated matches. Items are broadcast in blocks of `most_mb` MB of text, a pass over the documents
-    each; texts are judged whole, row by row, with no shuffle.
+    windows have as many words as the item, or are the whole of a shorter document. Every window of each size that items
+    have gets a SimHash, in which a shingle counts once of a run of short period. All windows within `radius` bits
+    of the item are candidates by the blocks' index, and most of those within `far`, beyond which none is taken; the exact
+    weighted Jaccard similarity, `least` or more, decides. At 0.8 two fingerprints are expected to differ in
+    under 10 of 64 bits, and in over 15 for one pair in forty, of which the index gives most: README has the measured
+    recall. Items and texts that are null or without words match nothing; of equal windows the nearest and then the
+    first counts. Repeated rows and repeated items give repeated matches. Items are broadcast in blocks whose index
+    takes at most `most_mb` MB, a pass over the documents each; texts are judged whole, with no shuffle. A task holds 64 to 256
+    bytes a word of the widest item beside its batch.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, start_word long, n_words long, hamming int, similarity double"
     out = None
     for block in item_blocks(items, most_mb):
-        sent = spark.sparkContext.broadcast(Items(block, radius))
+        sent = spark.sparkContext.broadcast(Items(block, radius, far))
 
         def run(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             found = sent.value
             for batch in it:
-                rows = []
-                for doc_id, words in zip(batch.column("doc_id").to_pylist(), document_words(batch), strict=True):
-                    rows += [(doc_id, *x) for x in found.search(words, least)]
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[i + t], *x) for i, _, words, first in word_chunks(batch) for t, *x in found.search(words, first, least)]
                 if rows:
                     yield rows_out(HITS, list(zip(*rows, strict=True)))
 
