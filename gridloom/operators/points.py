@@ -21,6 +21,19 @@ def thinned(points: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return first.unionByName(second)
 
 
+MOST_IN_CELL = 512
+
+
+def start_cell(points: DataFrame, low: tuple[float, ...], cell: float) -> float:
+    """`cell`, or the first of a quarter, a sixteenth, ... of it at which no cell counted from `low` has over MOST_IN_CELL points; 4^-12 of it at least."""
+    for _ in range(12):
+        keys = [F.floor((F.col(c) - F.lit(a)) / F.lit(cell)).alias(f"k{c}") for c, a in zip("xyz", low, strict=True)]
+        if (points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= MOST_IN_CELL:
+            break
+        cell /= 4
+    return cell
+
+
 def nearest(queries: DataFrame, points: DataFrame, penalty: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """(qid, pid, distance, cost) of the point of least cost of each query (qid, x, y, z, also...); of equal ones the least pid.
 
@@ -28,7 +41,9 @@ def nearest(queries: DataFrame, points: DataFrame, penalty: Column | None = None
     and of the point (p_...). A point of the query's own id doesn't count. Queries with a null coordinate, or without
     any other point, get nulls. Exact for any points: a query looks through the 27 cells around it, and is done when
     it finds a cost of at most a cell's width, as all points outside are farther; others look again with cells of
-    twice the width. So no query meets points that are far off, unless it is alone.
+    twice the width. Cells start at a width at which none has over MOST_IN_CELL points, so a query among close points is done
+    before it meets many, whatever outliers there are; one that is alone, or whose penalties exceed a cell's width,
+    goes on to wider cells.
     """
     xyz = ["x", "y", "z"]
     points = written(thinned(points.select("pid", *xyz, *also).dropna(subset=xyz), also))
@@ -37,7 +52,7 @@ def nearest(queries: DataFrame, points: DataFrame, penalty: Column | None = None
     box = extremes(points.unionByName(asked.withColumnRenamed("qid", "pid")), *xyz)
     widest = max(b - a for a, b in box) or 1.0
     n = max(points.count(), 1)
-    cell = widest / max(1.0, n ** (1 / 3))
+    cell = start_cell(points, tuple(a for a, _ in box), widest / max(1.0, n ** (1 / 3)))
     around = F.array(*(F.struct(*(F.lit(o).alias(f"d{c}") for o, c in zip(offset, xyz, strict=True))) for offset in product((-1, 0, 1), repeat=3)))
     at = lambda c, k: F.floor((F.col(c) - F.lit(box[k][0])) / F.lit(cell))
     distance = F.sqrt(sum((F.pow(F.col(f"q_{c}") - F.col(f"p_{c}"), F.lit(2)) for c in xyz), F.lit(0.0)))

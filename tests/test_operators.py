@@ -205,6 +205,19 @@ def test_nearest_against_all_pairs(spark):
         assert got[i][0] == d[i].argmin() and got[i][1] == pytest.approx(d[i].min())
 
 
+def test_nearest_of_close_points_and_an_outlier(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.uniform(size=(2000, 3)), [[4000.0, 0, 0]]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double")
+    cell = points.start_cell(df, (0.0, 0.0, 0.0), 4000 / 2001 ** (1 / 3))
+    assert max(np.unique(np.floor(p / cell), axis=0, return_counts=True)[1]) <= points.MOST_IN_CELL
+    assert points.start_cell(df, (0.0, 0.0, 0.0), 0.1) == 0.1
+    got = {r["qid"]: r["pid"] for r in points.nearest(df.withColumnRenamed("pid", "qid"), df).collect()}
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: int(d[i].argmin()) for i in range(len(p))}
+
+
 def test_nearest_without_other_points(spark):
     one = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "pid long, x double, y double, z double")
     assert points.nearest(one.withColumnRenamed("pid", "qid"), one).first()["pid"] is None
