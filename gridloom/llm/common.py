@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -201,3 +201,56 @@ def marked(filter_: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which of the longs a filter has marked; a few others too."""
     at = ids.view(np.int64) & (8 * len(filter_) - 1)
     return (filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def attached(rows: DataFrame, facts: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
+    """The rows with the columns of the facts of the same keys (none null, unique among facts); rows without facts go.
+
+    facts have a column `weight`, at least the number of rows that they meet. Facts of over a `most`-th of all weights, so fewer
+    than `most`, are broadcast; the rows of the others meet them in a shuffle in which no key has more than that share.
+    """
+    total = facts.agg(F.sum("weight")).first()[0] or 0
+    heavy = F.col("weight") * most > total
+    hot = facts.where(heavy).drop("weight").withColumn("hot", F.lit(True))
+    added = [c for c in facts.columns if c not in (*keys, "weight")]
+    first = rows.join(F.broadcast(hot), keys, "left")
+    of = [F.col(c) for c in (*rows.columns, *added)]
+    return first.where("hot").select(*of).union(first.where("hot is null").select(*rows.columns).join(facts.where(~heavy).drop("weight"), keys).select(*of))
+
+
+def numbered(rows: DataFrame, order: list, group: str, name: str) -> DataFrame:
+    """The rows with their number `name` within their group of one long column, from 1, in an order that begins with the group.
+
+    Rows are sorted by ranges, so a group may lie in many tasks; each task numbers its own rows, and the driver gets
+    its first and last group with their numbers of rows, from which it counts those before. Rows of equal order are dealt as they come.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in it:
+            ids = batch.column(group).to_numpy(zero_copy_only=False)
+            if not len(ids):
+                continue
+            new = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            own = np.arange(1, len(ids) + 1) - np.repeat(new, np.diff(np.r_[new, len(ids)]))
+            if ids[0] == last:
+                own[: new[1] if len(new) > 1 else len(ids)] += seen
+            last, seen = ids[-1], int(own[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64()), pa.array([part] * len(ids), pa.int32())], [*batch.schema.names, name, "part"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    ranged = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, f"{fields}, `{name}` long, part int"))
+    at = F.struct(group, name)
+    parts = ranged.groupBy("part").agg(F.min(group).alias("first"), F.max(at).alias("last")).orderBy("part").collect()
+    before, open_, carried = [], (None, 0), 0
+    for p in parts:
+        carried = open_[1] if p["first"] == open_[0] else 0
+        if carried:
+            before.append((p["part"], p["first"], carried))
+        open_ = (p["last"][0], p["last"][1] + (carried if p["last"][0] == p["first"] else 0))
+    if not before:
+        return ranged.drop("part")
+    more = F.broadcast(spark.createDataFrame(before, f"part int, `{group}` long, more long"))  # one row a task at most
+    return ranged.join(more, ["part", group], "left").withColumn(name, F.col(name) + F.coalesce("more", F.lit(0))).select(*rows.columns, name)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import language, secrets, toxicity
 from .common import fold, table
+from .conversations import conversation_trie
 from .decontaminate import contaminated
 from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
@@ -68,6 +69,11 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with the beginnings of their families."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
@@ -88,5 +94,22 @@ select doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words
 from f left join r using (host)
 """
 
-QUERIES = {"op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
-ORACLES = {"op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
+OP11_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+k as (select conv_id, md5(length(r) || ':' || r || x) key, length(x) chars, row_number() over (partition by conv_id order by turn nulls first, md5(length(r) || ':' || r || x)) pos from t),
+c as (select conv_id, count(*) n, conv_id - conv_id % 100 base,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda s: ascii(s)::bigint)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::bigint)), lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 6 h from k group by 1),
+g as (select c.*, least(h, coalesce(b.n, 0)) got from c left join (select conv_id base, n from c) b using (base)),
+s as (select g.conv_id, pos d, key, chars from g join k on k.conv_id = g.base and pos <= got union all select conv_id, pos - h + got, key, chars from g join k using (conv_id) where pos > h),
+p as (select *, string_agg(key, '') over (partition by conv_id order by d) prefix, max(d) over (partition by conv_id) len from s),
+m as (select conv_id, d, prefix, chars, d = len last from p union all select conv_id, 0, '', 0, conv_id not in (select conv_id from s) from g),
+n as (select d, prefix, min(conv_id) conv_id, count(*) n_convs, max(chars) chars, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (last), '')) ends_sha256 from m group by all),
+q as (select n.*, exists (select 1 from n e where e.d = n.d + 1 and left(e.prefix, 32 * n.d) = n.prefix) inner_ from n),
+up as (select left(prefix, 32 * a) prefix, a d, sum((not inner_)::int) n_leaves, sum((n_convs - 1) * chars) saved_tokens, count(*) filter (d = a + 1) n_children from (select *, unnest(range(0, d + 1)) a from q) group by all)
+select n.conv_id, n.d::bigint depth, f.conv_id parent_conv_id, n.n_convs, n_children::bigint n_children, n_leaves::bigint n_leaves, saved_tokens::bigint saved_tokens, n.ends_sha256
+from n join up using (d, prefix) left join n f on f.d = n.d - 1 and f.prefix = left(n.prefix, 32 * (n.d - 1))
+"""
+
+QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+ORACLES = {"op11_conversation_trie": OP11_SQL, "op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
