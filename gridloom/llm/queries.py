@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
 from .passages import repeated_passages
+from .phrases import collocations
 from .ppm import model_scores
 from .quality import host_rules
 from .token_files import token_files
@@ -74,6 +75,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language of all documents."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
@@ -111,5 +117,20 @@ select n.conv_id, n.d::bigint depth, f.conv_id parent_conv_id, n.n_convs, n_chil
 from n join up using (d, prefix) left join n f on f.d = n.d - 1 and f.prefix = left(n.prefix, 32 * (n.d - 1))
 """
 
-QUERIES = {"op11_conversation_trie": op11_conversation_trie, "op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
-ORACLES = {"op11_conversation_trie": OP11_SQL, "op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
+OP13_SQL = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+g as (select lang, k, list_aggregate(ws[i : i + k - 1], 'string_agg', ' ') phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) i from w, range(1, 4) t(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*) f from g group by all having count(*) >= 10),
+n as (select lang, sum(len(ws)) n from w group by 1),
+c as (select lang, k, phrase, f a, string_split(phrase, ' ') ws, unnest(range(1, k)) cut from f where k > 1),
+s as (select c.*, l.f l, r.f r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) score from c
+  join f l on l.lang = c.lang and l.phrase = list_aggregate(ws[1 : cut], 'string_agg', ' ') join f r on r.lang = c.lang and r.phrase = list_aggregate(ws[cut + 1 :], 'string_agg', ' ')),
+b as (select * from (select *, row_number() over (partition by lang, phrase order by score, cut) o from s) where o = 1),
+o as (select lang, phrase, max(a) outer_ from (select lang, a, unnest([list_aggregate(ws[1:2], 'string_agg', ' '), list_aggregate(ws[2:3], 'string_agg', ' ')]) phrase from b where k = 3) group by 1, 2),
+t as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) rank from b left join o using (lang, phrase) where outer_ is null or 100 * outer_ < 50 * a)
+select t.lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n.n::bigint n, score::bigint score from t join n using (lang) where rank <= 2000
+"""
+
+QUERIES = {"op13_phrase_collocations": op13_phrase_collocations, "op11_conversation_trie": op11_conversation_trie, "op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+ORACLES = {"op13_phrase_collocations": OP13_SQL, "op11_conversation_trie": OP11_SQL, "op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
