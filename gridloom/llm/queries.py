@@ -12,6 +12,7 @@ from .conversations import conversation_trie
 from .decontaminate import contaminated
 from .mixing import mix, mixing_sql
 from .ngram_join import near_duplicates
+from .packing import packed
 from .passages import repeated_passages
 from .phrases import collocations
 from .ppm import model_scores
@@ -80,6 +81,12 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 ids, a row a piece."""
+    pieces = packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP3_SQL = r"""
 with d as (select row_number() over () rid, doc_id, source host, coalesce(text, '') t from documents),
 w as (select *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from d),
@@ -132,5 +139,5 @@ t as (select b.*, row_number() over (partition by b.lang order by score desc, a
 select t.lang, rank::bigint rank, phrase, a::bigint a, l::bigint l, r::bigint r, n.n::bigint n, score::bigint score from t join n using (lang) where rank <= 2000
 """
 
-QUERIES = {"op13_phrase_collocations": op13_phrase_collocations, "op11_conversation_trie": op11_conversation_trie, "op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
+QUERIES = {"op12_packed_sequences": op12_packed_sequences, "op13_phrase_collocations": op13_phrase_collocations, "op11_conversation_trie": op11_conversation_trie, "op10_repeated_passages": op10_repeated_passages, "op1_ppm_scores": op1_ppm_scores, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_token_files": op8_token_files, "op9_mixing": op9_mixing, "op6_ngram_jaccard_join": op6_ngram_jaccard_join, "op2_factorization_toxicity": op2_factorization_toxicity, "op4_token_efficiency_secrets": op4_token_efficiency_secrets, "op5_naive_bayes_language": op5_naive_bayes_language, "op3_host_rules": op3_host_rules}
 ORACLES = {"op13_phrase_collocations": OP13_SQL, "op11_conversation_trie": OP11_SQL, "op9_mixing": mixing_sql(), "op3_host_rules": OP3_SQL}
