@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_back, rows_out, written
-from .token_files import SHARD_BYTES, Encoder
+from .token_files import Encoder
 
 PIECES = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 DDL = "part int, seq long, offset long, doc_id long, start long, length long, doc_tokens long, ids binary"
+PART_BYTES = 64 << 20  # of text in a task: the more, the fewer words are new to its encoder
 CHUNK_IDS = 1 << 20  # over which one program runs, up to the end of a document
 
 
@@ -58,22 +59,24 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int, sequence: int) -> list[
     order = np.lexsort((starts, ends))
     first = np.searchsorted(ends[order], np.arange(n + 1)).tolist()
     exact, place, more = starts[order].tolist(), at.tolist(), (penalty + sequence).tolist()
-    cost, back_to = [0] * n, [0] * n
-    queue: deque[tuple[int, int]] = deque()
+    cost, lead, back_to = [0] * n, [0] * n, [0] * n  # lead: cost and place
+    queue: deque[int] = deque()
     for j in range(1, n):
-        v = cost[j - 1] + place[j - 1]
-        while queue and queue[-1][0] > v:
+        v, here = lead[j - 1], place[j]
+        while queue and lead[queue[-1]] > v:
             queue.pop()
-        queue.append((v, j - 1))
-        here = place[j]
-        while place[queue[0][1]] < here - size:
+        queue.append(j - 1)
+        far = here - size
+        while place[queue[0]] < far:
             queue.popleft()
-        best, i = queue[0]
-        best += size - here
-        for x in exact[first[j] : first[j + 1]]:
-            if cost[x] < best or cost[x] == best and x < i:
-                best, i = cost[x], x
-        cost[j], back_to[j] = best + more[j], i
+        i = queue[0]
+        best = lead[i] - far
+        if first[j] < first[j + 1]:
+            for x in exact[first[j] : first[j + 1]]:
+                if cost[x] < best or cost[x] == best and x < i:
+                    best, i = cost[x], x
+        cost[j] = best = best + more[j]
+        lead[j], back_to[j] = best + here, i
     out, j = [], n - 1
     while j:
         out.append(j)
@@ -168,7 +171,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 20
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if not parts:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+        parts = max(12, -(-total // PART_BYTES))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     pieces = written(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_packed(tokenizer_path, end_id, size, costs or Costs()), DDL))
     before, n = [], 0

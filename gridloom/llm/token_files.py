@@ -14,9 +14,11 @@ zstd decompresses a whole shard to the ids of all its documents in order.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -112,38 +114,34 @@ class Encoder:
 
     That pattern makes a token boundary before a Latin word, its one space included, and after it, unless another
     letter, a digit, an apostrophe or more white space touches it; merges never cross a boundary. So a text is cut there, and each
-    distinct piece of a task is encoded once and remembered while there are at most `most`. New words are encoded many at a time,
-    as lines of one text: a line end before a word or a space and a word is a token of its own. A text that holds the
-    name of a special token is one piece.
+    distinct piece of a task is encoded once and remembered while there are at most `most`. A word is all of one part of the pattern, so the
+    vocabulary's merges are run on it alone. A text that holds the name of a special token is one piece.
     """
 
-    most = 300_000
-    line = 2000  # words that are encoded as one text
+    most = 500_000
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.end = self.ids(["\n"])[0]
-        if len(self.end) != 4:
-            raise ValueError("a line end isn't a token of its own in this vocabulary")
+        form = json.loads(self.tok.pre_tokenizer.__getstate__()) if self.tok.pre_tokenizer else None
+        if not form or form.get("type") != "ByteLevel" or form.get("add_prefix_space") or not form.get("use_regex", True) or self.tok.normalizer:
+            raise ValueError("this vocabulary doesn't split texts by the byte-level pattern alone")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level vocabulary; the others follow from 256 on
+        self.letters = {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
 
     def ids(self, some: list[str]) -> list[bytes]:
         """Each text's ids as 32-bit integers."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
 
     def words(self, some: list[str]) -> list[bytes]:
-        """Each word's ids: the lines of one text."""
-        flat = np.frombuffer(self.ids(["\n".join(some)])[0], "<u4")
-        ends = 4 * np.flatnonzero(flat == np.frombuffer(self.end, "<u4")[0])
-        raw, starts = flat.tobytes(), [0, *(ends + 4).tolist()]
-        return [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True)]
+        """Each word's ids, by the vocabulary's merges."""
+        merge, letters = self.tok.model.tokenize, self.letters
+        return [array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in some]
 
     def learn(self, new: set[str]) -> None:
         words = list(filter(is_word, new))
-        for i in range(0, len(words), self.line):
-            some = words[i : i + self.line]
-            self.known.update(zip(some, self.words(some), strict=True))
-        rest = list(new.difference(words))
+        self.known.update(zip(words, self.words(words), strict=True))
+        rest = list(new.difference(words)) if len(words) < len(new) else []
         self.known.update(zip(rest, self.ids(rest), strict=True))
 
     def of(self, all_texts: list[str]) -> Iterator[np.ndarray]:
