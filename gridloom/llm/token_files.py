@@ -118,7 +118,7 @@ class Encoder:
     vocabulary's merges are run on it alone. A text that holds the name of a special token is one piece.
     """
 
-    most = 500_000
+    most = 400_000
 
     def __init__(self, path: str):
         self.tok, self.known = tokenizer(path), {}
@@ -135,8 +135,9 @@ class Encoder:
 
     def words(self, some: list[str]) -> list[bytes]:
         """Each word's ids, by the vocabulary's merges."""
-        merge, letters = self.tok.model.tokenize, self.letters
-        return [array("I", [t.id for t in merge(w.encode().decode("latin-1").translate(letters))]).tobytes() for w in some]
+        merge, letters, space = self.tok.model.tokenize, self.letters, chr(self.letters[32])
+        shown = ((space + w[1:] if w[0] == " " else w) if w.isascii() else w.encode().decode("latin-1").translate(letters) for w in some)
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
 
     def learn(self, new: set[str]) -> None:
         words = list(filter(is_word, new))
