@@ -17,6 +17,7 @@ CUTS = b".,;:!?\n\v\f\r"  # between pieces
 ROWS = 2  # of a sketch
 LEAST_BITS, MOST_BITS = 16, 25  # of a row's counters
 SLICES = 64  # in which sketches are merged
+HELD = 200_000  # phrases that a task adds up before they leave
 STEP = 60_000  # runs that are counted at once: fewer than a 16-bit counter holds
 _BLANK, _CUT = np.zeros(256, bool), np.zeros(256, bool)
 _BLANK[[9, 32]] = True
@@ -140,28 +141,46 @@ def may_reach(bits_set: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _survivors(sent, most: int, bits: int):
+    """A task's numbers of all runs that the sketch allows; up to HELD are told apart by their hashes and added up before they leave."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = sent.value
+        names: dict[int, tuple] = {}
+        counts: dict[int, int] = {}
+        total: dict[str, int] = {}
+
+        def leave() -> pa.RecordBatch:
+            langs, ks, phrases = zip(*names.values(), strict=True)
+            out = rows_out(_FOUND, [langs, ks, phrases, [counts[h] for h in names]])
+            names.clear()
+            counts.clear()
+            return out
+
         for batch in it:
             for langs, words in chunks(batch):
-                rows: list[tuple] = []
-                n = np.bincount(words.text, minlength=len(langs)) if len(words.text) else np.zeros(len(langs), int)
-                by: dict[str, int] = {}
-                for lang, x in zip(langs, n.tolist(), strict=True):
-                    by[lang] = by.get(lang, 0) + x
-                rows += [(lang, 0, b"", x) for lang, x in by.items() if x]
+                for lang, x in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist(), strict=True):
+                    total[lang] = total.get(lang, 0) + x
                 alive = np.ones(len(words.hash), bool)
                 for k, (at, h) in enumerate(words.runs(most), 1):
                     if k > 1:  # a run is no more frequent than its first and its last words
                         inner = alive[at] & alive[at + 1]
                         at, h = at[inner], h[inner]
-                    at, h = (x[ok] for ok in (may_reach(filter_, h, bits),) for x in (at, h))
+                    ok = may_reach(filter_, h, bits)
+                    at, h = at[ok], h[ok]
                     alive = np.zeros(len(words.hash), bool)
                     alive[at] = True
-                    _, one, count = np.unique(h, return_index=True, return_counts=True)
-                    rows += [(langs[words.text[i]], k, words.phrase(i, k), c) for i, c in zip(at[one].tolist(), count.tolist(), strict=True)]
-                if rows:
-                    yield rows_out(_FOUND, list(zip(*rows, strict=True)))
+                    own, one, n = np.unique(h, return_index=True, return_counts=True)
+                    for x, i, c in zip(own.tolist(), at[one].tolist(), n.tolist(), strict=True):
+                        if x in counts:
+                            counts[x] += c
+                        else:
+                            counts[x], names[x] = c, (langs[words.text[i]], k, words.phrase(i, k))
+                if len(names) > HELD:
+                    yield leave()
+        if names:
+            yield leave()
+        if total:
+            yield rows_out(_FOUND, [list(total), [0] * len(total), [b""] * len(total), list(total.values())])
 
     return run
 
@@ -172,8 +191,8 @@ def counted(docs: DataFrame, most: int = 3, least: int = 10, bits: int | None =
     Words are runs of other characters than space and tab within pieces, A-Z in lower case; phrases are their words joined by a space.
     The first pass counts every run of every text in sketches, which never count too few; the second counts those exactly that the sketch
     allows and whose first and last words it allows. A sketch that is too small for its corpus lets more through and loses nothing: its rows have a
-    counter for every four bytes of text, between 2^16 and 2^25 (so 128 MB a task while it counts). Within a quarter megabyte of text runs are told apart by 64-bit
-    hashes, then by their words.
+    counter for every four bytes of text, between 2^16 and 2^25 (so 128 MB a task while it counts). A task tells 200,000 phrases or so apart by 64-bit
+    hashes, Spark then by their words.
     """
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     if bits is None:
