@@ -198,6 +198,8 @@ def counted(docs: DataFrame, most: int = 3, least: int = 10, bits: int | None =
     if bits is None:
         size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, (size // 4).bit_length()))
+    if ROWS << bits < 8 * SLICES:
+        raise ValueError(f"a sketch of 2^{bits} counters a row can't be dealt in {SLICES} slices")
     bits_set = sketch(texts, most, least, bits)
     with lent(docs.sparkSession, bits_set) as sent:
         rows = texts.mapInArrow(_survivors(sent, most, bits), "lang string, k int, phrase binary, f long")
