@@ -10,19 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from ..functions.arithmetic import cross, moved, norm
+from ..operators.ordered import chunked, decayed, numbered, own
 
 WINDOW = 4
+CHUNK = 4096
 
 
 def sliding(frames: DataFrame, n: int = WINDOW) -> DataFrame:
     """(stream, ts, frame_id, v0, ..., vn-1): each frame with the n - 1 before it, v0 the latest.
 
     Frames (stream, ts, frame_id, v) are in order of (ts, frame_id). The first window comes when more than n frames have
-    arrived, so with frame n + 1.
+    arrived, so with frame n + 1. A stream is dealt in chunks of CHUNK frames that share n - 1, so it may hold any share of all frames.
     """
-    by = Window.partitionBy("stream").orderBy("ts", "frame_id")
-    rows = frames.withColumns({"at": F.row_number().over(by), "v0": F.col("v"), **{f"v{i}": F.lag("v", i).over(by) for i in range(1, n)}})
-    return rows.where(F.col("at") > n).select("stream", "ts", "frame_id", *(f"v{i}" for i in range(n)))
+    rows = chunked(numbered(frames.select("stream", "ts", "frame_id", "v"), "stream", ["ts", "frame_id"]), "at", CHUNK, n - 1)
+    by = Window.partitionBy("stream", "chunk").orderBy("at")
+    rows = rows.withColumns({"v0": F.col("v"), **{f"v{i}": F.lag("v", i).over(by) for i in range(1, n)}})
+    return rows.where((F.col("at") > n) & own("at", CHUNK)).select("stream", "ts", "frame_id", *(f"v{i}" for i in range(n)))
 
 
 def sliding_stream(frames: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -62,8 +65,8 @@ COMPOUND = {
 def compounded(values: DataFrame, how: str = "avg") -> DataFrame:
     """(voxel, v): the values (voxel, ts, frame_id, v) of each voxel folded in order of arrival; nulls are left out.
 
-    avg is (old + new) / 2 at each step and so depends on the order: as a sum, the k-th value from the last counts by half to the
-    k. Places come from a window that streams a voxel's sorted values; the other folds are partial aggregates.
+    avg is (old + new) / 2 at each step and so depends on the order, as alpha does: runs of values are folded where they lie and then one after
+    the other (ordered.decayed); the other folds are partial aggregates. A voxel may hold any share of the values.
     """
     rows = values.where("v is not null")
     order = F.struct("ts", "frame_id")
@@ -71,11 +74,7 @@ def compounded(values: DataFrame, how: str = "avg") -> DataFrame:
         return rows.groupBy("voxel").agg(F.max("v").alias("v"))
     if how in ("if_empty", "overwrite"):
         return rows.groupBy("voxel").agg((F.min_by if how == "if_empty" else F.max_by)("v", order).alias("v"))
-    keep = {"avg": 0.5, "alpha": 0.9}[how]
-    back = F.row_number().over(Window.partitionBy("voxel").orderBy(F.desc("ts"), F.desc("frame_id"))) - 1
-    first = F.lead("v").over(Window.partitionBy("voxel").orderBy(F.desc("ts"), F.desc("frame_id"))).isNull()
-    weight = F.pow(F.lit(keep), F.col("back")) * F.when(F.col("first"), 1.0).otherwise(1 - keep)
-    return rows.withColumns({"back": back, "first": first}).groupBy("voxel").agg(F.sum(weight * F.col("v")).alias("v"))
+    return decayed(rows, "voxel", ["ts", "frame_id"], "v", {"avg": 0.5, "alpha": 0.9}[how])
 
 
 def compound_stream(values: DataFrame, how: str = "avg") -> DataFrame:
