@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arithmetic import radial_basis
 from ..scratch import written
-from .statistics import extremes
+from .ordered import numbered
 
 
 def thinned(points: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
@@ -21,56 +24,98 @@ def thinned(points: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     return first.unionByName(second)
 
 
-MOST_IN_CELL = 512
+IN_LEAF = 64  # points at most
+FAN = 3  # bits of a node's number that tell its children apart
+SMALL = 4096  # nodes of a level that are broadcast
+XYZ = ("x", "y", "z")
 
 
-def start_cell(points: DataFrame, low: tuple[float, ...], cell: float) -> float:
-    """`cell`, or the first of a quarter, a sixteenth, ... of it at which no cell counted from `low` has over MOST_IN_CELL points; 4^-12 of it at least."""
-    for _ in range(12):
-        keys = [F.floor((F.col(c) - F.lit(a)) / F.lit(cell)).alias(f"k{c}") for c, a in zip("xyz", low, strict=True)]
-        if (points.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) <= MOST_IN_CELL:
-            break
-        cell /= 4
-    return cell
+@dataclass(frozen=True)
+class Tree:
+    """Points in leaves of at most IN_LEAF, and the boxes of the nodes above by level: a node's parent is its number without the last FAN bits."""
 
+    points: DataFrame  # leaf, pid, p_...
+    levels: list[DataFrame]  # node, lo_..., hi_... from the leaves up to one of at most 2^FAN nodes
+    bits: int  # of a leaf's number
 
-def nearest(queries: DataFrame, points: DataFrame, penalty: Column | None = None, also: tuple[str, ...] = ()) -> DataFrame:
+
+def tree(points: DataFrame, columns: tuple[str, ...], split: tuple[str, ...] = XYZ) -> Tree:
+    """The tree of points (pid, columns...), cut by counts along `split`, one column after the other: into slabs, those into columns, those into leaves.
+
+    So leaves have as many points wherever points are close or alone. Each cut numbers the points of all slabs in one sort by ranges.
+    """
+    rows, n = points.select("pid", *columns).withColumn("leaf", F.lit(0).cast("long")), max(points.count(), 1)
+    parts = max(1, math.ceil(round((n / IN_LEAF) ** (1 / len(split)), 9)))
+    bits, held = max(1, parts.bit_length()), n
+    for c in split:
+        held = -(-held // parts)
+        rows = numbered(rows, "leaf", [c, "pid"], "at").withColumn("leaf", F.shiftleft("leaf", bits) + F.floor((F.col("at") - 1) / held)).drop("at")
+    rows = written(rows.select("leaf", "pid", *(F.col(c).alias(f"p_{c}") for c in columns)))
+    box = [f(F.col(f"{k}_{c}")).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))]
+    level = written(rows.select(F.col("leaf").alias("node"), *(F.col(f"p_{c}").alias(f"{k}_{c}") for c in columns for k in ("lo", "hi"))).groupBy("node").agg(*box))
+    levels = [level]
+    for _ in range(0, bits * len(split) - FAN, FAN):
+        level = written(level.withColumn("node", F.shiftright("node", FAN)).groupBy("node").agg(*box))
+        levels.append(level)
+    return Tree(rows, levels, bits * len(split))
+
+
+def _below(front: DataFrame, t: Tree, level: int, floor: Column) -> DataFrame:
+    """The queries' nodes one level down with `least`, which no point there can cost less than; a level of few nodes is broadcast."""
+    nodes = t.levels[level].withColumn("parent", F.shiftright("node", FAN))
+    if t.bits - FAN * level <= SMALL.bit_length() - 1:
+        nodes = F.broadcast(nodes)
+    off = [F.greatest(F.col(f"lo_{c}") - F.col(f"q_{c}"), F.col(f"q_{c}") - F.col(f"hi_{c}"), F.lit(0.0)) for c in XYZ]
+    least = F.sqrt(sum((o * o for o in off), F.lit(0.0))) + F.greatest(F.lit(0.0), F.coalesce(floor, F.lit(0.0)))
+    return front.withColumnRenamed("node", "parent").join(nodes, "parent").withColumn("least", least).drop("parent", *(c for c in nodes.columns if c[:3] in ("lo_", "hi_")))
+
+
+def meetings(queries: DataFrame, points: DataFrame, penalty: Column | None = None, also: tuple[str, ...] = (), floor: Column | None = None, split: tuple[str, ...] = XYZ) -> DataFrame:
+    """(qid, pid, distance, cost) of the pairs that nearest() has to look at: every query's point of least cost is among them.
+
+    A query goes down the tree with its two best nodes to a first cost; then with all nodes whose `least` isn't above that.
+    """
+    also = tuple(also)
+    points = written(thinned(points.select("pid", *XYZ, *also).dropna(subset=list(XYZ)), also))
+    asked = queries.select("qid", *XYZ, *also).dropna(subset=list(XYZ)).select("qid", *(F.col(c).cast("double").alias(f"q_{c}") for c in (*XYZ, *also)))
+    t = tree(points.select("pid", *(F.col(c).cast("double").alias(c) for c in (*XYZ, *also))), (*XYZ, *also), split)
+    floor = F.lit(0.0) if floor is None else floor
+    distance = F.sqrt(sum((F.pow(F.col(f"q_{c}") - F.col(f"p_{c}"), F.lit(2)) for c in XYZ), F.lit(0.0)))
+
+    def met(front: DataFrame) -> DataFrame:
+        pairs = front.withColumnRenamed("node", "leaf").join(t.points, "leaf").where(F.col("pid") != F.col("qid"))
+        return pairs.select("qid", "pid", distance.alias("distance"), (distance + (F.lit(0.0) if penalty is None else penalty)).alias("cost")).where("cost is not null")
+
+    q = [c for c in asked.columns if c != "qid"]
+    front = asked.withColumn("node", F.lit(0).cast("long"))
+    for level in reversed(range(len(t.levels))):
+        two = F.slice(F.sort_array(F.collect_list(F.struct("least", "node"))), 1, 2)  # of at most 2^(FAN + 1)
+        front = _below(front, t, level, floor).groupBy("qid", *q).agg(F.transform(two, lambda x: x["node"]).alias("nodes")).select("qid", *q, F.explode("nodes").alias("node"))
+        front = written(front)
+    first = met(front).groupBy("qid").agg(F.min("cost").alias("bound"))
+    front = written(asked.join(first, "qid", "left")).withColumn("node", F.lit(0).cast("long"))
+    for level in reversed(range(len(t.levels))):
+        front = written(_below(front, t, level, floor).where(F.col("bound").isNull() | (F.col("least") <= F.col("bound") * (1 + 1e-9))).drop("least"))
+    return met(front)
+
+
+def nearest(queries: DataFrame, points: DataFrame, penalty: Column | None = None, also: tuple[str, ...] = (), floor: Column | None = None, split: tuple[str, ...] = XYZ) -> DataFrame:
     """(qid, pid, distance, cost) of the point of least cost of each query (qid, x, y, z, also...); of equal ones the least pid.
 
     The cost is the distance plus a penalty that is never negative: an expression of the columns `also` of the query (q_...)
-    and of the point (p_...). A point of the query's own id doesn't count. Queries with a null coordinate, or without
-    any other point, get nulls. Exact for any points: a query looks through the 27 cells around it, and is done when
-    it finds a cost of at most a cell's width, as all points outside are farther; others look again with cells of
-    twice the width. Cells start at a width at which none has over MOST_IN_CELL points, so a query among close points is done
-    before it meets many, whatever outliers there are; one that is alone, or whose penalties exceed a cell's width,
-    goes on to wider cells.
+    and of the point (p_...); a point whose penalty is null isn't taken. A point of the query's own id doesn't count. Queries with a null coordinate, or without
+    any other point, get nulls. Exact for any points: they lie in a tree whose leaves have equal counts, a query takes a first cost from its two best leaves, and then
+    looks into all leaves that may have a lesser one. `floor` is what the penalty is at least in a node, an expression of q_... and of the ends lo_..., hi_...
+    of the points' columns there; with it, and with leaves that are cut along those columns too (`split`), penalties that exceed all distances bound the search as well.
     """
-    xyz = ["x", "y", "z"]
-    points = written(thinned(points.select("pid", *xyz, *also).dropna(subset=xyz), also))
-    asked = queries.select("qid", *xyz, *also).dropna(subset=xyz)
-    left = written(asked.select("qid", *(F.col(c).alias(f"q_{c}") for c in (*xyz, *also))))
-    box = extremes(points.unionByName(asked.withColumnRenamed("qid", "pid")), *xyz)
-    widest = max(b - a for a, b in box) or 1.0
-    n = max(points.count(), 1)
-    cell = start_cell(points, tuple(a for a, _ in box), widest / max(1.0, n ** (1 / 3)))
-    around = F.array(*(F.struct(*(F.lit(o).alias(f"d{c}") for o, c in zip(offset, xyz, strict=True))) for offset in product((-1, 0, 1), repeat=3)))
-    at = lambda c, k: F.floor((F.col(c) - F.lit(box[k][0])) / F.lit(cell))
-    distance = F.sqrt(sum((F.pow(F.col(f"q_{c}") - F.col(f"p_{c}"), F.lit(2)) for c in xyz), F.lit(0.0)))
-    found = None
-    while True:
-        last = cell >= widest
-        cells = points.select("pid", *(at(c, k).alias(f"k{c}") for k, c in enumerate(xyz)), *(F.col(c).alias(f"p_{c}") for c in (*xyz, *also)))
-        looks = left.withColumn("d", F.explode(around)).withColumns({f"k{c}": at(f"q_{c}", k) + F.col(f"d.d{c}") for k, c in enumerate(xyz)}).drop("d")
-        met = looks.join(cells, ["kx", "ky", "kz"]).where(F.col("pid") != F.col("qid"))
-        met = met.select("qid", "pid", distance.alias("distance"), (distance + (F.lit(0.0) if penalty is None else penalty)).alias("cost"))
-        best = met.groupBy("qid").agg(F.min(F.struct("cost", "pid", "distance")).alias("b")).select("qid", "b.pid", "b.distance", "b.cost")
-        done = written(best if last else best.where(F.col("cost") <= cell))
-        found = done if found is None else found.union(done)
-        left = written(left.join(done.select("qid"), "qid", "left_anti"))
-        if last or not left.limit(1).count():
-            break
-        cell *= 2
-    return queries.select("qid").join(found, "qid", "left")
+    best = meetings(queries, points, penalty, also, floor, split).groupBy("qid").agg(F.min(F.struct("cost", "pid", "distance")).alias("b"))
+    return queries.select("qid").join(best.select("qid", "b.pid", "b.distance", "b.cost"), "qid", "left")
+
+
+def normal_floor(weight: float) -> Column:
+    """What normal_penalty() is at least for normals within lo_n., hi_n.."""
+    most = sum((F.greatest(F.col(f"q_n{c}") * F.col(f"lo_n{c}"), F.col(f"q_n{c}") * F.col(f"hi_n{c}")) for c in "xyz"), F.lit(0.0))
+    return F.lit(float(weight)) * F.greatest(F.lit(0.0), 1 - most)
 
 
 def normal_penalty(weight: float) -> Column:
@@ -94,12 +139,17 @@ def distance_statistics(found: DataFrame, far: float = 3.0) -> DataFrame:
 MOST_LANDMARKS = 2000
 
 
-def radial_warp(points: DataFrame, landmarks: DataFrame, sigma: float, order: int = 1) -> DataFrame:
+#: Of the distance in units of sigma, on the driver: of an order of radial_basis().
+BASES: tuple[Callable[[np.ndarray], np.ndarray], ...] = (lambda r: np.maximum(1 - r, 0) ** 2, lambda r: np.maximum(1 - r, 0) ** 4 * (4 * r + 1), lambda r: np.maximum(1 - r, 0) ** 6 * (35 * r**2 + 18 * r + 3))
+
+
+def radial_warp(points: DataFrame, landmarks: DataFrame, sigma: float, order: int = 1, basis: tuple[Callable[[np.ndarray], np.ndarray], Callable[[Column], Column]] | None = None) -> DataFrame:
     """The points (x, y, z, ...) moved so that landmarks (sx, sy, sz) come to (tx, ty, tz), with wx, wy, wz for where they go.
 
     The weights of the at most MOST_LANDMARKS landmarks are solved for on the driver by least squares. A basis is 0 beyond
     sigma, so landmarks are listed by cells of that width, and a point takes those of its cell: the list is broadcast,
-    and points aren't shuffled.
+    and points aren't shuffled. `basis` replaces the basis of that order by a caller's own: the same function of the distance over sigma, of an
+    array for the solution and of a Column for the points; what it gives from 1 on counts as 0.
     """
     rows = landmarks.select("sx", "sy", "sz", "tx", "ty", "tz").dropna().limit(MOST_LANDMARKS + 1).collect()
     if len(rows) > MOST_LANDMARKS:
@@ -109,8 +159,8 @@ def radial_warp(points: DataFrame, landmarks: DataFrame, sigma: float, order: in
     m = np.array([tuple(r) for r in rows], float)
     src, move = m[:, :3], m[:, 3:] - m[:, :3]
     r = np.linalg.norm(src[:, None] - src[None], axis=2) / sigma
-    left = np.maximum(1 - r, 0)
-    phi = (left**2, left**4 * (4 * r + 1), left**6 * (35 * r**2 + 18 * r + 3))[order]
+    solved, shown = basis or (BASES[order], lambda x: radial_basis(x, order))
+    phi = np.where(r < 1, solved(r), 0.0)
     weights = np.linalg.lstsq(phi, move, rcond=1e-12)[0]
     lists: dict[tuple[int, ...], list] = {}
     for p, w in zip(src, weights, strict=True):
@@ -121,7 +171,7 @@ def radial_warp(points: DataFrame, landmarks: DataFrame, sigma: float, order: in
 
     def pushed(c: str) -> Column:
         far = lambda p: F.sqrt(sum(((F.col(k) - p[k]) * (F.col(k) - p[k]) for k in "xyz"), F.lit(0.0))) / F.lit(float(sigma))
-        return F.col(c) + F.aggregate(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), F.lit(0.0), lambda acc, p: acc + radial_basis(far(p), order) * p[f"w{c}"])
+        return F.col(c) + F.aggregate(F.coalesce("near", F.array().cast(near.schema["near"].dataType)), F.lit(0.0), lambda acc, p: acc + F.when(far(p) < 1, shown(far(p))).otherwise(0.0) * p[f"w{c}"])
 
     return out.withColumns({f"w{c}": pushed(c) for c in "xyz"}).drop("kx", "ky", "kz", "near")
 

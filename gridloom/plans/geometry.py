@@ -29,7 +29,7 @@ def nn_with_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = fx.points(spark, sf_dir)
     size = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
     p = p.withColumns({f"n{c}": F.col(c) / size for c in "xyz"})
-    found = points.nearest(p.where("pid % 20 = 0").withColumnRenamed("pid", "qid"), p, points.normal_penalty(0.25), ("nx", "ny", "nz"))
+    found = points.nearest(p.where("pid % 20 = 0").withColumnRenamed("pid", "qid"), p, points.normal_penalty(0.25), ("nx", "ny", "nz"), points.normal_floor(0.25))
     return rounded(found.select("qid", "pid", "cost"))
 
 

@@ -205,17 +205,46 @@ def test_nearest_against_all_pairs(spark):
         assert got[i][0] == d[i].argmin() and got[i][1] == pytest.approx(d[i].min())
 
 
-def test_nearest_of_close_points_and_an_outlier(spark):
+def cost_of(q, p, weight):
+    """All costs of unit normals in columns 3 to 5."""
+    far = np.linalg.norm(q[:, None, :3] - p[None, :, :3], axis=2)
+    return far + weight * np.maximum(0, 1 - q[:, 3:] @ p[:, 3:].T)
+
+
+def test_nearest_of_close_points_and_lone_queries_meets_few(spark):
+    """A cluster and queries far from it and each other: as by all pairs, with a small share of the pairs."""
     rng = np.random.default_rng(6)
-    p = np.concatenate([rng.uniform(size=(2000, 3)), [[4000.0, 0, 0]]])
+    n = 6000
+    p = np.concatenate([rng.uniform(size=(n, 3)), rng.normal(size=(60, 3)) * 5000])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double")
-    cell = points.start_cell(df, (0.0, 0.0, 0.0), 4000 / 2001 ** (1 / 3))
-    assert max(np.unique(np.floor(p / cell), axis=0, return_counts=True)[1]) <= points.MOST_IN_CELL
-    assert points.start_cell(df, (0.0, 0.0, 0.0), 0.1) == 0.1
-    got = {r["qid"]: r["pid"] for r in points.nearest(df.withColumnRenamed("pid", "qid"), df).collect()}
+    q = df.withColumnRenamed("pid", "qid")
+    got = {r["qid"]: r["pid"] for r in points.nearest(q, df).collect()}
     d = np.linalg.norm(p[:, None] - p[None], axis=2)
     np.fill_diagonal(d, np.inf)
     assert got == {i: int(d[i].argmin()) for i in range(len(p))}
+    lone, close = points.meetings(q.where(f"qid >= {n}"), df).count(), points.meetings(q.where(f"qid < {n}"), df).count()
+    assert lone < 60 * n / 3 and close < n * 900  # of 6,060 a query
+    leaves = points.tree(df, points.XYZ).points.groupBy("leaf").count()
+    assert leaves.agg(F.max("count")).first()[0] <= points.IN_LEAF and leaves.count() < 3 * len(p) / points.IN_LEAF
+
+
+def test_nearest_with_penalties_over_the_box(spark):
+    """Normals that count twenty times the box: only the leaves of like normals are looked into."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    v = rng.normal(size=(n, 3))
+    p = np.concatenate([rng.uniform(size=(n, 3)), v / np.linalg.norm(v, axis=1, keepdims=True)], axis=1)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "pid long, x double, y double, z double, nx double, ny double, nz double")
+    q, also = df.where("pid % 10 = 0").withColumnRenamed("pid", "qid"), ("nx", "ny", "nz")
+    how = (points.normal_penalty(20), also, points.normal_floor(20), (*also, *points.XYZ))
+    got = {r["qid"]: (r["pid"], r["cost"]) for r in points.nearest(q, df, *how).collect()}
+    c = cost_of(p[::10], p, 20)
+    c[np.arange(len(c)), np.arange(0, n, 10)] = np.inf
+    for i, row in enumerate(c):
+        assert got[10 * i][0] == row.argmin() and got[10 * i][1] == pytest.approx(row.min())
+    assert points.meetings(q, df, *how).count() < len(c) * n / 4
+    plain = {r["qid"]: r["pid"] for r in points.nearest(q, df, how[0], also).collect()}
+    assert plain == {k: v[0] for k, v in got.items()}
 
 
 def test_nearest_without_other_points(spark):
@@ -223,6 +252,21 @@ def test_nearest_without_other_points(spark):
     assert points.nearest(one.withColumnRenamed("pid", "qid"), one).first()["pid"] is None
 
 
+def test_warp_with_an_own_basis(spark):
+    """The basis of order 1, given as a caller's function, and another that isn't 0 at 1."""
+    rng = np.random.default_rng(4)
+    marks = rng.uniform(0, 3, (9, 3))
+    lm = spark.createDataFrame([tuple(map(float, [*a, *(a + 0.1 * rng.normal(size=3))])) for a in marks], "sx double, sy double, sz double, tx double, ty double, tz double")
+    at = spark.createDataFrame([tuple(map(float, r)) for r in rng.uniform(-1, 4, (50, 3))], "x double, y double, z double")
+    rows = lambda **how: np.array(sorted(map(tuple, points.radial_warp(at, lm, 1.5, **how).collect())))
+    own = (lambda r: np.maximum(1 - r, 0) ** 4 * (4 * r + 1), lambda r: F.pow(1 - r, F.lit(4)) * (4 * r + 1))
+    assert np.allclose(rows(order=1), rows(basis=own))
+    steep = (lambda r: np.exp(-3 * r), lambda r: F.exp(-3 * r))
+    moved = points.radial_warp(lm.select(F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), "tx", "ty", "tz"), lm, 1.5, basis=steep).collect()
+    assert all(abs(r[f"w{c}"] - r[f"t{c}"]) < 1e-6 for r in moved for c in "xyz")
+    assert not np.allclose(rows(order=1), rows(basis=steep))
+
+
 @pytest.mark.parametrize("order", [0, 1, 2])
 def test_warp_moves_landmarks_to_their_places(spark, order):
     marks = np.random.default_rng(2).uniform(0, 3, (12, 3))
