@@ -129,20 +129,46 @@ def oriented(cells: DataFrame, points: DataFrame) -> DataFrame:
     return now.select("cid", "flip")
 
 
-def point_normals(cells: DataFrame, points: DataFrame, feature: float = 30.0) -> DataFrame:
-    """(cid, pid, nx, ny, nz): the unit normal of each face at each of its points, over the faces there that it meets smoothly.
+def _joined_corners(edges: DataFrame) -> DataFrame:
+    """(pid, cid, fan) of the corners that edges (pid, a, b), cells with a < b that meet at a point, lead to from the least cell `fan`.
+
+    Corners hook to their least neighbour, chains of hooks are shortened by half a round, and what still is apart hooks again: rounds grow with
+    the logarithm of the faces around a point, and no point's faces are gathered.
+    """
+    edges = written(edges)
+    now = edges.select("pid", F.col("a").alias("cid")).union(edges.select("pid", "b")).distinct().withColumn("fan", F.col("cid"))
+    while edges.limit(1).count():
+        hooks = edges.groupBy("pid", F.col("b").alias("node")).agg(F.min("a").alias("root"))
+        while True:
+            up = hooks.select("pid", F.col("node").alias("root"), F.col("root").alias("above"))
+            hooks = written(hooks.join(up, ["pid", "root"], "left").select("pid", "node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+            if not hooks.where("moved").limit(1).count():
+                break
+        now = written(now.join(hooks.select("pid", F.col("node").alias("fan"), "root"), ["pid", "fan"], "left").select("pid", "cid", F.coalesce("root", "fan").alias("fan")))
+        for end in "ab":
+            edges = edges.join(hooks.select("pid", F.col("node").alias(end), "root"), ["pid", end], "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        edges = written(edges.where("a <> b").select("pid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return now
 
-    Faces around a point whose normals are within `feature` degrees of its own count by their area; the others are across
-    a sharp edge. Faces are turned to agree first. The faces around one point are gathered.
+
+def fans(cells: DataFrame, points: DataFrame, feature: float = 30.0) -> DataFrame:
+    """(cid, pid, fan, nx, ny, nz): each corner of a mesh with its smooth fan, named by its face of least cid, and the fan's unit normal.
+
+    Faces are turned to agree first. Two faces around a point belong to one fan if sides at that point lead from one to the other, each shared by exactly
+    two faces whose normals are at most `feature` degrees apart. A fan's normal is that of its faces by their area (null where these cancel). A point with several fans lies on
+    a sharp edge: (pid, fan) are the points of the mesh split along it. The work is linear in the corners.
     """
     faces = face_normals(cells, points).join(oriented(cells, points), "cid").withColumns({f"n{k}": F.when(F.col("flip"), -F.col(f"n{k}")).otherwise(F.col(f"n{k}")) for k in "xyz"})
+    faces = written(faces.select("cid", "p0", "p1", "p2", "nx", "ny", "nz", "area"))
+    like = sum((F.col(f"f.n{k}") * F.col(f"g.n{k}") for k in "xyz"), F.lit(0.0)) >= math.cos(math.radians(feature)) - 1e-12
+    edges = neighbours(faces).where(like).select(F.explode(F.array("lo", "hi")).alias("pid"), F.least("f.cid", "g.cid").alias("a"), F.greatest("f.cid", "g.cid").alias("b"))
     rows = faces.select("cid", "nx", "ny", "nz", "area", F.explode(F.array("p0", "p1", "p2")).alias("pid"))
-    around = rows.groupBy("pid").agg(F.collect_list(F.struct("cid", "nx", "ny", "nz", "area")).alias("fs")).select("pid", "fs", F.explode("fs").alias("own"))
-    smooth = F.filter("fs", lambda g: sum((g[f"n{k}"] * F.col(f"own.n{k}") for k in "xyz"), F.lit(0.0)) >= math.cos(math.radians(feature)) - 1e-12)
+    rows = written(rows.join(_joined_corners(edges), ["pid", "cid"], "left").withColumn("fan", F.coalesce("fan", "cid")))
+    total = rows.groupBy("pid", "fan").agg(*(F.sum(F.col("area") * F.col(f"n{k}")).alias(f"s{k}") for k in "xyz"))
+    size = norm([F.col(f"s{k}") for k in "xyz"])
+    return rows.select("cid", "pid", "fan").join(total, ["pid", "fan"]).select("cid", "pid", "fan", *(F.try_divide(F.col(f"s{k}"), size).alias(f"n{k}") for k in "xyz"))
 
-    def total(k: str) -> Column:
-        return F.aggregate(smooth, F.lit(0.0), lambda acc, g: acc + g["area"] * g[f"n{k}"])
 
-    out = around.select(F.col("own.cid").alias("cid"), "pid", *(total(k).alias(f"s{k}") for k in "xyz"))
-    size = norm([F.col(f"s{k}") for k in "xyz"])
-    return out.select("cid", "pid", *(F.try_divide(F.col(f"s{k}"), size).alias(f"n{k}") for k in "xyz"))
+def point_normals(cells: DataFrame, points: DataFrame, feature: float = 30.0) -> DataFrame:
+    """(cid, pid, nx, ny, nz): the unit normal of each face at each of its points, that of its fan there."""
+    return fans(cells, points, feature).drop("fan")

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import extremes
 from .tiles import Arrays, after, before, fixpoint, tiled
 
 
@@ -192,6 +193,90 @@ def vesselness(image: DataFrame, sheet: float = 0.5, blob: float = 0.5, structur
     return tiled(image, kernel, ["v"], {"v": "double"}, 2, side)
 
 
+def structures(image: DataFrame, weights: tuple[float, float, float] = (0.0, 1.0, 0.0), asymmetry: float = 0.5, blobness: float = 0.5, structure: float = 5.0, gradient: float = 1.0, side: int = 32) -> DataFrame:
+    """(x, y, z, sheet, line, blob, v): how much the image looks like a sheet, a line and a ball at each voxel, and their sum by `weights`.
+
+    With eigenvalues of the Hessian by size l1, l2, l3, A = l2 / l3 / asymmetry, B = l1 / sqrt |l2 l3| / blobness, S the root of their squares' sum over
+    `structure` and L the gradient's length over |l3| gradient, and e(t) = exp(-t^2 / 2):
+
+        sheet (1 - e(L)) e(A) e(B), line (1 - e(A)) e(B), blob e(L) (1 - e(B)), each times 1 - e(S).
+
+    Differences of neighbours aren't halved, and are one-sided at the image's ends; what is divided by 0 counts as 0.
+    """
+
+    def kernel(a: Arrays) -> Arrays:
+        v = a["v"]
+        g = [after(v, k) - before(v, k) for k in range(3)]
+        h = np.empty((*v.shape, 3, 3))
+        for i, j in product(range(3), repeat=2):
+            h[..., i, j] = (after(g[i], j) - before(g[i], j) + after(g[j], i) - before(g[j], i)) / 2
+        e = np.linalg.eigvalsh(np.nan_to_num(h))
+        e = np.take_along_axis(e, np.abs(e).argsort(axis=-1), axis=-1)
+        l1, l2, l3 = (e[..., k] for k in range(3))
+        over = lambda x, y: np.divide(x, y, out=np.zeros_like(x), where=np.abs(y) > 1e-12)
+        fall = lambda t: np.exp(-t * t / 2)
+        ra, rb = over(l2, l3) / asymmetry, over(l1, np.sqrt(np.abs(l2 * l3))) / blobness
+        rl = over(np.sqrt(np.nan_to_num(sum(x * x for x in g))), np.abs(l3)) / gradient
+        some = 1 - fall(np.sqrt((e * e).sum(axis=-1)) / structure)
+        out = {"sheet": (1 - fall(rl)) * fall(ra) * fall(rb) * some, "line": (1 - fall(ra)) * fall(rb) * some, "blob": fall(rl) * (1 - fall(rb)) * some}
+        return {**out, "v": sum(w * x for w, x in zip(weights, out.values(), strict=True))}
+
+    return tiled(image, kernel, ["v"], dict.fromkeys(("sheet", "line", "blob", "v"), "double"), 2, side)
+
+
+#: Lengths of chamfer steps to neighbours that share a face, an edge and a corner, in thousandths.
+CHAMFER3 = (1000, 1314, 1628)
+
+
+def grey_interpolation(image: DataFrame, between: int, bins: int = 16, ends: tuple[float, float] | None = None, side: int = 32) -> DataFrame:
+    """(x, y, z, v): the slices of a grey image with `between` new ones after each but the last, by the shapes of their grey levels.
+
+    A slice's values, in `bins` levels between `ends` (the image's extremes if None), are lifted: a voxel is inside at the levels up to its own and outside above. Each lifted voxel
+    has its signed chamfer distance from the other side within its slice's levels; distances of slices that follow each other are interpolated,
+    and a new voxel has the highest level at which that is above 0. New slices have z in units of 1 / (between + 1): z (between + 1) + k; those that are
+    there keep their values, by levels. An image of one value keeps it; null values are errors.
+
+    No way to the other side has more than bins + 1 steps, as it may go straight up or down; so tiles with a halo of that width are enough, with one shuffle.
+    Distances are whole thousandths, so ties don't depend on rounding.
+    """
+    lo, hi = ends or extremes(image, "v")[0]
+    if not hi > lo:
+        lo, hi = (lo or 0.0), (lo or 0.0) + 1.0
+    reach, far, n = bins + 1, np.int32(1 << 28), between + 1
+    level = np.arange(-1, bins + 1).reshape(-1, 1, 1, 1)
+    steps = [(o, CHAMFER3[sum(map(abs, o)) - 1]) for o in product((-1, 0, 1), repeat=3) if any(o)]
+
+    def distance(source: np.ndarray) -> np.ndarray:
+        d = np.where(source, np.int32(0), far)
+        for _ in range(reach):
+            p = np.pad(d, [(1, 1), (1, 1), (1, 1), (0, 0)], constant_values=far)
+            new = d
+            for (i, j, k), w in steps:
+                new = np.minimum(new, p[1 + i : 1 + i + d.shape[0], 1 + j : 1 + j + d.shape[1], 1 + k : 1 + k + d.shape[2]] + np.int32(w))
+            if (new == d).all():
+                break
+            d = new
+        return d
+
+    def kernel(a: Arrays) -> Arrays:
+        v = a["v"]
+        there = ~np.isnan(v)
+        own = np.clip(np.floor((bins - 1) / (hi - lo) * (np.nan_to_num(v) - lo)), 0, bins - 1)
+        inside = level <= own
+        d = np.where(inside, distance(~inside & there), -distance(inside & there)).astype(np.int64)
+        top = d[1:-1]
+        out = [own]
+        for k in range(1, n):
+            new = np.full(v.shape, np.nan)
+            both = there[..., :-1] & there[..., 1:]
+            new[..., :-1] = np.where(both, np.maximum((top[..., :-1] * (n - k) + top[..., 1:] * k > 0).sum(axis=0) - 1, 0), np.nan)
+            out.append(new)
+        return {"vs": lo + np.stack(out) * (hi - lo) / (bins - 1)}
+
+    rows = tiled(image, kernel, ["v"], {"vs": "array<double>"}, (reach, reach, 1), max(side, reach))
+    return rows.select("x", "y", "z", F.posexplode("vs").alias("k", "v")).where(~F.isnan("v")).select("x", "y", (F.col("z") * n + F.col("k")).alias("z"), "v")
+
+
 #: Lengths of chamfer steps to neighbours that share a face and an edge.
 CHAMFER = (1.0, 1.314)
 FAR = 1e9

@@ -71,6 +71,22 @@ GAUSS = rounded_sql(f"""{_CELLS}, g as (select p0 pid, {_cosine("u", "v", "w")}
 t as (select pid, (2 * pi() - sum(angle)) * 3 / sum(area) curvature from g where area > 0 group by 1)""", "curvature", "pid", 1)
 
 
+#: The strip's faces lie side by side, each turned the other way than the one before it.
+_FACES = f"""with {fx.POINTS}, {fx.STRIP}, c as (select cid, p0, p1, p2, (b.y - a.y) * (c.z - a.z) - (b.z - a.z) * (c.y - a.y) cx, (b.z - a.z) * (c.x - a.x) - (b.x - a.x) * (c.z - a.z) cy, (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) cz,
+  b.x lx, b.y ly, b.z lz, c.x hx, c.y hy, c.z hz from tri join pt a on a.pid = p0 join pt b on b.pid = p1 join pt c on c.pid = p2),
+fc as (select *, sqrt(cx * cx + cy * cy + cz * cz) s from c)"""
+FANS = rounded_sql(f"""{_FACES}, fo as (select cid, s / 2 area, (1 - 2 * (cid % 2)) * cx / s nx, (1 - 2 * (cid % 2)) * cy / s ny, (1 - 2 * (cid % 2)) * cz / s nz, p0, p1, p2 from fc where s > 0),
+co as (select cid, area, nx, ny, nz, unnest([p0, p1, p2]) pid from fo),
+br as (select *, case when lag(cid) over w = cid - 1 and lag(nx) over w * nx + lag(ny) over w * ny + lag(nz) over w * nz >= cos(radians(30)) - 1e-12 then 0 else 1 end brk from co window w as (partition by pid order by cid)),
+fn as (select *, sum(brk) over (partition by pid order by cid) fan from br),
+su as (select cid, pid, sum(area * nx) over f sx, sum(area * ny) over f sy, sum(area * nz) over f sz from fn window f as (partition by pid, fan)),
+t as (select cid, pid, sx / sqrt(sx * sx + sy * sy + sz * sz) nx, sy / sqrt(sx * sx + sy * sy + sz * sz) ny, sz / sqrt(sx * sx + sy * sy + sz * sz) nz from su)""", "nx ny nz", "cid pid", 4)
+MEAN = rounded_sql(f"""{_FACES}, pr as (select f.cid, g.p0 lo, g.p1 hi, (f.s + g.s) / 2 area, f.hx - f.lx ex, f.hy - f.ly ey, f.hz - f.lz ez, f.cx / f.s nx, f.cy / f.s ny, f.cz / f.s nz, g.cx / g.s mx, g.cy / g.s my, g.cz / g.s mz from fc f join fc g on g.cid = f.cid + 1 and g.p0 = f.p1 where f.s > 0 and g.s > 0),
+an as (select lo, hi, area, sqrt(ex * ex + ey * ey + ez * ez) e, (ex * (ny * mz - nz * my) + ey * (nz * mx - nx * mz) + ez * (nx * my - ny * mx)) d, nx * mx + ny * my + nz * mz c from pr),
+hh as (select unnest([lo, hi]) pid, 3 * e * atan2(d / e, c) / area h from an where e > 0),
+t as (select pid, avg(h) / 2 curvature from hh group by 1)""", "curvature", "pid", 3)
+
+
 def ring_tangents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings of fifty points each."""
     p = fx.points(spark, sf_dir).select(F.floor(F.col("pid") / 50).alias("ring"), F.col("pid").alias("at"), "x", "y")
@@ -91,4 +107,4 @@ def rbf_warp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (nn_correspondence, corr_stats, nn_with_normals, mesh_area, mesh_quality, gauss_curvature, mean_curvature, point_normals, ring_tangents, rbf_warp)}
-ORACLES = {"nn_correspondence": NN, "corr_stats": STATS, "nn_with_normals": NORMALS, "mesh_area": AREA, "mesh_quality": QUALITY, "gauss_curvature": GAUSS, "ring_tangents": TANGENTS}
+ORACLES = {"point_normals": FANS, "mean_curvature": MEAN, "nn_correspondence": NN, "corr_stats": STATS, "nn_with_normals": NORMALS, "mesh_area": AREA, "mesh_quality": QUALITY, "gauss_curvature": GAUSS, "ring_tangents": TANGENTS}

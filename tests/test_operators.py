@@ -311,6 +311,75 @@ def test_faces_are_turned_alike(spark):
     assert mesh.mean_curvature(c, p).count() == 4
 
 
+def test_normals_of_a_cube(spark):
+    """Eight points, twelve faces of mixed turns: three fans a point, 24 in all."""
+    at = list(np.ndindex(2, 2, 2))
+    p = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(at)], "pid long, x double, y double, z double")
+    quads = [[i for i, c in enumerate(at) if c[k] == v] for k in range(3) for v in range(2)]
+    faces = [t for a, b, c, d in quads for t in ((a, b, c), (d, b, c))]
+    c = spark.createDataFrame([(i, *(t if i % 3 else t[::-1])) for i, t in enumerate(faces)], "cid long, p0 long, p1 long, p2 long")
+    rows = mesh.fans(c, p).collect()
+    assert len(rows) == 36 and len({(r["pid"], r["fan"]) for r in rows}) == 24
+    for r in rows:
+        n = np.array([r["nx"], r["ny"], r["nz"]])
+        k, v = divmod(r["cid"] // 2, 2)
+        assert abs(n[k]) == pytest.approx(1) and abs(n).sum() == pytest.approx(1)
+    ways = {r["cid"] // 2: (np.array([r["nx"], r["ny"], r["nz"]]) @ (np.eye(3)[r["cid"] // 4] * (2 * (r["cid"] // 2 % 2) - 1))) for r in rows}
+    assert len({round(w) for w in ways.values()}) == 1  # all outwards, or all inwards
+
+
+def test_normals_at_a_cone_of_many_faces(spark):
+    """One fan of all 2,000 faces at the tip of a flat cone; a steep one's base points keep theirs."""
+    n = 2000
+    rim = [(i + 1, float(np.cos(2 * np.pi * i / n)), float(np.sin(2 * np.pi * i / n)), 0.0) for i in range(n)]
+    p = spark.createDataFrame([(0, 0.0, 0.0, 0.1), *rim], "pid long, x double, y double, z double")
+    c = spark.createDataFrame([(i, 0, i + 1, (i + 1) % n + 1) for i in range(n)], "cid long, p0 long, p1 long, p2 long")
+    rows = mesh.fans(c, p).where("pid = 0").collect()
+    assert len(rows) == n and {r["fan"] for r in rows} == {0}
+    assert all(abs(r["nz"]) == pytest.approx(1, abs=1e-9) for r in rows)
+
+
+def test_sheets_lines_and_balls_are_told_apart(spark):
+    at = np.array(list(np.ndindex(13, 13, 13))) - 6.0
+    for name, far in (("sheet", np.abs(at[:, 0])), ("line", np.hypot(at[:, 0], at[:, 1])), ("blob", np.linalg.norm(at, axis=1))):
+        v = 100 * np.exp(-(far**2) / 8)
+        df = spark.createDataFrame([(*map(int, p + 6), float(x)) for p, x in zip(at, v, strict=True)], "x long, y long, z long, v double")
+        near = {(r["x"], r["y"], r["z"]): r for r in stencils.structures(df, (1.0, 1.0, 1.0), gradient=0.2, side=8).collect()}
+        r = near[7, 6, 6] if name == "sheet" else near[6, 6, 6]
+        assert max(("sheet", "line", "blob"), key=lambda k: r[k]) == name, (name, r)
+        assert r["v"] == pytest.approx(r["sheet"] + r["line"] + r["blob"]) and r[name] > 0.3
+
+
+def test_grey_slices_between(spark):
+    """As by the chamfer distance's closed form over whole slices, over several tiles; and a step that moves."""
+    rng = np.random.default_rng(5)
+    smooth = np.add.outer(np.arange(26), np.arange(21))
+    v = np.stack([(smooth * 2.0) % 40, np.clip(smooth * 1.5 - 10, 0, 60), rng.integers(0, 60, smooth.shape)], axis=2).astype(float)
+    df = spark.createDataFrame([(*map(int, i), float(x)) for i, x in np.ndenumerate(v)], "x long, y long, z long, v double")
+    bins, n = 6, 3
+    got = {(r["x"], r["y"], r["z"]): r["v"] for r in stencils.grey_interpolation(df, n - 1, bins, (0.0, 60.0), side=8).collect()}
+    own = np.clip(np.floor((bins - 1) / 60 * v), 0, bins - 1).astype(int)
+    gx, gy = np.indices(smooth.shape)
+    dx, dy = np.abs(gx.ravel()[:, None] - gx.ravel()), np.abs(gy.ravel()[:, None] - gy.ravel())
+    d = []
+    for z in range(3):
+        b = own[..., z].ravel()
+        level = []
+        for g in range(bins + 1):
+            up = np.where((g <= b)[:, None], np.maximum(0, b[None] + 1 - g), np.maximum(0, g - b[None]))
+            far = (686 * np.maximum(np.maximum(dx, dy), up) + 314 * (dx + dy + up)).min(axis=1)
+            level.append(np.where(g <= b, far, -far))
+        d.append(np.array(level))
+    assert len(got) == v.shape[0] * v.shape[1] * (1 + 2 * n)
+    for z in range(2):
+        for k in range(n):
+            top = own[..., z].ravel() if k == 0 else np.maximum((d[z] * (n - k) + d[z + 1] * k > 0).sum(axis=0) - 1, 0)
+            assert [got[x, y, z * n + k] for x, y in zip(gx.ravel().tolist(), gy.ravel().tolist(), strict=True)] == pytest.approx((top * 60 / (bins - 1)).tolist())
+    step = spark.createDataFrame([(x, y, z, 9.0 if x < 4 + 6 * z else 0.0) for x in range(16) for y in range(5) for z in range(2)], "x long, y long, z long, v double")
+    mid = {r["x"]: r["v"] for r in stencils.grey_interpolation(step, 1, 40).where("y = 2 and z = 1").collect()}
+    assert [x for x, value in mid.items() if value > 4.5] and 5 <= max(x for x, value in mid.items() if value > 4.5) <= 8
+
+
 BODY = LabelGraph((("body", "air", 1.0), ("body", "soft", 1.0), ("body", "firm", 1.0), ("soft", "fat", 1.0), ("soft", "muscle", 0.25), ("body", "muscle", 0.5), ("firm", "muscle", 0.25), ("firm", "bone", 1.0)))
 
 
