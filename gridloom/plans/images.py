@@ -224,16 +224,17 @@ def clip_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MIXED = ", ".join(f"({_both(f'g{i}', j)} + {_both(f'g{j}', i)}) / 2 {i}{j}" for i, j in ("xy", "xz", "yz"))
-#: Eigenvalues of the symmetric 3 x 3 matrix by cosines.
-FRANGI = rounded_sql(f"""with {fx.GRID}, g1 as (select x, y, z, {', '.join(f'{_both("v", k)} g{k}' for k in 'xyz')} from g3),
+#: Eigenvalues of the symmetric 3 x 3 matrix by cosines, and ratios of them.
+_EIGEN = f"""with {fx.GRID}, g1 as (select x, y, z, {', '.join(f'{_both("v", k)} g{k}' for k in 'xyz')} from g3),
 h as (select x, y, z, gx, gy, gz, {', '.join(f'{_both(f"g{k}", k)} {k}{k}' for k in 'xyz')}, {_MIXED} from g1),
 h1 as (select *, (xx + yy + zz) / 3 q from h), h2 as (select *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) p from h1),
 h3 as (select *, case when p = 0 then 0 else greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p))) end r from h2),
 e as (select *, list_sort(list_transform(range(3), lambda k: [abs(q + 2 * p * cos(acos(r) / 3 + 2 * pi() * k / 3)), q + 2 * p * cos(acos(r) / 3 + 2 * pi() * k / 3)])) e from h3),
 l as (select x, y, z, e[1][2] l1, e[2][2] l2, e[3][2] l3, sqrt(gx * gx + gy * gy + gz * gz) g from e),
-m as (select *, case when abs(l3) > 1e-12 then l2 / l3 else 0 end / 0.5::double ra, case when sqrt(abs(l2 * l3)) > 1e-12 then l1 / sqrt(abs(l2 * l3)) else 0 end / 0.5::double rb, case when abs(l3) > 1e-12 then g / abs(l3) else 0 end rl, 1 - exp(-(l1 * l1 + l2 * l2 + l3 * l3) / 5000) s from l),
-f as (select x, y, z, (1 - exp(-rl * rl / 2)) * exp(-ra * ra / 2) * exp(-rb * rb / 2) * s sheet, (1 - exp(-ra * ra / 2)) * exp(-rb * rb / 2) * s line, exp(-rl * rl / 2) * (1 - exp(-rb * rb / 2)) * s blob from m),
+m as (select *, case when abs(l3) > 1e-12 then l2 / l3 else 0 end / 0.5::double ra, case when sqrt(abs(l2 * l3)) > 1e-12 then l1 / sqrt(abs(l2 * l3)) else 0 end / 0.5::double rb, case when abs(l3) > 1e-12 then g / abs(l3) else 0 end rl, 1 - exp(-(l1 * l1 + l2 * l2 + l3 * l3) / 5000) s from l)"""
+FRANGI = rounded_sql(f"""{_EIGEN}, f as (select x, y, z, (1 - exp(-rl * rl / 2)) * exp(-ra * ra / 2) * exp(-rb * rb / 2) * s sheet, (1 - exp(-ra * ra / 2)) * exp(-rb * rb / 2) * s line, exp(-rl * rl / 2) * (1 - exp(-rb * rb / 2)) * s blob from m),
 t as (select *, 0.5::double * sheet + line + 2 * blob v from f)""", "sheet line blob v", "x y z", 4)
+VESSELS = rounded_sql(f"{_EIGEN}, t as (select x, y, z, case when l2 < 0 and l3 < 0 then (1 - exp(-ra * ra / 2)) * exp(-rb * rb / 2) * s else 0 end v from m)", "v", "x y z")
 #: The chamfer distance of an offset is 1000 times its greatest part and 314 times the others.
 GREY = rounded_sql(f"""with {fx.GRID}, own as (select x, y, z, greatest(0, least(11, floor(11 / 110.0::double * v)))::bigint b from g3),
 lift as (select own.*, g from own, range(-1, 13) l(g)),
@@ -244,4 +245,4 @@ mid as (select p.x, p.y, p.z * 3 + k z, greatest(count(*) filter (p.d * (3 - k)
 t as (select x, y, z, b * 110.0::double / 11 v from (select x, y, z * 3 z, b from own union all select * from mid))""", "v", "x y z")
 
 QUERIES = {f.__name__: f for f in (affinity, gradient_mag, blur1d, box_filter, median_filter, xgradient, pattern_intensity, retinex_mix, retinex_gaussian, vesselness, frangi_structures, shape_interp, shape_interp_grey, lut_polygon, clip_classify, clip_planes, seed_raster, drr_projection, alpha_composite, volume_render, ct2us_transmission, ct2us_fit, disparity)}
-ORACLES = {"frangi_structures": FRANGI, "shape_interp_grey": GREY, "affinity": AFFINITY, "gradient_mag": GRADIENT, "blur1d": BLUR, "box_filter": BOX, "median_filter": MEDIAN, "xgradient": XGRADIENT, "pattern_intensity": PATTERN, "retinex_mix": RETINEX, "lut_polygon": LUT, "clip_classify": CLASSIFY, "clip_planes": f"with {fx.GRID} select x, y, z, n from g3 where not ({_cut(CLIP)})", "seed_raster": SEEDS, "drr_projection": DRR, "alpha_composite": COMPOSITE, "ct2us_transmission": TRANSMISSION, "ct2us_fit": FIT}
+ORACLES = {"frangi_structures": FRANGI, "vesselness": VESSELS, "shape_interp_grey": GREY, "affinity": AFFINITY, "gradient_mag": GRADIENT, "blur1d": BLUR, "box_filter": BOX, "median_filter": MEDIAN, "xgradient": XGRADIENT, "pattern_intensity": PATTERN, "retinex_mix": RETINEX, "lut_polygon": LUT, "clip_classify": CLASSIFY, "clip_planes": f"with {fx.GRID} select x, y, z, n from g3 where not ({_cut(CLIP)})", "seed_raster": SEEDS, "drr_projection": DRR, "alpha_composite": COMPOSITE, "ct2us_transmission": TRANSMISSION, "ct2us_fit": FIT}
