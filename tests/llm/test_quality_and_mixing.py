@@ -71,3 +71,33 @@ def test_repeated_documents_reach_the_marginals(spark):
     for d in ("lang", "topic"):
         want = tokens.groupby(d)["t"].sum() ** 0.3
         assert (got.groupby(d)["t"].sum() / got["t"].sum() - want / want.sum()).abs().max() < 0.02
+
+
+def test_probabilities_reach_the_marginals_and_what_is_to_be_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mix = mixing.mix(docs).toPandas()
+    mix["got"] = mix["n_tokens"] * mix["probability"]
+    goal = 0.8 * mix["n_tokens"].sum()
+    assert mix["got"].sum() == pytest.approx(goal, rel=1e-6) and mix["probability"].between(0, 1).all()
+    for d in mixing.DIMENSIONS:
+        v = mix.groupby(d)[["n_tokens", "got"]].sum()
+        v = v[v["n_tokens"] > 0]
+        wish, by = v["n_tokens"] ** 0.7, 0.0
+        for full in sorted(v["n_tokens"] / wish):  # the last proportion at which what is wanted is there
+            if sum((full * wish).clip(upper=v["n_tokens"])) <= goal:
+                by = full
+        open_ = v["n_tokens"] / wish > by * (1 + 1e-9)
+        want = v["n_tokens"].where(~open_, wish * (goal - v["n_tokens"][~open_].sum()) / wish[open_].sum())
+        assert (v["got"] / want - 1).abs().max() < 1e-4
+
+
+def test_stated_shares(spark):
+    rows = [(i, "tok " * 8, "en" if i % 4 else "fr", f"s{i % 3}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mix = mixing.mix(docs, keep=0.3, shares={"lang": {"fr": 0.5, "not there": 0.1}, "source": {"s0": 0.2}}).toPandas()
+    mix["got"] = mix["n_tokens"] * mix["probability"] / (0.3 * mix["n_tokens"].sum())
+    assert mix["got"].sum() == pytest.approx(1, rel=1e-6)
+    assert mix.groupby("lang")["got"].sum()["fr"] == pytest.approx(0.5 / 0.9, rel=1e-4)  # of what is there
+    assert mix.groupby("source")["got"].sum()["s0"] == pytest.approx(0.2, rel=1e-4)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, shares={"lang": {"fr": 1.2}})
