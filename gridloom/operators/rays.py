@@ -33,16 +33,17 @@ def samples(rays: DataFrame, most: int = 10_000) -> DataFrame:
     return rows.withColumns({f"p{c}": F.col(f"s{c}") + F.col("k") * F.col(f"i{c}") for c in "xyz"}).drop("k0", "k1")
 
 
-def sampled(points: DataFrame, volume: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, px, py, pz, v): a volume (x, y, z, v) between its voxels, by trilinear weights; a missing voxel counts as 0.
+def sampled(points: DataFrame, volume: DataFrame, keys: list[str], values: list[str] | None = None) -> DataFrame:
+    """(keys, px, py, pz, values): a volume (x, y, z, values; v alone if None) between its voxels, by trilinear weights; a missing voxel counts as 0.
 
     A point asks for the up to eight voxels around it that have a weight: one join on (x, y, z), one sum by point.
     """
+    values = values or ["v"]
     f = {c: F.col(f"p{c}") - F.floor(f"p{c}") for c in "xyz"}
-    corner = lambda o: F.struct(*((F.floor(f"p{c}") + d).alias(c) for c, d in zip("xyz", o, strict=True)), math_product([f[c] if d else 1 - f[c] for c, d in zip("xyz", o, strict=True)]).alias("w"))
-    asked = points.select(*keys, "px", "py", "pz", F.inline(F.array(*map(corner, product((0, 1), repeat=3))))).where("w > 0")
-    got = asked.join(volume.select("x", "y", "z", "v"), ["x", "y", "z"], "left")
-    return got.groupBy(*keys, "px", "py", "pz").agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    corner = lambda o: F.struct(*((F.floor(f"p{c}") + d).alias(c) for c, d in zip("xyz", o, strict=True)), math_product([f[c] if d else 1 - f[c] for c, d in zip("xyz", o, strict=True)]).alias("_w"))
+    asked = points.select(*keys, "px", "py", "pz", F.inline(F.array(*map(corner, product((0, 1), repeat=3))))).where("_w > 0")
+    got = asked.join(volume.select("x", "y", "z", *values), ["x", "y", "z"], "left")
+    return got.groupBy(*keys, "px", "py", "pz").agg(*(F.sum(F.col("_w") * F.coalesce(c, F.lit(0.0))).alias(c) for c in values))
 
 
 def math_product(cols: list[Column]) -> Column:

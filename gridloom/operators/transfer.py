@@ -23,21 +23,22 @@ class Polygon:
         return list(dict.fromkeys(polygons))
 
 
-def lookup_table(spark: SparkSession, polygons: list[Polygon], size: tuple[int, int], low: tuple[float, float], high: tuple[float, float]) -> DataFrame:
+def lookup_table(spark: SparkSession, polygons: list[Polygon], size: tuple[int, int], low: tuple[float, float], high: tuple[float, float], lights: bool = False) -> DataFrame:
     """(i, g, r, green, b, a, class): the last polygon that holds each of the table's points; zeros and class 0 where none does.
 
-    A table has size[0] x size[1] points from `low` to `high`.
+    A table has size[0] x size[1] points from `low` to `high`. With `lights` it has ambient, diffuse, specular and power of the polygon besides; 1, 0, 0, 1 where there is none.
     """
+    shine = lambda p: [F.lit(float(c)).alias(k) for k, c in zip(("ambient", "diffuse", "specular", "power"), p, strict=True)] if lights else []
     n, m = size
     step = [(h - lo) / max(k - 1, 1) for lo, h, k in zip(low, high, size, strict=True)]
     at = spark.range(n * m).select((F.col("id") % n).alias("i"), F.floor(F.col("id") / n).alias("g"))
     x, y = F.lit(float(low[0])) + F.col("i") * F.lit(step[0]), F.lit(float(low[1])) + F.col("g") * F.lit(step[1])
     out: Column | None = None
     for p in reversed(polygons):
-        value = F.struct(*(F.lit(float(c)).alias(k) for k, c in zip(("r", "green", "b", "a"), p.color, strict=True)), F.lit(p.label).cast("long").alias("class"))
+        value = F.struct(*(F.lit(float(c)).alias(k) for k, c in zip(("r", "green", "b", "a"), p.color, strict=True)), F.lit(p.label).cast("long").alias("class"), *shine(p.light))
         held = inside_polygon(x, y, list(p.vertices))
         out = F.when(held, value) if out is None else out.when(held, value)
-    none = F.struct(*(F.lit(0.0).alias(k) for k in ("r", "green", "b", "a")), F.lit(0).cast("long").alias("class"))
+    none = F.struct(*(F.lit(0.0).alias(k) for k in ("r", "green", "b", "a")), F.lit(0).cast("long").alias("class"), *shine((1.0, 0.0, 0.0, 1.0)))
     return at.select("i", "g", (none if out is None else out.otherwise(none)).alias("c")).select("i", "g", "c.*")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import clipped
-from ..operators import combine, rays, stencils, stereo, transfer
+from ..operators import combine, rays, rendering, stencils, stereo, transfer
 from ..operators.transfer import Polygon
 from ..sources import fixtures as fx
 from .rounding import rounded, rounded_sql
@@ -178,6 +178,19 @@ def volume_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rays.rendered(_rays(spark), image, SIZE, tables[0], STEPS, LOW, HIGH, HOLE, tables[1], 3), 5)
 
 
+#: A view along x, somewhat aslant, of voxels that lie denser in y and z.
+VIEW, PIXELS, STEP, LIGHT = ((0.0, 0.0, 49.0, 0.0), (0.0, 5.5, 0.4, 0.2), (1.7, 0.0, 0.15, 0.1), (0.0, 0.0, 0.0, 1.0)), (6, 12), 0.7, (0.3, 0.6, 0.2, 8.0)
+
+
+def dual_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of finished and of other lines in one march along the rays of a view, moved by a share of a step, with clip planes, a keyhole's own table, light and depth."""
+    tables = [transfer.lookup_table(spark, p, STEPS, LOW, HIGH) for p in (POLYGONS, INNER)]
+    pair = fx.grid_pair(spark, sf_dir).select("x", "y", "z", F.col("a").alias("v"), F.col("b").alias("w"))
+    view = rendering.jittered(rendering.view_rays(spark, VIEW, *PIXELS, STEP), 5)
+    picture = rendering.rendered(view, pair, SIZE, tables[0], STEPS, LOW, HIGH, CLIP, HOLE, tables[1], LIGHT)
+    return rounded(rendering.cel_shaded(picture, (0.6, 0.05, 4.0), (0.5, 0.2, 1.0)), 5)
+
+
 def _beams(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = {k: stencil for k, stencil in zip("xyz", ("gx", "gy", "gz"), strict=True)}
     rows = fx.grid(spark, sf_dir).select("x", "y", "z", (F.col("v") + 100).alias("v"))
@@ -211,6 +224,29 @@ c as (select covar_pop(d, d) dd, covar_pop(r, r) rr, covar_pop(d, r) dr, covar_p
 f as (select *, (du * rr - ru * dr) / (dd * rr - dr * dr) alpha, (ru * dd - du * dr) / (dd * rr - dr * dr) beta from c), t as (select alpha, beta, u - alpha * d - beta * r bias from f)""", "alpha beta bias", digits=4)
 
 
+_ends = lambda n, depth: ", ".join(f"{a}::double * (px / {PIXELS[0]}.0::double) + {b}::double * (py / {PIXELS[1]}.0::double) + {c * depth + d!r}::double {n}{k}" for (a, b, c, d), k in zip(VIEW, "xyz", strict=False))
+_inside = lambda planes: " and ".join(f"{a}::double * px3 + {b}::double * py3 + {c}::double * pz3 + {d}::double >= -1e-9" for a, b, c, d in planes)
+_pick = lambda c: f"case when {_inside(HOLE)} then lin.{c} else lut.{c} end"
+_shine = lambda c: f"greatest(0, least(1, ({LIGHT[0]}::double + {LIGHT[1]}::double * f) * {c} + {LIGHT[2]}::double * pow(f, {LIGHT[3]}::double)))"
+#: Every step of every ray is made here, and those outside of the box or of the planes are left out one by one.
+DUAL = rounded_sql(f"""with {fx.GRID_PAIR}, {_lut_sql(POLYGONS, 'lut')}, {_lut_sql(INNER, 'lin')}, vol as (select x, y, z, a v, b w, {", ".join(f"{_both('a', k)} g{k}" for k in "xyz")} from gp),
+pix as (select id ray, id % {PIXELS[0]} px, id // {PIXELS[0]} py from range({PIXELS[0] * PIXELS[1]}) r(id)), en as (select *, {_ends('s', 0.0)}, {_ends('e', 1.0)} from pix),
+ln as (select *, greatest(1, ceil(sqrt(pow(ex - sx, 2) + pow(ey - sy, 2) + pow(ez - sz, 2)) / {STEP}::double))::bigint n, ('0x' || substr(md5((px % 16) || ':' || (py % 16) || ':5'), 1, 13))::bigint / 4503599627370496.0::double o from en),
+ra as (select ray, px, py, n, (ex - sx) / n ix, (ey - sy) / n iy, (ez - sz) / n iz, sx + o * (ex - sx) / n sx, sy + o * (ey - sy) / n sy, sz + o * (ez - sz) / n sz from ln),
+st as (select *, sx + k * ix px3, sy + k * iy py3, sz + k * iz pz3 from ra, range(100) k(k) where k <= n - 1),
+pt as (select *, min(k) over (partition by ray) k0 from st where {_inside([(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (-1, 0, 0, SIZE[0] - 1), (0, -1, 0, SIZE[1] - 1), (0, 0, -1, SIZE[2] - 1), *CLIP])}),
+co as (select *, floor(px3)::bigint + dx x, floor(py3)::bigint + dy y, floor(pz3)::bigint + dz z, {" * ".join(f"(case d{c} when 1 then p{c}3 - floor(p{c}3) else 1 - (p{c}3 - floor(p{c}3)) end)" for c in "xyz")} wt from pt, range(2) a(dx), range(2) b(dy), range(2) c(dz)),
+sm as (select ray, px, py, k, k0, ix, iy, iz, px3, py3, pz3, {", ".join(f"round(sum(wt * coalesce({c}, 0)), 9) {c}" for c in ("v", "w", "gx", "gy", "gz"))} from co left join vol using (x, y, z) where wt > 0 group by all),
+cl as (select *, {_at('v', 0)} i, {_at('w', 1)} g, case when gx * gx + gy * gy + gz * gz > 0 then least(1, abs(gx * ix + gy * iy + gz * iz) / (sqrt(gx * gx + gy * gy + gz * gz) * sqrt(ix * ix + iy * iy + iz * iz))) else 0 end f from sm),
+tc as (select ray, px, py, k, k0, f, {", ".join(f"{_pick(c)} {c}" for c in ("r", "green", "b", "a"))} from cl join lut using (i, g) join lin using (i, g)),
+lf as (select *, coalesce(sum(case when a >= 1 then -1e9 else ln(1 - a) end) over (partition by ray order by k rows between unbounded preceding and 1 preceding), 0) l from tc),
+fo as (select ray, px, py, {", ".join(f"sum(exp(l) * a * {_shine(c)}) {n}" for c, n in (("r", "r"), ("green", "g"), ("b", "b")))}, sum(exp(l) * a) a, max(k - k0 + 1) steps from lf where exp(l) >= 1 / 64.0::double group by all),
+de as (select *, steps / (max(steps) over ())::double depth from fo),
+nx as (select p.*, coalesce(q.depth - p.depth, 0) du, coalesce(s.depth - p.depth, 0) dv from de p left join de q on q.px = p.px + 1 and q.py = p.py left join de s on s.px = p.px and s.py = p.py + 1),
+sh as (select *, (1 - 0.6::double * greatest(0, least(1, (sqrt(du * du + dv * dv) - 0.05::double) * 4))) * (1 - 0.5::double * greatest(0, least(1, depth - 0.2::double))) m from nx),
+t as (select ray, px, py, r * m r, g * m g, b * m b, a, depth from sh)""", "r g b a depth", "ray px py", 5)
+
+
 def disparity(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v") / 100
     g = fx.grid(spark, sf_dir).select("x", "y", "z", F.array(v, v * v, 1 - v).alias("l"))
@@ -244,5 +280,5 @@ sd as (select x, y, z, g, case when inside then d else -d end d from far),
 mid as (select p.x, p.y, p.z * 3 + k z, greatest(count(*) filter (p.d * (3 - k) + n.d * k > 0) - 1, 0) b from sd p join sd n on n.x = p.x and n.y = p.y and n.g = p.g and n.z = p.z + 1, range(1, 3) t(k) where p.g >= 0 group by all),
 t as (select x, y, z, b * 110.0::double / 11 v from (select x, y, z * 3 z, b from own union all select * from mid))""", "v", "x y z")
 
-QUERIES = {f.__name__: f for f in (affinity, gradient_mag, blur1d, box_filter, median_filter, xgradient, pattern_intensity, retinex_mix, retinex_gaussian, vesselness, frangi_structures, shape_interp, shape_interp_grey, lut_polygon, clip_classify, clip_planes, seed_raster, drr_projection, alpha_composite, volume_render, ct2us_transmission, ct2us_fit, disparity)}
-ORACLES = {"frangi_structures": FRANGI, "vesselness": VESSELS, "shape_interp_grey": GREY, "affinity": AFFINITY, "gradient_mag": GRADIENT, "blur1d": BLUR, "box_filter": BOX, "median_filter": MEDIAN, "xgradient": XGRADIENT, "pattern_intensity": PATTERN, "retinex_mix": RETINEX, "lut_polygon": LUT, "clip_classify": CLASSIFY, "clip_planes": f"with {fx.GRID} select x, y, z, n from g3 where not ({_cut(CLIP)})", "seed_raster": SEEDS, "drr_projection": DRR, "alpha_composite": COMPOSITE, "ct2us_transmission": TRANSMISSION, "ct2us_fit": FIT}
+QUERIES = {f.__name__: f for f in (affinity, gradient_mag, blur1d, box_filter, median_filter, xgradient, pattern_intensity, retinex_mix, retinex_gaussian, vesselness, frangi_structures, shape_interp, shape_interp_grey, lut_polygon, clip_classify, clip_planes, seed_raster, drr_projection, alpha_composite, volume_render, dual_render, ct2us_transmission, ct2us_fit, disparity)}
+ORACLES = {"dual_render": DUAL, "frangi_structures": FRANGI, "vesselness": VESSELS, "shape_interp_grey": GREY, "affinity": AFFINITY, "gradient_mag": GRADIENT, "blur1d": BLUR, "box_filter": BOX, "median_filter": MEDIAN, "xgradient": XGRADIENT, "pattern_intensity": PATTERN, "retinex_mix": RETINEX, "lut_polygon": LUT, "clip_classify": CLASSIFY, "clip_planes": f"with {fx.GRID} select x, y, z, n from g3 where not ({_cut(CLIP)})", "seed_raster": SEEDS, "drr_projection": DRR, "alpha_composite": COMPOSITE, "ct2us_transmission": TRANSMISSION, "ct2us_fit": FIT}
