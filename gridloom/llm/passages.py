@@ -15,7 +15,7 @@ K = 5  # words of a seed
 W = 15  # of W seeds in a row the one of least hash is taken, so W + K - 1 equal words share one
 SHARE = 0.33  # of all seeds, those of least hash, are taken too, whatever is around them
 NEAR = 10  # seed places between two matches of a segment
-LONG = 8  # seeds in a row that make a key too; they reach over 28 words on average, more than pieces of a passage that others have
+REACHES = ((21, 35), (36, 45))  # words from the first to the second seed of a pair that makes a key too: the pair reaches over more than pieces of half a passage, or of most of one
 GAP_COST = 0.1  # of each word between two chained segments, on either side; a change leaves up to K words and the next seed there
 MOST_GAP = 50  # words between chained segments
 DROP = 12  # of its score that ends the growth of an alignment: four changed words in a row
@@ -71,20 +71,39 @@ def _seen(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_out(SEEN, [h.view(np.int64), docs[i + text]])
 
 
-def keys_of(h: np.ndarray, text: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, rank, index) of the seeds h of texts: each known seed with its rank of occurrence in its text, and half of the runs of LONG known seeds, by their hash."""
+def pairs_of(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index) of pairs of seeds, by ascending places, whatever is between them: a seed with the least hash of those within its reach after it.
+
+    The distance is no part of the key, so words may have been put in or left out. A bit of the first seed's hash says which reach
+    it has, a bit of the key which seed of the pair stands for it.
+    """
+    keys, at = [], []
+    padded = np.r_[h, np.full(1, -1, np.int64).view(np.uint64)]
+    for which, (near, far) in enumerate(REACHES):
+        first = np.flatnonzero((h >> np.uint64(9)) & np.uint64(1) == which)
+        i, j = np.searchsorted(place, place[first] + near), np.searchsorted(place, place[first] + far, "right")
+        first, i, j = (x[i < j] for x in (first, i, j))
+        if len(first):
+            least = np.minimum.reduceat(padded, np.stack([i, j], axis=1).ravel())[::2]
+            key = mixed(h[first] * ODD[0] + least + np.uint64(which))
+            width = int((j - i).max())
+            second = i.copy()  # the first of the least
+            for k in range(1, width):
+                second = np.where((padded[second] != least) & (i + k < j), i + k, second)
+            keys.append(key)
+            at.append(np.where(key & np.uint64(1) == 0, first, second))
+    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def keys_of(h: np.ndarray, text: np.ndarray, pos: np.ndarray, known: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, rank, index) of the seeds h of texts: each known seed with its rank of occurrence in its text, and pairs of known seeds."""
     at = np.flatnonzero(known)
     order = at[np.lexsort((at, h[at], text[at]))]
     n = np.arange(len(order))
     start = np.r_[True, (h[order[1:]] != h[order[:-1]]) | (text[order[1:]] != text[order[:-1]])][: len(order)]
     yield h[order], n - np.maximum.accumulate(np.where(start, n, 0)), order
-    if len(h) >= LONG:
-        runs = np.flatnonzero((np.convolve(known, np.ones(LONG, np.int64), "valid") == LONG) & (text[LONG - 1 :] == text[: len(text) - LONG + 1]))
-        key = np.full(len(runs), LONG, np.uint64)
-        for j in range(LONG):
-            key = mixed(key * ODD[0] + h[runs + j])
-        some = key & np.uint64(1) == 0
-        yield key[some], np.zeros(some.sum(), np.int64), runs[some]
+    key, own = pairs_of(h[at], (text[at].astype(np.int64) << 32) + pos[at])
+    yield key, np.zeros(len(key), np.int64), at[own]
 
 
 def _seeds(shared):
@@ -96,7 +115,7 @@ def _seeds(shared):
             docs = np.asarray(batch.column("doc_id"))
             for i, _, words, first in word_chunks(batch):
                 h, text, pos = seeds_of(words, first)
-                for key, rank, at in keys_of(h, text, marked(bits, h)):
+                for key, rank, at in keys_of(h, text, pos, marked(bits, h)):
                     yield rows_out(SEEDS, [key.view(np.int64), rank.astype(np.int32), docs[i + text[at]], pos[at].astype(np.int32)])
 
     return run
@@ -490,8 +509,8 @@ def matches(docs: DataFrame) -> DataFrame:
 
     Which seeds two documents or more have comes from a partial aggregate; a filter of them is broadcast, so that few others are dealt
     out. An occurrence is matched with those of the least and of the greatest document that have its key. Keys
-    are the seed with its rank among its document's own, and runs of LONG seeds: so a document that has a long passage too
-    is a partner though lesser ones have pieces of it. An occurrence whose rank no other document has is matched with
+    are the seed with its rank among its document's own, and pairs of seeds that are further apart than pieces reach: so a document
+    that has a long passage too, with changed words as well, is a partner though lesser and greater ones have pieces of it. An occurrence whose rank no other document has is matched with
     the seed's first. So a key makes at most two matches for each occurrence, in however many documents it is, and heads are aggregates
     joined back: no key's rows meet in a task.
     """

@@ -189,3 +189,26 @@ def test_recall_of_fuzzy_passages_among_partial_copies(spark):
     assert len(wanted) > 80 and np.mean(hits) >= 0.95
     pieces = {n * 11 % 301 for n in range(300) if n % 15 < 10}
     assert not set(got) & pieces
+
+
+@pytest.mark.parametrize(("every", "piece", "share"), [(12, 24, 1), (20, 24, 1), (15, 40, 1), (9, 24, 0.9)])
+def test_pieces_in_lesser_and_greater_documents_hide_no_changed_passage(spark, every, piece, share):
+    """20 passages of 120 words, each in two documents of which one has each `every`-th word changed; lesser and greater documents have pieces of them.
+
+    Which keys are left where each 9th word is changed is a matter of chance, so there a share is asked for.
+    """
+    rng = random.Random(every)
+    docs, want = [], {}
+    for g in range(20):
+        p = words(rng, 120, f"g{g}x")
+        q = [f"n{rng.randrange(10**9)}" if i % every == every // 2 else w for i, w in enumerate(p)]
+        for base in (0, 2000):
+            docs += [(base + 20 * g + i, " ".join([*words(rng, 15), *p[a : a + piece], *words(rng, 15)])) for i, a in enumerate(range(0, 121 - piece, 8 if piece < 25 else 80))]
+        for i, t in enumerate((p, q)):
+            docs.append((1000 + 2 * g + i, " ".join([*words(rng, 20), *t, *words(rng, 20)])))
+            want[1000 + 2 * g + i] = (20, 140)
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(docs, SCHEMA).repartition(5)).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    assert set(got) <= set(want) and len(got) >= share * len(want)
+    assert all(sum(min(y, want[d][1]) - max(x, want[d][0]) for x, y in spans) >= 100 for d, spans in got.items())
