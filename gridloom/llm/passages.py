@@ -482,24 +482,31 @@ def halves(words: np.ndarray) -> np.ndarray:
     return words.astype(np.uint64) & np.uint64(0xFFFFFFFF)
 
 
-def _low_bytes(wanted):
+def _low_bytes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        yield rows_out(BYTES, [batch.column("doc"), [w.values.to_numpy().astype(np.uint8).tobytes() for w in batch.column("words")]])
+
+
+def _wanted(wanted):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in it:
             some = batch.filter(pa.array(marked(bits, np.asarray(batch.column("doc_id")))))
             if some.num_rows:
-                yield rows_out(BYTES, [some.column("doc_id"), [w.astype(np.uint8).tobytes() for w in document_words(some)]])
+                yield rows_out(WORDS, [some.column("doc_id"), [halves(w).astype(np.uint32).view(np.int32) for w in document_words(some)]])
 
     return run
 
 
-def _wanted(wanted):
+def _of(wanted):
+    """The rows of the documents that the filter has marked."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         for batch in it:
-            some = batch.filter(pa.array(marked(bits, np.asarray(batch.column("doc_id")))))
+            some = batch.filter(pa.array(marked(bits, np.asarray(batch.column("doc")))))
             if some.num_rows:
-                yield rows_out(WORDS, [some.column("doc_id"), [halves(w).astype(np.uint32).view(np.int32) for w in document_words(some)]])
+                yield some
 
     return run
 
@@ -539,7 +546,8 @@ def repeated_passages(docs: DataFrame, least: int = 50, similarity: float = 0.8)
     none; rows that agree in doc_id and text are one document. Where a doc_id has several texts, each text is a document of its own, with the
     doc_id in its rows, and partner_id is any of the partners. Each run of W + K - 1 = 19 equal words shares a seed.
     Runs of `least` equal words are all found (exact_runs()); of passages with changes, those of which a key of seeds is matched with a partner that has the whole.
-    Pieces of half the length count where they touch others, since parts of a passage can have different partners. A run of
+    The longest chain of each document is aligned first; chains that can't grow out of what that gives, on both sides, add no word to a
+    passage and are left out, so partner_id and similarity are the least and best of those aligned. Pieces of half the length count where they touch others, since parts of a passage can have different partners. A run of
     one word over and over is matched once with a partner's, so as far as that one is long.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
@@ -561,20 +569,18 @@ def _passages(docs: DataFrame, least: int, similarity: float) -> DataFrame:
     pairs = matches(docs).groupBy("a", "b").agg(F.collect_list(F.shiftleft(F.col("pa").cast("long"), 32).bitwiseOR(F.col("pb").cast("long"))).alias("matches"))
     schema = "a long, b long, a0 int, a1 int, b0 int, b1 int, segments array<bigint>"
     every = written(pairs.mapInArrow(_chained, schema))
-    lo = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
-    part = lambda a, b: F.expr(f"substring(low, greatest({a} - {MARGIN}, 0) + 1, {b} + {MARGIN} - greatest({a} - {MARGIN}, 0))")
     with marks(every) as some:
-        low = written(docs.mapInArrow(_low_bytes(some), "doc long, low binary")).dropDuplicates(["doc"])
-    near = every.join(low.withColumnRenamed("doc", "a"), "a").select(*CHAINS.names, part("a0", "a1").alias("x"))
-    near = near.join(low.withColumnRenamed("doc", "b"), "b").select(*CHAINS.names, "x", part("b0", "b1").alias("y"))
-    found = written(near.mapInArrow(_possible(max(piece, 1)), schema))
-    with marks(found) as some:
-        words = written(docs.mapInArrow(_wanted(some), "doc long, words array<int>")).dropDuplicates(["doc"])
-    part = lambda a, b: F.slice("words", a + 1, F.col(b) + MARGIN - a)
-    cut = found.join(words.withColumnRenamed("doc", "a"), "a").select("a", "b", "b0", "b1", "segments", lo("a0").alias("ax"), part(lo("a0"), "a1").alias("x"))
-    cut = cut.join(words.withColumnRenamed("doc", "b"), "b").select("a", "b", "segments", "ax", "x", lo("b0").alias("by"), part(lo("b0"), "b1").alias("y"))
-    spans = cut.mapInArrow(_aligned(piece, similarity, least), "doc_id long, start_word int, end_word int, partner_id long, similarity double")
-    spans = written(spans.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id"), F.max("similarity").alias("similarity")))
+        words = written(docs.mapInArrow(_wanted(some), "doc long, words array<int>"))
+    first = compared(longest(every, least), words, piece, similarity, least)
+    at = F.struct(F.col("start_word").alias("p"), F.col("end_word").alias("q"))
+    known = islands(first).groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(at).alias("known"))
+    low = words.mapInArrow(_low_bytes, "doc long, low binary").dropDuplicates(["doc"]).join(known, "doc", "left")
+    part = lambda a, b: F.expr(f"substring(low, greatest({a} - {MARGIN}, 0) + 1, {b} + {MARGIN} - greatest({a} - {MARGIN}, 0))")
+    inside = lambda a, b: F.expr(f"coalesce(exists(known, s -> s.p <= greatest({a} - {MARGIN}, 0) and s.q >= least({b} + {MARGIN}, length(low))), false)")
+    near = every.join(low.withColumnRenamed("doc", "a"), "a").select(*CHAINS.names, part("a0", "a1").alias("x"), inside("a0", "a1").alias("in_a"))
+    near = near.join(low.withColumnRenamed("doc", "b"), "b").where(~(F.col("in_a") & inside("b0", "b1"))).select(*CHAINS.names, "x", part("b0", "b1").alias("y"))
+    found = near.mapInArrow(_possible(max(piece, 1)), schema)
+    spans = written(best_spans(first.union(compared(found, words, piece, similarity, least))))
     if least >= W + K - 1:
         spans = spans.union(exact_runs(docs, every, islands(spans), least))
     out = islands(spans)
@@ -582,6 +588,31 @@ def _passages(docs: DataFrame, least: int, similarity: float) -> DataFrame:
     return out.where(n >= least).select("doc_id", "start_word", "end_word", n.alias("n_words"), "partner_id", "similarity")
 
 
+def longest(chains_: DataFrame, least: int) -> DataFrame:
+    """The longest chain of each document on either side, of those of `least` words or more."""
+    n = F.least(F.expr("a1 - a0"), F.expr("b1 - b0"))
+    long = chains_.where(n >= least)
+    one = F.max_by(F.struct(*CHAINS.names), F.struct(n.alias("n"), *CHAINS.names[:6])).alias("c")
+    return long.groupBy("a").agg(one).select("c.*").union(long.groupBy("b").agg(one).select("c.*")).dropDuplicates(["a", "b", "a0", "b0"])
+
+
+def compared(found: DataFrame, words: DataFrame, piece: int, similarity: float, least: int) -> DataFrame:
+    """Spans of `piece` words or more of the chains, aligned in the words of their documents; written. Documents without a chain are left out before they are dealt."""
+    lo = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
+    part = lambda a, b: F.slice("words", a + 1, F.col(b) + MARGIN - a)
+    found = written(found)
+    with lent(found.sparkSession, bitmap(found.select(F.col("a").alias("d")).union(found.select("b")))) as some:
+        words = words.mapInArrow(_of(some), "doc long, words array<int>").dropDuplicates(["doc"])
+        cut = found.join(words.withColumnRenamed("doc", "a"), "a").select("a", "b", "b0", "b1", "segments", lo("a0").alias("ax"), part(lo("a0"), "a1").alias("x"))
+        cut = cut.join(words.withColumnRenamed("doc", "b"), "b").select("a", "b", "segments", "ax", "x", lo("b0").alias("by"), part(lo("b0"), "b1").alias("y"))
+        return written(best_spans(cut.mapInArrow(_aligned(piece, similarity, least), "doc_id long, start_word int, end_word int, partner_id long, similarity double")))
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """The longest span of each start."""
+    return spans.groupBy("doc_id", "start_word").agg(F.max("end_word").alias("end_word"), F.min("partner_id").alias("partner_id"), F.max("similarity").alias("similarity"))
+
+
 def islands(spans: DataFrame) -> DataFrame:
     """Spans of a document that overlap or touch as one."""
     by = Window.partitionBy("doc_id").orderBy("start_word")
