@@ -129,6 +129,31 @@ def test_random_sweep_is_as_by_loops(spark):
         assert got and got == pytest.approx(plain(rows, 6, 5, 0.9, 0.7, axis, (22, 22, 26)))
 
 
+def test_windows_of_a_batch_are_worked_on_and_folded_at_once(spark, monkeypatch):
+    """Streams shorter and longer than a chunk, in batches that cut them anywhere: the same folds as from each window's values, no Python call for a group, and whole streams leave folded."""
+    rows = []
+    for stream in (None, 1, 2, 3):
+        rnd = random.Random(stream or 0)
+        for t in range({None: 7, 1: 13, 2: 40, 3: 5}[stream]):
+            rows.append((stream, t // 2, t, pose(rnd.uniform(-0.2, 0.2), rnd.random(), rnd.random(), (t if stream != 2 else t % 3) * 0.4), [rnd.random() for _ in range(20)]))
+    df = spark.createDataFrame(rows, "stream long, ts long, frame_id long, pose array<double>, pixels array<double>").repartition(5)
+    values = reconstruction.filled(df, (5, 4), (0.9, 0.9), 0.7, chunk=16)
+    assert "FlatMapGroups" not in values._jdf.queryExecution().toString()
+    want = {}
+    for r in sorted(values.collect(), key=lambda r: r["at"]):
+        k = (r["stream"], r["x"], r["y"], r["z"])
+        want[k] = (want[k] + r["v"]) / 2 if k in want else r["v"]
+    assert {k[0] for k in want} == {None, 1, 2, 3}
+    for chunk, some, size in ((16, 10_000, 1 << 25), (16, 3, 1 << 25), (5, 10_000, 1 << 25), (16, 3, 1)):
+        monkeypatch.setattr(reconstruction, "FRAME_BYTES", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", some)
+        try:
+            got = reconstruction.volume(df, (5, 4), (0.9, 0.9), 0.7, chunk=chunk).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and {(r["stream"], r["x"], r["y"], r["z"]): r["v"] for r in got} == pytest.approx(want)
+
+
 def test_few_frames_and_bad_frames(spark):
     ddl = "stream long, ts long, frame_id long, pose array<double>, pixels array<double>"
     assert reconstruction.filled(spark.createDataFrame([], ddl), (2, 2), (1, 1), 1.0).collect() == []
