@@ -2,90 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _millis(ts: pd.Timestamp) -> int:
-    return int(ts.timestamp() * 1000)
+STATE = "n long, latest long, us array<long>, ids array<long>, vs array<double>, last array<double>"
 
 
-class Windows(StatefulProcessor):
-    """A stream's frames that the watermark hasn't passed, and the last n that it has.
+def _step(n: int, idle_ms: int) -> Callable:
+    """What a stream's new frames, or its timeout, make of its state: the frames that the watermark hasn't passed, the last n values that it has, their number and the stream's last time.
 
-    A frame waits until the watermark is at or beyond its time, so that windows are in order of (ts, frame_id) however frames arrive.
-    Its state holds the waiting frames, n values, their number and the stream's last time; a timer comes for the first that waits, and one `idle` after the last time ends the state.
+    A frame waits until the watermark is at or beyond its time, so that windows are in order of (ts, frame_id) however frames arrive. Times are in
+    microseconds. The timeout comes for the first that waits, or `idle` after the last time, where the state ends. A state goes to Python and back with its rows.
     """
 
-    def __init__(self, n: int, idle_ms: int):
-        self.n, self.idle = n, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, frame_id long, v double")
-        self.last = handle.getListState("last", "v double")
-        self.seen = handle.getValueState("seen", "n long, ts timestamp")
-
-    def _passed(self, key: tuple, watermark: int) -> pd.DataFrame | None:
-        """The windows that the waiting frames up to the watermark end."""
-        waiting = list(self.waiting.get())
-        ready = sorted((w for w in waiting if _millis(w[0]) <= watermark), key=lambda w: (w[0], w[1]))
-        if not ready:
-            if waiting:
-                self.handle.registerTimer(min(_millis(w[0]) for w in waiting))
-            return None
-        n = self.seen.get()[0]
-        last = [x[0] for x in self.last.get()] if self.last.exists() else []
-        rows = []
-        for ts, frame_id, v in ready:
-            last = [v, *last][: self.n]
-            n += 1
-            if n > self.n:
-                rows.append((key[0], ts, frame_id, *last))
-        rest = [w for w in waiting if _millis(w[0]) > watermark]
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(min(_millis(w[0]) for w in rest))
-        self.last.put([(x,) for x in last])
-        self.seen.update((n, self.seen.get()[1]))
-        return pd.DataFrame(rows, columns=["stream", "ts", "frame_id", *(f"v{i}" for i in range(self.n))]) if rows else None
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        n, latest = self.seen.get() if self.seen.exists() else (0, None)
-        for batch in rows:  # each as it comes
-            self.waiting.appendList([(ts, int(i), None if pd.isna(v) else float(v)) for ts, i, v in zip(batch["ts"], batch["frame_id"], batch["v"], strict=True)])
-            latest = batch["ts"].max() if latest is None else max(latest, batch["ts"].max())
-        self.seen.update((n, latest))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(_millis(latest) + self.idle)
-        out = self._passed(key, timerValues.getCurrentWatermarkInMs())
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, latest, us, ids, vs, last = state.get if state.exists else (0, None, [], [], [], [])
+        frames = list(zip(us, ids, vs, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                frames += zip(batch["us"].tolist(), map(int, batch["frame_id"].tolist()), (None if v != v else v for v in batch["v"].tolist()), strict=True)
+            latest = max(f[0] for f in frames) if latest is None else max([latest, *(f[0] for f in frames)])
+        mark = state.getCurrentWatermarkMs()
+        frames.sort(key=lambda f: f[:2])
+        ready = bisect_right(frames, mark, key=lambda f: f[0] // 1000)
+        values, rest = [*reversed(last), *(f[2] for f in frames[:ready])], frames[ready:]  # the latest at the end
+        ends = range(max(n - seen, 0), ready)  # places in frames at which windows end
+        base, out = len(last), None
+        if len(ends):
+            columns = {"stream": [key[0]] * len(ends), "us": [frames[i][0] for i in ends], "frame_id": [frames[i][1] for i in ends]}
+            out = pd.DataFrame(columns | {f"v{k}": [values[base + i - k] for i in ends] for k in range(n)})
+        end = latest // 1000 + idle_ms
+        if state.hasTimedOut and mark >= end:
+            state.remove()
+        else:
+            us, ids, vs = ([f[k] for f in rest] for k in range(3))
+            state.update((seen + ready, latest, us, ids, vs, values[::-1][:n]))
+            state.setTimeoutTimestamp(max(min([end, *(x // 1000 for x in us[:1])]) - 1, mark, 1))  # it comes when the watermark is beyond that
         if out is not None:
             yield out
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.seen.exists():
-            return
-        watermark = timerValues.getCurrentWatermarkInMs()
-        out = self._passed(key, watermark)
-        if watermark >= _millis(self.seen.get()[1]) + self.idle:
-            for state in (self.waiting, self.last, self.seen):
-                state.clear()
-        if out is not None:
-            yield out
-
-    def close(self) -> None:
-        pass
+    return step
 
 
 def use_rocks(spark: SparkSession) -> None:
-    """Keep the state of this session's streams in RocksDB, on which states with timers stand."""
+    """Keep the state of this session's streams in RocksDB, so that those that wait need no room in the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
@@ -97,6 +65,7 @@ def windows(frames: DataFrame, n: int = 4, late: str = "10 seconds", idle_ms: in
     null in its windows; a null stream is a stream.
     """
     use_rocks(frames.sparkSession)
-    schema = ", ".join(["stream long", "ts timestamp", "frame_id long", *(f"v{i} double" for i in range(n))])
-    rows = frames.select(F.col("stream").cast("long").alias("stream"), "ts", F.col("frame_id").cast("long").alias("frame_id"), F.col("v").cast("double").alias("v"))
-    return rows.withWatermark("ts", late).groupBy("stream").transformWithStateInPandas(Windows(n, idle_ms), schema, "append", "eventTime")
+    schema = ", ".join(["stream long", "us long", "frame_id long", *(f"v{i} double" for i in range(n))])
+    rows = frames.where("ts is not null").select(F.col("stream").cast("long").alias("stream"), "ts", F.unix_micros("ts").alias("us"), F.col("frame_id").cast("long").alias("frame_id"), F.col("v").cast("double").alias("v"))
+    out = rows.withWatermark("ts", late).groupBy("stream").applyInPandasWithState(_step(n, idle_ms), schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("stream", F.timestamp_micros("us").alias("ts"), "frame_id", *(f"v{i}" for i in range(n)))

@@ -193,3 +193,25 @@ def test_windows_by_event_time(spark, tmp_path):
     got = sorted((r["stream"], r["frame_id"], r["v0"], r["v1"], r["v2"], r["v3"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(1, f, float(f), f - 1.0, f - 2.0, f - 3.0) for f in (4, 5, 6)] + [(1, 8, 8.0, 6.0, 5.0, 4.0), (1, 24, 24.0, 23.0, 22.0, 21.0)]
     assert state <= 12  # stream 2's are gone, and those of 1 and 3 are bounded
+
+
+def test_a_stream_has_one_row_of_state(spark, tmp_path):
+    """State goes to Python and back with a stream's frames, whatever their number: one row a stream, with what waits, null values and a null stream in it."""
+    ddl = "stream long, ts timestamp, frame_id long, v double"
+    streams = [None, *range(60)]
+    batches = [[(s, at(i % 7), 100 * i, None if i == 3 else i / 2) for s in streams for i in range(20)] + [(1, None, 5, 1.0)], [(s, at(20 + i), i, float(i)) for s in streams for i in range(3)]]
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        df = timed.windows(stream, 4, "5 seconds", 60_000)
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+            q = df.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"]) == len(streams)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+    vs = [None if i == 3 else i / 2 for i in sorted(range(20), key=lambda i: (i % 7, i))]
+    want = [[str(s), *map(str, vs[k - 3 : k + 1][::-1])] for s in streams for k in range(4, 20)]  # the watermark is at 17 s
+    got = [[str(r["stream"]), *(str(r[f"v{i}"]) for i in range(4))] for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(want)
