@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class Machine:
         row = np.zeros(len(at), np.int64)
         return float(self.raw(at, row, self.inputs(at, row, 1), 1)[0][0])
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, epochs: int, rate: float, shrink: float, seed: int) -> None:
+    def fit(self, rows: Sequence[np.ndarray], y: np.ndarray, epochs: int, rate: float, shrink: float, seed: int) -> None:
         """Minibatch AdaGrad on the logistic loss; after each step the weights it has touched shrink towards 0 by `shrink` times their step."""
         rng, m = np.random.default_rng(seed), len(self.w)
         n0, n = 1e-8, np.full((m, 1 + self.v.shape[1]), 1e-5)
@@ -91,8 +92,9 @@ class Machine:
             order = rng.permutation(len(rows))
             for a in range(0, len(rows), size):
                 part = order[a : a + size]
-                row = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
-                at = np.concatenate([rows[i] for i in part])
+                some = [rows[i] for i in part.tolist()]
+                row = np.repeat(np.arange(len(part)), [len(r) for r in some])
+                at = np.concatenate(some)
                 x = self.inputs(at, row, len(part))
                 raw, s = self.raw(at, row, x, len(part))
                 err = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - y[part]) / len(part)
@@ -139,7 +141,20 @@ def calibrated(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(np.clip(x[0], 0.05, 50)), float(x[1])
 
 
-def trained(rows: list[np.ndarray], y: np.ndarray, bits: int, rank: int, rate: float, shrink: float, half: float, seed: int) -> Machine:
+class Some(Sequence):
+    """The rows at some places, without a copy."""
+
+    def __init__(self, rows: Sequence, at: list[int]):
+        self.rows, self.at = rows, at
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.rows[self.at[i]]
+
+
+def trained(rows: Sequence[np.ndarray], y: np.ndarray, bits: int, rank: int, rate: float, shrink: float, half: float, seed: int) -> Machine:
     """A machine of the rows (buckets, ascending) and labels, of both kinds, whose scores are calibrated by parts of the rows that were left out of fits of their own.
 
     A fit goes over its rows 6 to 100 times, about VISITS rows in all. One to FOLDS parts of a fifth of the rows are left out in turn, as far as
@@ -149,7 +164,7 @@ def trained(rows: list[np.ndarray], y: np.ndarray, bits: int, rank: int, rate: f
     part = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
 
     def one(keep: np.ndarray) -> Machine:
-        some, own = [r for r, k in zip(rows, keep, strict=True) if k], y[keep]
+        some, own = Some(rows, np.flatnonzero(keep).tolist()), y[keep]
         n = np.zeros(1 << bits)
         for at in some:
             n[at] += 1
@@ -165,7 +180,7 @@ def trained(rows: list[np.ndarray], y: np.ndarray, bits: int, rank: int, rate: f
         left = part == k
         if left.any() and not left.all():
             m = one(~left)
-            raw += [m.apart(r) for r, f in zip(rows, left, strict=True) if f]
+            raw += [m.apart(r) for r in Some(rows, np.flatnonzero(left).tolist())]
             own.append(y[left])
     m = one(np.ones(len(rows), bool))
     a, b = calibrated(np.array(raw), np.concatenate(own)) if raw else (1.0, 0.0)
@@ -173,11 +188,35 @@ def trained(rows: list[np.ndarray], y: np.ndarray, bits: int, rank: int, rate: f
     return m
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Ascending buckets as their compressed steps, under half of what they take."""
+    return zlib.compress(np.diff(at, prepend=np.int32(0)).astype("<i4").tobytes(), 1)
+
+
+class Packed(Sequence):
+    """Rows of buckets that stay packed until one is asked for."""
+
+    def __init__(self, rows: list[bytes]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.cumsum(np.frombuffer(zlib.decompress(self.rows[i]), "<i4"), dtype=np.int32)
+
+
+def received(got: pa.Table) -> tuple[np.ndarray, Packed]:
+    """(labels, buckets) of the rows (doc_id, label, terms) in order of all three, as rows come in any."""
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("doc_id", "label", "terms")), strict=True))
+    return (np.array([r[1] for r in rows], np.int64) > 0).astype(float), Packed([r[2] for r in rows])
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 18, most_rows: int = 20_000, rank: int = 4, rate: float = 0.1, shrink: float = 1e-3, half: float = 20.0, seed: int = 7) -> Machine:
     """Learn labels.toxic from at most `most_rows` labelled documents, those with the least hash of doc_id and text, that are not held out.
 
     Of several labels of a doc_id the largest counts; null labels and ids are not learned from, nor are repeated rows of one doc_id and text.
-    `most_rows` bounds the rows that reach the driver. All terms of these rows, hashed to 2^bits buckets, have a weight and a vector;
+    `most_rows` bounds the rows that reach the driver, with their terms packed. All terms of these rows, hashed to 2^bits buckets, have a weight and a vector;
     none is chosen by its label, and scores are calibrated within these rows (trained()). A bucket's value is the log of the inverse share of documents that have it, times n / (n + half) for n
     documents, so that what few documents have weighs little. Without labels every score is 0; with one label alone, that label's.
     """
@@ -193,16 +232,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 18, mo
             for a, b in chunks(some):
                 row, at = hashed(some[a:b], bits)
                 ends = np.searchsorted(row, np.arange(b - a + 1)).tolist()
-                yield rows_out(ROWS, [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), [at[i:j].tobytes() for i, j in zip(ends, ends[1:], strict=False)]])
-
-    got = known.mapInArrow(hash_terms, "doc_id long, label int, terms binary").toArrow()
-    got = got.set_column(2, "terms", got["terms"].cast(pa.large_binary())).combine_chunks().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("terms", "ascending")])  # rows come in any order
-    y = (np.asarray(got["label"]) > 0).astype(float)
-    terms = got["terms"].combine_chunks() if len(y) else pa.array([], pa.large_binary())
-    terms = terms.chunk(0) if isinstance(terms, pa.ChunkedArray) else terms
-    ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1] // 4 if len(y) else [0]
-    flat = np.frombuffer(terms.buffers()[2], np.int32) if len(y) and terms.buffers()[2] else np.zeros(0, np.int32)
-    sent = [flat[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+                yield rows_out(ROWS, [batch.column("doc_id").slice(a, b - a), batch.column("label").slice(a, b - a), [packed(at[i:j]) for i, j in zip(ends, ends[1:], strict=False)]])
+
+    y, sent = received(known.mapInArrow(hash_terms, "doc_id long, label int, terms binary").toArrow())
+    give_back()
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(1 << bits), 40.0 if len(y) and y[0] else -40.0, np.zeros(1 << bits), np.zeros((1 << bits, rank)))
     m = trained(sent, y, bits, rank, rate, shrink, half, seed)
