@@ -21,6 +21,7 @@ MOST_BITS = 25  # 32 MB of counters, for a billion words or more
 RANGES = 64  # ranges of hashes that the suffix filter compares
 ROUNDS = 2  # in which sets are compared with a few others, before what still is apart is compared in full
 CHUNK = 8  # sets of a list that share a partner in a round
+FEW, FEW_ROUNDS = 8, 4  # sets of a component that meet another in a list, before all do, and how often at most
 BACK = 4  # shared shingles before one by which a pair is known to meet earlier
 FIRST = pa.schema([("doc_id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("slice", pa.int32()), ("hits", pa.binary())])
 SUMS = pa.schema([("slice", pa.int32()), ("sums", pa.binary())])
@@ -238,7 +239,7 @@ class Join:
         out = [x.where((F.col("root") != F.col("o.root")) & fits).select(F.col("c").alias("ca"), F.col("n").alias("na"), F.col("o.c").alias("cb"), F.col("o.n").alias("nb")) for x in (first, second)]
         return out[0].union(out[1])
 
-    def across(self, rows: DataFrame) -> DataFrame:
+    def across(self, rows: DataFrame, few: bool, turn: int) -> tuple[DataFrame, bool]:
         """In each shared shingle's list, the pairs of sets of different components that the length and positional filters let link.
 
         With m of a set's n shingles left from the shared one on, a partner has at most top = (num + den) * m / num - n
@@ -247,6 +248,9 @@ class Join:
         In a cell, components meet first, each as one row with its least and greatest sizes, so copies in a list make no more
         pairs; then only the sets that fit the other component's sizes are taken. Where one of the BACK shared shingles before this one is common too, a pair has
         met there or before.
+
+        Where a great component would meet others with all of its sets in every list (`few`, and over twice the pairs that follow), only about FEW sets of a component are taken in a list and
+        cell, others in each: sets that link with some of it then are of it. This is done again while it finds links, FEW_ROUNDS times at most, before all meet. Returns the pairs and whether these are all.
         """
         by, n, top = Window.partitionBy("c").orderBy("pos"), F.col("n"), F.floor((self.num + self.den) * (F.col("n") - F.col("pos")) / self.num).cast("int") - F.col("n")
         rows = rows.select("h", "root", "c", "n", top.alias("top"), F.array_compact(F.array(*(F.lag("h", i).over(by) for i in range(1, BACK + 1)))).alias("prev"))
@@ -254,13 +258,18 @@ class Join:
         cell = lambda size: F.floor(F.log(size.cast("double")) / math.log(1.03)).cast("int")
         large = rows.withColumn("cell", cell(n))
         small = rows.where("top >= n").withColumn("cell", F.explode(F.sequence(cell(n), cell(F.col("top")))))
-        ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("reach")]
-        a, b = (x.groupBy("h", "cell", "root").agg(*ends).withColumnsRenamed({k: f"{k}_{side}" for k in ("root", "least", "most", "reach")}) for side, x in (("a", large), ("b", small)))
+        ends = [F.min("n").alias("least"), F.max("n").alias("most"), F.max("top").alias("reach"), F.count("*").alias("k")]
+        a, b = (x.groupBy("h", "cell", "root").agg(*ends).withColumnsRenamed({k: f"{k}_{side}" for k in ("root", "least", "most", "reach", "k")}) for side, x in (("a", large), ("b", small)))
         met = a.join(b, ["h", "cell"]).where("root_a <> root_b and least_a <= reach_b and least_b <= reach_a and least_b <= most_a")
-        met = met.select("h", "cell", "root_a", "root_b", "least_b", "reach_b")
-        left = met.join(large.withColumnsRenamed({"root": "root_a", "c": "ca", "n": "na", "top": "top_a", "prev": "prev_a"}), ["h", "cell", "root_a"]).where("na <= reach_b and least_b <= top_a and least_b <= na")
+        met = written(met.select("h", "cell", "root_a", "root_b", "least_b", "reach_b", "k_a", "k_b"))
+        if few:
+            every, some = met.agg(F.sum(F.col("k_a") * F.col("k_b")), F.sum(F.least("k_a", F.lit(FEW)) * F.least("k_b", F.lit(FEW)))).first()
+            few = (every or 0) > 2 * (some or 0)
+        drawn = lambda side: F.pmod(F.xxhash64(f"c{side}", "h", F.lit(turn)), F.ceil(F.col(f"k_{side}") / FEW)) == 0 if few else F.lit(True)
+        left = met.join(large.withColumnsRenamed({"root": "root_a", "c": "ca", "n": "na", "top": "top_a", "prev": "prev_a"}), ["h", "cell", "root_a"]).where(F.expr("na <= reach_b and least_b <= top_a and least_b <= na") & drawn("a"))
         right = small.withColumnsRenamed({"root": "root_b", "c": "cb", "n": "nb", "top": "top_b", "prev": "prev_b"})
-        return left.join(right, ["h", "cell", "root_b"]).where("nb <= na and na <= top_b and nb <= top_a and not arrays_overlap(prev_a, prev_b)").select("ca", "na", "cb", "nb")
+        first = F.lit(True) if few else ~F.arrays_overlap("prev_a", "prev_b")  # of a pair's lists only some have both sets where few are taken
+        return left.join(right, ["h", "cell", "root_b"]).where(F.expr("nb <= na and na <= top_b and nb <= top_a") & first & drawn("b")).select("ca", "na", "cb", "nb"), not few
 
 
 def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -272,7 +281,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     component_id unless no other is reachable. Rows with equal sets, so repeated rows too, are one class and are compared once.
 
     Every set's rarest shingles, as many as leave no similar set without one in common, are dealt by shingle. In a
-    shingle's list, sets are compared first with heads drawn by hash, in a few rounds; after those links only sets of
+    shingle's list, sets are compared first with heads drawn by hash, in a few rounds, and with a few of each great component; after those links only sets of
     different components are compared, all with all. Lists of one component, however long, make no more
     pairs. "Rare" is by counts over all documents, in a
     counter for about 32 words of input but 2^25 at most, and any order gives the same links. Shingles and
@@ -280,13 +289,16 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     """
     j = Join(docs, num, den)
     shared, links, roots = j.shared(), None, None
-    for turn in range(ROUNDS + 1):
+    turn, last, more = 0, False, True
+    while not last:
         rows = j.open(shared, roots)
         if turn and not rows.limit(1).count():
             break
-        found = j.pairs(j.stars(rows, turn) if turn < ROUNDS else j.across(rows))
-        if found.limit(1).count():
+        found, last = (j.stars(rows, turn), False) if turn < ROUNDS else j.across(rows, more and turn < ROUNDS + FEW_ROUNDS, turn)
+        found, turn = j.pairs(found), turn + 1
+        if more := bool(found.limit(1).count()):
             found = j.linked(found)
+            more = bool(found.limit(1).count())
             links = found if links is None else links.union(found)
             roots = components(links)
     if roots is None:
