@@ -94,3 +94,37 @@ def test_components_of_a_path_and_a_star(spark):
 def test_query_on_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     assert {tuple(r) for r in op6_ngram_jaccard_join(spark, sf).collect()} == plain([tuple(r) for r in docs.collect()])
+
+
+def test_great_component_meets_the_rest_with_a_few_sets_first(spark, monkeypatch):
+    """Near copies of one text, many not linked with each other: few of a component are taken first, then all, and the components are those of all pairs."""
+    import random
+
+    from gridloom.llm import ngram_join
+
+    rnd, calls, across = random.Random(5), [], ngram_join.Join.across
+
+    def seen(self, rows, few, turn):
+        out = across(self, rows, few, turn)
+        calls.append(out[1])
+        return out
+
+    monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    monkeypatch.setattr(ngram_join.Join, "across", seen)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(160):
+        words = list(base)
+        for _ in range(i % 6):
+            words[rnd.randrange(120)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(116)} for _, t in rows]
+    least = list(range(160))
+    for _ in range(160):
+        new = [min(least[b] for b in range(160) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])) for a in range(160)]
+        if new == least:
+            break
+        least = new
+    assert got == dict(enumerate(least))
+    assert calls[-1:] == [True] and (len(calls) == 1 or not calls[0])
