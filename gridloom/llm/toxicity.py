@@ -240,6 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, bits: int = 18, mo
         return Machine(np.zeros(1 << bits), 40.0 if len(y) and y[0] else -40.0, np.zeros(1 << bits), np.zeros((1 << bits, rank)))
     m = trained(sent, y, bits, rank, rate, shrink, half, seed)
     m.value, m.w, m.v = (z.astype(np.float32) for z in (m.value, m.w, m.v))
+    del y, sent
+    give_back()  # the driver goes on with other steps
     return m
 
 
