@@ -175,7 +175,7 @@ class Join:
         self.bits = min(MOST_BITS, max(12, (size // 200).bit_length()))  # a counter for about 32 words
         first = written(self.docs.mapInArrow(_first(self.bits), "doc_id long, c long, n long, sig binary, slice int, hits binary"))
         self.rows = first.where("slice is null").select("doc_id", "c", "n")
-        self.sigs = first.where("c is not null").select("c", "sig").dropDuplicates(["c"])
+        self.sigs = written(first.where("c is not null").select("c", "sig").dropDuplicates(["c"]))
         sums = first.where("slice is not null").select("slice", "hits").groupBy("slice").applyInArrow(_sum_slices, "slice int, sums binary").collect()
         sketch = np.zeros((SLICES, (1 << self.bits) // SLICES), np.uint8)
         for r in sums:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     sets are compared by 64-bit hashes: a chance agreement can join two of n distinct sets at odds of n * n / 2^65.
     """
     j = Join(docs, num, den)
-    shared, links, roots = j.shared(), None, None
+    shared, roots = j.shared(), None
     turn, last, more = 0, False, True
     while not last:
         rows = j.open(shared, roots)
@@ -299,8 +299,8 @@ def near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
         if more := bool(found.limit(1).count()):
             found = j.linked(found)
             more = bool(found.limit(1).count())
-            links = found if links is None else links.union(found)
-            roots = components(links)
+        if more:
+            roots = components(found if roots is None else found.union(roots.select("node", "root")))
     if roots is None:
         roots = docs.sparkSession.createDataFrame([], "node long, root long")
     rows = j.rows.join(roots.withColumnRenamed("node", "c"), "c", "left").select("doc_id", "n", F.coalesce("root", "c").alias("root"))

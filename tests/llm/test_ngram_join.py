@@ -128,3 +128,31 @@ def test_great_component_meets_the_rest_with_a_few_sets_first(spark, monkeypatch
         least = new
     assert got == dict(enumerate(least))
     assert calls[-1:] == [True] and (len(calls) == 1 or not calls[0])
+
+
+def test_a_small_graph_needs_one_table(spark, monkeypatch):
+    from gridloom.llm import components as module
+
+    tables = []
+    monkeypatch.setattr(module, "written", lambda df, write=module.written: tables.append(1) or write(df))
+    edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 130)]
+    random.Random(2).shuffle(edges)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 130), 100)} and len(tables) == 1
+
+
+def test_components_of_more_than_one_run(spark, monkeypatch):
+    from gridloom.llm import components as module
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(i, i + 1) for i in range(100, 130)]
+    rng.shuffle(edges)
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in least:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    monkeypatch.setattr(module, "RUN", 8)
+    for given in (edges, []):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(given, "a long, b long").repartition(3)).collect()}
+        assert got == (least if given else {})
