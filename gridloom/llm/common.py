@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -50,6 +51,12 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Shuffle files of frames that nothing holds any more are deleted now, not when the driver's JVM happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(doc_id: Column, n: int, at: int) -> Column:
     """True where crc32(doc_id as text) mod n is `at`; a null id counts as False."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n) == F.lit(at), F.lit(False))
